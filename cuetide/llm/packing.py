@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
-from .tokens import TextEncoder
+from .tokens import encoder
 
 #: Bytes of ids after which a batch goes to Spark.
 BATCH_BYTES = 8 << 20
@@ -35,11 +35,11 @@ def encoded(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col
     """Pass 1, lazily: ``doc_id, ids (binary <u4), n_tokens, part, part_start``."""
 
     def run(batches):
-        encoder, part, at = TextEncoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(tokenizer, end_id).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, ids, starts, first, held = batch.column(0), [], [], 0, 0
             for k, text in enumerate(batch.column(1)):
-                got = encoder.encode(text.as_py())
+                got = encode(text.as_py())
                 ids.append(got)
                 starts.append(at)
                 at += len(got) // 4

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, text_or_empty, written
-from .tokens import TextEncoder
+from .tokens import encoder
 
 MAGIC = b"CTBP1\0\0\0"
 BLOCK = 1 << 16
@@ -153,14 +153,14 @@ def write_ids(docs: DataFrame, tokenizer: str, *, folder: str | None = None, id_
     folder = folder or new_folder(spark, "token-shards")
 
     def run(batches):
-        encoder, part, writer, path, n = TextEncoder(tokenizer, end_id), TaskContext.get().partitionId(), None, None, 0
+        encode, part, writer, path, n = encoder(tokenizer, end_id).encode, TaskContext.get().partitionId(), None, None, 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     path = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.ctbp"
                     fs, place = file_system(path)
                     writer = ShardWriter(fs.open_output_stream(place), block, planes)
-                ids = encoder.encode(text.as_py())
+                ids = encode(text.as_py())
                 n += len(ids) // 4
                 writer.add(doc, ids)
         if writer is not None:

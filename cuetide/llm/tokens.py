@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,7 +21,7 @@ import numpy as np
 _UNSURE = re.compile("[^\\x09\\x0a\\x0d\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u012f\\u0132-\\u024f]")
 #: Pieces of the two known pre-tokenizers (fixed values of those files).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_KEPT_PIECES = 250_000
+_KEPT_PIECES = 350_000
 #: Letters, numbers and white space among the characters that _UNSURE lets through.
 _PLAIN = {r"\p{L}": "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f", r"\p{N}": "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\s": "\t\n\r "}
 
@@ -58,6 +59,7 @@ class TextEncoder:
             if [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1].get("use_regex", True):
                 self.pieces, self.lower = _plain(steps[0]["pattern"]["Regex"]), True
         self.ids: dict[str, bytes] = {}  # of a piece
+        self.older: dict[str, bytes] = {}
         self.end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -69,10 +71,19 @@ class TextEncoder:
         if self.lower:
             text = unicodedata.normalize("NFC", text).lower()
         pieces = self.pieces.findall(text)
-        if new := list(set(pieces).difference(self.ids)):
-            if len(self.ids) > _KEPT_PIECES:
-                self.ids.clear()
-                new = list(set(pieces))
+        if new := set(pieces).difference(self.ids):
+            if len(self.ids) > _KEPT_PIECES:  # pieces still in use come back from the older half
+                self.older, self.ids = self.ids, {}
+                new = set(pieces)
+            old = {piece: self.older[piece] for piece in new if piece in self.older}
+            self.ids.update(old)
+            new = [piece for piece in new if piece not in old]
             for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.ids[piece] = array("I", got.ids).tobytes()
         return b"".join(map(self.ids.__getitem__, pieces)) + self.end
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, end_id: int | None = 1) -> TextEncoder:
+    """One encoder a process: later tasks of a worker find its pieces again."""
+    return TextEncoder(path, end_id)
