@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 WINDOW, GRAM = 50, 24
-CHUNK_DOCS, CHUNK_BYTES, HOT_CHUNKS = 1024, 8 << 20, 1024
+CHUNK_DOCS, CHUNK_BYTES, HOT_CHUNKS = 4096, 16 << 20, 1024
 #: Entries of a bucket, about.
-BUCKET = 200_000
+BUCKET = 400_000
 _SEGMENT, _PLACE_BITS = 1 << 20, 21
 
 
@@ -135,10 +135,10 @@ class Shape:
         return fine, _hash_at(np.ascontiguousarray(rows).reshape(-1), len(rows), offset, self.window, self.row)
 
 
-def _codec():
+def _codec(level: int = 2):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=2), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
 
 
 def _sorted_planes(x: np.ndarray) -> bytes:
@@ -274,7 +274,7 @@ def send_contexts(joined: DataFrame, shape: Shape, bits: int, own_bits: int) ->
     """Remaining digits: distinct contexts of the surviving anchors, or distinct windows of hot ones, with their first document."""
 
     def run(batches):
-        pack, undo = _codec()
+        pack, undo = _codec(5)
         for r, ids, ends, raw in _chunks(batches, undo):
             keys, states = [], []
             for x in sorted(r["replies"].as_py(), key=lambda x: x["bucket"]):
@@ -462,7 +462,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, h
     shape = Shape(window, gram)
     chunks = written(packed(docs, id_col, text_col), "chunks")
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = min(20, max(4, int(np.ceil(np.log2(max(1, total * 2 / (shape.side + 2) / BUCKET))))))
+    bits = min(20, max(6, int(np.ceil(np.log2(max(1, total * 2 / (shape.side + 2) / BUCKET))))))
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, 4000))
 
