@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bucketed, text_or_empty, written
 from .components import components
 from .suffix_dedup import ODD, mixed
 
@@ -256,7 +256,7 @@ def pairs_of(p: np.ndarray, percent: int, most: int = 2_000_000):
         u, v = u[fine], v[fine]
         if len(u):
             lo, hi = np.minimum(u["doc"], v["doc"]), np.maximum(u["doc"], v["doc"])
-            least = np.minimum(u["matches"], v["matches"]).astype(np.int64)
+            least = needed(nu[fine], u["matches"].astype(np.int64), nv[fine], v["matches"].astype(np.int64), percent)
             order = np.lexsort((hi, lo))
             lo, hi, least = lo[order], hi[order], least[order]
             cut = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
@@ -264,6 +264,17 @@ def pairs_of(p: np.ndarray, percent: int, most: int = 2_000_000):
         a = b
 
 
+def needed(nu, lu, nv, lv, percent: int):
+    """Prefix shingles that a similar pair shares at least, from its sizes and numbers of matches.
+
+    Beyond the common part of the two prefixes there are at most the shingles that follow the
+    prefix that ends first; the rest of the overlap lies in both prefixes.
+    """
+    overlap = -(-percent * (nu + nv) // (100 + percent))
+    follow = np.maximum(least_shared(nu, percent) - lu, least_shared(nv, percent) - lv)
+    return np.maximum(np.minimum(lu, lv), overlap - follow - 1)
+
+
 def candidate_pairs(sent: DataFrame, bits: int, percent: int) -> DataFrame:
     """``a, b`` that share as many prefix shingles as both ask for at least."""
     spark = sent.sparkSession
@@ -289,7 +300,7 @@ def candidate_pairs(sent: DataFrame, bits: int, percent: int) -> DataFrame:
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, 4000))
     rows = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, needed long")
-    return rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where(F.col("shared") >= F.col("needed")).select("a", "b")
+    return rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where(F.col("shared") >= F.col("needed")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -301,7 +312,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     dealt = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     hubs = groups.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("member"))
     asked = hubs.unionAll(dealt.select("b", "a", "salt", F.lit(1)))
-    sent = texts.join(asked, "doc_id").select("a", "salt", "member", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "doc_id")
+    sent = texts.join(asked.hint("shuffle_hash"), "doc_id").select("a", "salt", "member", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "doc_id")
 
     def run(batches):
         sets, now, hub = Shingler(size), None, None
@@ -321,12 +332,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``: the smallest id that links reach, itself included."""
+    """``doc_id, n_shingles, component_id``: the smallest id that links reach, itself included.
+
+    The classes' texts are shuffled once, into a table bucketed by id in the shared folder that
+    the later joins read in place.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = written(described(texts, size), "shingles")
     every = rows.where(F.col("block").isNull()).select("doc_id", "n", "digest", "seeds")
     real = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("seeds").alias("seeds")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    texts = bucketed(texts.join(reps, "doc_id"), "doc_id", "texts")
 
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
     seeds = classes.select("rep", band.alias("band"), F.explode("seeds").alias("seed"))
@@ -335,10 +352,10 @@ def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
     near = written(verified(written(stars, "stars"), texts, size, percent), "links")
     found = components(near)
 
-    nodes = classes.select(F.col("rep").alias("doc_id")).distinct().join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    nodes = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total * (100 - percent) / 100 / BUCKET))))))
-    sent = send_prefixes(texts.join(nodes, "doc_id"), frequency_classes(rows), bits, size, percent)
+    sent = send_prefixes(texts.join(nodes.hint("shuffle_hash"), "doc_id"), frequency_classes(rows), bits, size, percent)
     more = verified(written(candidate_pairs(sent, bits, percent), "candidates"), texts, size, percent)
     links = more.unionAll(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
     last = components(links).select(F.col("id").alias("rep"), "component")
