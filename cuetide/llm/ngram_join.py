@@ -12,7 +12,8 @@ their Jaccard similarity is ``percent`` per cent or more.
    are similar, their prefixes of ``|x| - ceil(t |x|) + l`` shingles share at least ``l``. Each
    document picks its own ``l`` by its candidates' estimated cost, the frequent shingles in its
    prefix, and a pair must share as many as the smaller ``l`` of the two; size and place
-   filters go before. Candidates are verified on whole texts.
+   filters go before. The documents of a hot shingle meet with their whole prefixes, and only pairs
+   that share enough leave the task. Candidates are verified on whole texts.
 4. Components of all verified links.
 
 Nothing is capped: a group of documents with a common shingle is only skipped where they
@@ -43,6 +44,8 @@ SIZE, PERCENT, SEEDS, GROUP = 5, 80, 6, 256
 #: log2 of the counting sketch's counters; postings of a bucket, about.
 SKETCH_BITS, BUCKET = 20, 300_000
 MAX_MATCHES = 8
+#: A prefix shingle that makes more pairs than this is hot: its documents meet with whole prefixes.
+HOT_PAIRS = 2000
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -230,13 +233,18 @@ def _postings(raw: bytes) -> np.ndarray:
     return out
 
 
-def pairs_of(p: np.ndarray, percent: int, most: int = 2_000_000):
-    """(a, b, shared, needed) arrays of pairs in different components with a shared prefix shingle, from postings of one bucket."""
+def runs_of(p: np.ndarray, hot_pairs: int):
+    """(postings by shingle, starts and sizes of the runs with several components, which of them are hot)."""
     p = p[np.argsort(p["token"], kind="stable")]
     starts = np.flatnonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]]))
     sizes = np.diff([*starts, len(p)])
     mixed_up = np.minimum.reduceat(p["component"], starts) != np.maximum.reduceat(p["component"], starts)
     starts, sizes = starts[mixed_up], sizes[mixed_up]
+    return p, starts, sizes, sizes * (sizes - 1) // 2 > hot_pairs
+
+
+def pairs_of(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, most: int = 2_000_000):
+    """(a, b, shared, needed) arrays of pairs in different components with a shared prefix shingle, from runs of one bucket."""
     # every posting of a run meets the later ones: (first, how many follow)
     firsts = np.concatenate([[0], np.cumsum(sizes)]) if len(sizes) else np.zeros(1, np.int64)
     member = np.repeat(starts - firsts[:-1], sizes) + np.arange(firsts[-1]) if len(sizes) else np.zeros(0, np.int64)
@@ -275,8 +283,11 @@ def needed(nu, lu, nv, lv, percent: int):
     return np.maximum(np.minimum(lu, lv), overlap - follow - 1)
 
 
-def candidate_pairs(sent: DataFrame, bits: int, percent: int) -> DataFrame:
-    """``a, b`` that share as many prefix shingles as both ask for at least."""
+_PAIR = "a long, b long, shared long, needed long, hot boolean"
+
+
+def pair_rows(sent: DataFrame, bits: int, percent: int, hot_pairs: int) -> DataFrame:
+    """Pairs of each shingle, counted by bucket; of a hot shingle its postings instead: document ``a``, shingle ``b``."""
     spark = sent.sparkSession
 
     def run(batches):
@@ -285,8 +296,13 @@ def candidate_pairs(sent: DataFrame, bits: int, percent: int) -> DataFrame:
         undo, now, held = zstandard.ZstdDecompressor(), None, []
 
         def found():
-            for a, b, shared, need in pairs_of(np.concatenate(held), percent):
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "shared": shared.astype(np.int64), "needed": need})
+            p, starts, sizes, hot = runs_of(np.concatenate(held), hot_pairs)
+            for a, b, shared, need in pairs_of(p, starts[~hot], sizes[~hot], percent):
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "shared": shared.astype(np.int64), "needed": need, "hot": np.zeros(len(a), bool)})
+            for a, n in zip(starts[hot], sizes[hot], strict=True):
+                token = np.full(n, now << 32 | int(p["token"][a]), np.int64)
+                zero = np.zeros(n, np.int64)
+                yield pa.RecordBatch.from_pydict({"a": p["doc"][a : a + n], "b": token, "shared": zero, "needed": zero, "hot": np.ones(n, bool)})
 
         for batch in batches:
             for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -299,8 +315,99 @@ def candidate_pairs(sent: DataFrame, bits: int, percent: int) -> DataFrame:
             yield from found()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, 4000))
-    rows = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, needed long")
-    return rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).where(F.col("shared") >= F.col("needed")).select("a", "b")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIR)
+
+
+def shared_counts(lists: list[np.ndarray]):
+    """(first row, counts) of row blocks: how many values each list shares with every list.
+
+    Frequent values are counted by a matrix product, the others posting by posting.
+    """
+    m = len(lists)
+    block = max(1, 200_000 // m)  # bounds the task's memory
+    sizes = np.asarray([len(x) for x in lists])
+    values, column = np.unique(np.concatenate(lists), return_inverse=True)
+    row = np.repeat(np.arange(m), sizes)
+    often = np.bincount(column, minlength=len(values))
+    dense = np.flatnonzero(often >= max(2, m // 64))
+    place = np.full(len(values), -1)
+    place[dense] = np.arange(len(dense))
+    few = (often[column] > 1) & (place[column] < 0)
+    order = np.argsort(column[few], kind="stable")
+    few_row, few_col = row[few][order], column[few][order]
+    for a in range(0, m, block):
+        b = min(m, a + block)
+        counts = np.zeros((b - a, m), np.float32)
+        for c in range(0, len(dense), 256):
+            some = (place[column] >= c) & (place[column] < c + 256)
+            table = np.zeros((m, min(256, len(dense) - c)), np.float32)
+            table[row[some], place[column[some]] - c] = 1
+            counts += table[a:b] @ table.T
+        mine = np.flatnonzero((few_row >= a) & (few_row < b))
+        lo, hi = np.searchsorted(few_col, few_col[mine]), np.searchsorted(few_col, few_col[mine], "right")
+        x = np.repeat(few_row[mine] - a, hi - lo)
+        y = few_row[np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())] if len(mine) else x
+        np.add.at(counts, (x, y), 1)
+        yield a, counts
+
+
+def hot_candidates(rows: DataFrame, texts: DataFrame, classes: np.ndarray, bits: int, size: int, percent: int) -> DataFrame:
+    """Candidates among the documents of hot shingles: whole prefixes meet there, so a pair is counted
+    in place, under its first common hot shingle, and only those that share enough become rows.
+    """
+    asked = rows.where("hot").groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("hot"))  # a document's own prefix at most
+
+    def send(batches):
+        sets = Shingler(size)
+        for batch in batches:
+            for doc, component, text, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                s = sets(text.encode("utf-8", "surrogatepass"))
+                tokens, matches = prefix(s, classes, percent)
+                keys = (tokens & np.uint64((1 << bits) - 1)) << np.uint64(32) | (tokens >> np.uint64(bits)) & np.uint64(0xFFFFFFFF)
+                own = sorted(set(hot) & set(keys.tolist()))
+                n = len(own)
+                body, mine = keys.astype("<u4").tobytes(), np.asarray(own, np.uint64).tobytes()
+                if n:
+                    yield pa.RecordBatch.from_pydict({"token": pa.array(own, pa.int64()), "doc": pa.array([doc] * n, pa.int64()), "component": pa.array([component] * n, pa.int64()), "n": pa.array([len(s)] * n, pa.int64()), "matches": pa.array([matches] * n, pa.int64()), "prefix": pa.array([body] * n, pa.binary()), "hot": pa.array([mine] * n, pa.binary())})
+
+    def meet(batches):
+        now, held = None, []
+
+        def found():
+            doc, component, n, matches = (np.asarray([r[k] for r in held], np.int64) for k in ("doc", "component", "n", "matches"))
+            earlier = [(x := np.frombuffer(r["hot"], "<u8"))[x < np.uint64(now)] for r in held]
+            met = shared_counts(earlier) if any(map(len, earlier)) else None
+            for a, counts in shared_counts([np.frombuffer(r["prefix"], "<u4") for r in held]):
+                k = np.arange(a, a + len(counts))
+                fine = counts >= needed(n[k, None], matches[k, None], n[None], matches[None], percent)
+                fine &= (component[k, None] != component[None]) & (doc[k, None] < doc[None])
+                fine &= np.minimum(n[k, None], n[None]) * 100 >= percent * np.maximum(n[k, None], n[None])
+                if met is not None:
+                    fine &= next(met)[1] == 0
+                x, y = np.nonzero(fine)
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"a": doc[k[x]], "b": doc[y]})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and r["token"] != now:
+                    yield from found()
+                    held = []
+                now = r["token"]
+                held.append(r)
+        if held:
+            yield from found()
+
+    sent = texts.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "component", "text", "hot").mapInArrow(send, "token long, doc long, component long, n long, matches long, prefix binary, hot binary")
+    return sent.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(meet, "a long, b long")
+
+
+def candidate_pairs(texts: DataFrame, classes: np.ndarray, bits: int, size: int, percent: int, hot_pairs: int) -> DataFrame:
+    """``a, b`` that share as many prefix shingles as they need at least (``doc_id, component, text``)."""
+    rows = written(pair_rows(send_prefixes(texts, classes, bits, size, percent), bits, percent, hot_pairs), "pairs")
+    cold = rows.where(~F.col("hot")).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    cold = cold.where(F.col("shared") >= F.col("needed")).select("a", "b")
+    return cold.unionAll(hot_candidates(rows, texts, classes, bits, size, percent)).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -331,7 +438,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return sent.mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, hot_pairs: int = HOT_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id that links reach, itself included.
 
     The classes' texts are shuffled once, into a table bucketed by id in the shared folder that
@@ -355,8 +462,9 @@ def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
     nodes = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total * (100 - percent) / 100 / BUCKET))))))
-    sent = send_prefixes(texts.join(nodes.hint("shuffle_hash"), "doc_id"), frequency_classes(rows), bits, size, percent)
-    more = verified(written(candidate_pairs(sent, bits, percent), "candidates"), texts, size, percent)
+    nodes = written(nodes, "nodes")
+    pairs = candidate_pairs(texts.join(nodes.hint("shuffle_hash"), "doc_id"), frequency_classes(rows), bits, size, percent, hot_pairs)
+    more = verified(written(pairs, "candidates"), texts, size, percent)
     links = more.unionAll(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
     last = components(links).select(F.col("id").alias("rep"), "component")
 
