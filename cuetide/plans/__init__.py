@@ -1 +1,3 @@
+"""Queries over the operators."""
 
+from . import evidence, queries  # noqa: F401  (evidence adds its queries to the registry)

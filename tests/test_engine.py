@@ -4,9 +4,9 @@ import os
 import duckdb
 import pytest
 
-from cuetide.operators import folds
+from cuetide.operators import folds, frames, fuzzy
 from cuetide.plans import queries
-from cuetide.sources import captions
+from cuetide.sources import captions, store
 from cuetide.streaming.gate import Gate
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +85,36 @@ def test_reads_captions(spark, tmp_path):
     good, bad = captions.read_captions(spark, str(path))
     assert [tuple(r)[1:] for r in good.orderBy("source_index").collect()] == [(0, "a.srt:0", 1.0, 2.5, "Hello\nthere"), (2, "a.srt:2", 3606.0, 3607.0, "last")]
     assert [r["source_index"] for r in bad.collect()] == [1]
+
+
+def test_fuzzy_scores():
+    assert fuzzy.sequence("", " ") == 1 and fuzzy.sequence("a", "") == 0
+    assert fuzzy.sequence("Hello!", "hello") == 1
+    assert fuzzy.dice("night", "nacht") == 0.25
+    assert fuzzy.dice("aaaa", "aaa") == 0.8
+    assert fuzzy.line_score("one\ntwo", "two\none") == 1
+    assert fuzzy.state_score("ab", "abcd") >= 0.49
+    assert fuzzy.word_error_rate("a b c", "a x c d") == 2 / 3 and fuzzy.word_error_rate("", "x") == 1
+
+
+def test_frame_walks():
+    assert frames.fps_walk([0, 0.4, 1.0, 1.5, 5.0, 5.1, 5.2, 5.3, 5.4], 1) == [0, 2, 4, 5, 6, 7]
+    assert frames.fps_walk([], 1) == []
+    signal = [0, 0, 0.5, 0.5, 0.5, 0.5]
+    assert list(frames.schedule([0, 0.5, 0.6, 0.7, 0.8, 1.7], lambda a, b: abs(signal[a] - signal[b]))) == [(0, "bootstrap"), (2, "candidate"), (3, "candidate_followup"), (5, "sentinel")]
+    on, off = [True] * 4, [False] * 4
+    assert frames.visual_states([off, off, on, on, [True, True, False, False], off]) == [(0, 1, True), (2, 3, False), (4, 4, False), (5, 5, True)]
+    assert frames.visual_states([]) == []
+
+
+@pytest.mark.parametrize("name", ["wn9_visual_states", "wn17_fps_walk", "sm3_schedule", "f7_fuzzy_scores"])
+def test_runs(spark, name):
+    assert queries.queries()[name](spark, SF).limit(5).count() > 0
+
+
+def test_store(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "source_id long, id string")
+    store.append(rows((1, "a"), (2, "b")), path, "source_id")
+    store.replace_sources(rows((2, "c")), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["a", "c"]
