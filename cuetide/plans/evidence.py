@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import frames, fuzzy, windows
-from ..sources import model, store
+from ..operators import bursts, frames, fuzzy, layers, windows
+from ..sources import captions, model, store
 from .queries import _CUES, _OBS, _cues, _obs, query
 
 _REGIONS = """regions AS (SELECT conv_id AS source_id, conv_id || '-' || turn AS id, conv_id || '/' || turn // 3 AS frame, turn AS seq, left(text, 12) AS text,
@@ -187,3 +187,31 @@ def wn19_transitions(spark, d):
     """WN19: consecutive readings that differ."""
     before = F.lag("text").over(windows.in_order())
     return _obs(spark, d).withColumn("before", before).where("before <> text").select("source_id", "id", F.concat("before", F.lit(">"), "text").alias("change"))
+
+
+@query()
+def lg4_layers(spark, d):
+    """LG1-LG4 LG8 AG6 JN6: which expected language each line of a frame belongs to."""
+    rows = _regions(spark, d).withColumn("language", F.when(F.col("seq") % 2 == 0, "zh").otherwise("en"))
+    return layers.assigned(rows, ["zh", "ja", "en"])
+
+
+@query()
+def wn11_bursts(spark, d):
+    """WN11 FLT9: captions split by a garbled piece."""
+    rows = _cues(spark, d).select("source_id", "id", "start_time", "end_time", F.col("layers")[0]["text"].alias("text"), "review_state", F.array((F.col("start_time") / 2).cast("int")).alias("origins"))
+    return bursts.collapse_bursts(rows)
+
+
+@query(f"WITH {_CUES} SELECT source_id, id FROM (SELECT *, regexp_replace(lower(left(text, 4)), '[^a-z0-9]', '', 'g') AS c FROM cues) WHERE NOT (source_id % 2 = 0 AND length(c) >= 2 AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[0-9]') AND NOT contains(trim(left(text, 4), chr(10)), chr(10)))")
+def flt10_machine_tokens(spark, d):
+    said = F.substring(F.col("layers")[0]["text"], 1, 4)
+    rows = _cues(spark, d)
+    return rows.where(~bursts.machine_token(said, F.when(F.col("source_id") % 2 == 0, 0.1).otherwise(1.0))).select("source_id", "id")
+
+
+@query(f"""WITH RECURSIVE {_CUES}, k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_time, end_time, id) AS k FROM cues WHERE review_state <> 'rejected'),
+f AS (SELECT source_id, k, start_time AS anchor, true AS due, text FROM k WHERE k = 1 UNION ALL SELECT k.source_id, k.k, CASE WHEN k.start_time - f.anchor >= 6 THEN k.start_time ELSE f.anchor END, k.start_time - f.anchor >= 6, k.text FROM f JOIN k ON k.source_id = f.source_id AND k.k = f.k + 1)
+SELECT source_id, string_agg(CASE WHEN due THEN '## ' || strftime(make_timestamp((anchor * 1e6)::BIGINT), '%H:%M:%S') || chr(10) ELSE '' END || text || chr(10), '' ORDER BY k) AS body FROM f GROUP BY source_id""")
+def snk3_reading_transcript(spark, d):
+    return captions.reading_transcript(_cues(spark, d), gap=6.0)

@@ -46,3 +46,21 @@ def write_blocks(blocks: DataFrame, path: str, key: str = "source_id") -> None:
     """A folder a source, its blocks in order; sources are spread, no file is written on one machine alone."""
     rows = blocks.repartition(key).sortWithinPartitions(key, "number")
     rows.select(key, "block").write.partitionBy(key).text(path)
+
+
+def reading_transcript(cues: DataFrame, languages: list[str] | None = None, gap: float = 30.0, key: str = "source_id") -> DataFrame:
+    """One text a source: kept cues' layers on lines, a time heading first and again ``gap`` seconds or more after the last one.
+
+    ``languages`` chooses layers; cues left without one make no heading.
+    """
+    layers = F.col("layers") if languages is None else F.filter("layers", lambda x: x["language"].isin(*languages))
+    kept = cues.where(F.col("review_state") != "rejected").withColumn("layers", layers).where(F.size("layers") > 0)
+    part = F.struct("start_time", "end_time", "id", F.array_join(F.transform("layers", lambda x: x["text"]), "\n").alias("said"))
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit("").alias("body"))
+
+    def add(acc, p):
+        due = acc["at"].isNull() | (p["start_time"] - acc["at"] >= gap)
+        head = F.when(due, F.concat(F.lit("## "), clock(p["start_time"]), F.lit("\n"))).otherwise("")
+        return F.struct(F.when(due, p["start_time"]).otherwise(acc["at"]).alias("at"), F.concat(acc["body"], head, p["said"], F.lit("\n")).alias("body"))
+
+    return kept.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list(part)), start, add, lambda acc: acc["body"]).alias("body"))

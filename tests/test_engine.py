@@ -4,9 +4,10 @@ import os
 import duckdb
 import pytest
 
-from cuetide.operators import folds, frames, fuzzy
+from cuetide.operators import bursts, folds, frames, fuzzy, layers
 from cuetide.plans import queries
 from cuetide.sources import captions, store
+from cuetide.streaming import gate as gate_module
 from cuetide.streaming.gate import Gate
 
 SF = "/root/testdata/sf0.001"
@@ -107,7 +108,7 @@ def test_frame_walks():
     assert frames.visual_states([]) == []
 
 
-@pytest.mark.parametrize("name", ["wn9_visual_states", "wn17_fps_walk", "sm3_schedule", "f7_fuzzy_scores"])
+@pytest.mark.parametrize("name", ["wn9_visual_states", "wn17_fps_walk", "sm3_schedule", "f7_fuzzy_scores", "lg4_layers", "wn11_bursts"])
 def test_runs(spark, name):
     assert queries.queries()[name](spark, SF).limit(5).count() > 0
 
@@ -118,3 +119,52 @@ def test_store(spark, tmp_path):
     store.append(rows((1, "a"), (2, "b")), path, "source_id")
     store.replace_sources(rows((2, "c")), path)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["a", "c"]
+
+
+def region(k, text, top=None, bottom=None, language=None):
+    return {"id": k, "seq": k, "text": text, "top": top, "bottom": bottom, "left": float(k), "language": language}
+
+
+def test_language_layers():
+    def told(*rows, expected=("zh", "ja", "en")):
+        by, guess = layers.assign(list(rows), list(expected))
+        return {x: [[r["id"] for r in line] for line in v] for x, v in by.items() if v}, guess
+
+    assert told() == ({}, set())
+    assert told(region(0, "你好", 0, 1), region(1, "かな", 2, 3), region(2, "hello", 4, 5)) == ({"zh": [[0]], "ja": [[1]], "en": [[2]]}, set())
+    assert told(region(0, "你好", 0, 1)) == ({}, {"zh", "ja"})
+    assert told(region(0, "你好", 0, 1, "zh")) == ({"zh": [[0]]}, set())
+    assert told(region(0, "hel", 0, 2), region(1, "lo", 1, 3)) == ({"en": [[0, 1]]}, set())
+    assert told(region(0, "你好", 0, 2), region(1, "hello", 1, 3), expected=("zh", "en")) == ({"zh": [[0]], "en": [[1]]}, set())
+    # Han alone may be zh or ja here, so it does not part from a line that it overlaps
+    assert told(region(0, "你好", 0, 2), region(1, "hello", 1, 3)) == ({"en": [[0, 1]]}, set())
+    assert told(region(0, "hi", 0, 1), region(1, "12", 2, 3), expected=("en",)) == ({"en": [[0], [1]]}, {"en"})
+
+
+def test_bursts(spark):
+    kind = "source_id long, id string, start_time double, end_time double, text string, review_state string, origins array<int>"
+    rows = [(1, f"c{k}", k * 1.0, k + 0.95 if k % 2 == 0 else k + 0.4, "hello world" if k % 2 == 0 else "xhello", "pending", [k]) for k in range(3)]
+    rows[1] = (1, "c1", 1.0, 1.4, "xhello", "pending", [1])
+    rows[2] = (1, "c2", 1.45, 2.0, "hello world", "pending", [2])
+    got = {r["id"]: r for r in bursts.collapse_bursts(spark.createDataFrame(rows, kind)).collect()}
+    assert sorted(got) == ["c0", "c1"] and got["c0"]["end_time"] == 2.0 and got["c0"]["review_state"] == "needs_review" and got["c0"]["origins"] == [0, 2]
+    rows[1] = (1, "c1", 1.0, 1.4, "quite other", "pending", [1])
+    assert bursts.collapse_bursts(spark.createDataFrame(rows, kind)).count() == 3
+
+
+def test_short_extras():
+    text = "a long english line\n一二三四五六七\nFuent"
+    assert bursts.without_short_extras(text) == "a long english line\n一二三四五六七"
+    assert bursts.without_short_extras("a long english line\nFuent") == "a long english line\nFuent"
+
+
+def test_stream_gate(spark, tmp_path):
+    rows = [(s, t / 10, float(t // 7 % 2)) for s in range(3) for t in range(40)]
+    names = "source_id long, start_time double, signal double"
+    for k in range(2):  # two files, one micro-batch each
+        spark.createDataFrame([r for r in rows if (r[1] >= 2) == bool(k)], names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = gate_module.stream_triggers(spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    running = stream.writeStream.format("memory").queryName("gate_rows").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    running.awaitTermination(120)
+    want = gate_module.triggers(spark.createDataFrame(rows, names)).collect()
+    assert sorted(map(tuple, spark.table("gate_rows").collect())) == sorted(map(tuple, want))
