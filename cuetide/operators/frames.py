@@ -139,3 +139,19 @@ def grouped_states(frames: DataFrame, threshold: float = SAME_STATE, key: str =
         return [("blank" if blank else "subtitle", times[a], times[b], b - a + 1) for a, b, blank in visual_states(cells, threshold)]
 
     return _grouped(frames, ["signature"], fold, ["kind", "start_time", "end_time", "n"], "kind string, start_time double, end_time double, n long", key)
+
+
+def mass_distance(a: Column, b: Column) -> Column:
+    """Absolute difference over the sum of two coverage arrays; no mass: 0; different sizes: 1."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    mass = total(a) + total(b)
+    return F.when(F.size(a) != F.size(b), 1.0).when(mass <= 1e-9, 0.0).otherwise(apart / mass)
+
+
+def occupancy_distance(a: Column, b: Column, band: int) -> Column:
+    """Share of differing cells over the bands of ``band`` cells that either signature has ink in; none: 0."""
+    cells = F.zip_with(a, b, lambda x, y: F.struct((x | y).alias("ink"), (x != y).alias("differ")))
+    bands = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / band).cast("int") - 1, F.lit(0))), lambda k: F.slice(cells, k * band + 1, F.lit(band)))
+    used = F.flatten(F.filter(bands, lambda x: F.exists(x, lambda c: c["ink"])))
+    return F.when(F.size(a) != F.size(b), 1.0).when(F.size(used) == 0, 0.0).otherwise(F.size(F.filter(used, lambda c: c["differ"])) / F.size(used))

@@ -215,3 +215,14 @@ f AS (SELECT source_id, k, start_time AS anchor, true AS due, text FROM k WHERE
 SELECT source_id, string_agg(CASE WHEN due THEN '## ' || strftime(make_timestamp((anchor * 1e6)::BIGINT), '%H:%M:%S') || chr(10) ELSE '' END || text || chr(10), '' ORDER BY k) AS body FROM f GROUP BY source_id""")
 def snk3_reading_transcript(spark, d):
     return captions.reading_transcript(_cues(spark, d), gap=6.0)
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT vec_id, list_transform(a, lambda x: abs(x)::DOUBLE) AS m, list_transform(b, lambda x: abs(x)::DOUBLE) AS n, list_transform(a, lambda x: x > 0.15) AS s, list_transform(b, lambda x: x > 0.15) AS t FROM pairs WHERE b IS NOT NULL),
+u AS (SELECT *, list_filter(generate_series(1, 64), lambda i: list_bool_or(list_concat(s[(i - 1) // 8 * 8 + 1 : (i - 1) // 8 * 8 + 8], t[(i - 1) // 8 * 8 + 1 : (i - 1) // 8 * 8 + 8]))) AS used FROM c)
+SELECT vec_id, round(list_sum(list_transform(list_zip(m, n), lambda p: abs(p[1] - p[2]))) / (list_sum(m) + list_sum(n)), 6) AS mass, round(CASE WHEN len(used) = 0 THEN 0 ELSE len(list_filter(used, lambda i: s[i] <> t[i])) / len(used) END, 9) AS occupancy FROM u""")
+def im5_signature_distances(spark, d):
+    """IM5 IM13: signatures compared by their ink's mass and over occupied bands."""
+    rows = model.table(spark, d, "embeddings")
+    rows = rows.withColumn("b", F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))).where("b is not null")
+    ink, cells = (lambda c: F.transform(c, lambda x: F.abs(x))), (lambda c: F.transform(c, lambda x: x > F.lit(0.15)))
+    return rows.select("vec_id", F.round(frames.mass_distance(ink("embedding"), ink("b")), 6).alias("mass"), F.round(frames.occupancy_distance(cells("embedding"), cells("b"), 8), 9).alias("occupancy"))
