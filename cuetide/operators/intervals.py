@@ -53,6 +53,17 @@ def covering(points: DataFrame, spans: DataFrame, *, point_id: str, span_id: str
     return pairs.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k", "bin", "join_key", "s_first")
 
 
+def reached(spans: DataFrame, points: DataFrame, *, span_id: str, at: str = "at", tolerance: float = 0.0, key: str = "source_id", width: float = 60.0) -> DataFrame:
+    """``span_id, n``: how many points lie in each span widened by ``tolerance``, ends included; none: 0."""
+    wide = spans.select(key, span_id, (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))
+    left = _bins(_named(wide, key, "s_"), "s_", width)
+    right = points.select(F.col(key).alias("join_key"), F.col(at).alias("p_at"), F.floor(F.col(at) / width).alias("bin"))
+    # a point lies in one bin only, so no pair is met twice
+    met = left.join(right, ["join_key", "bin"]).where(F.col("p_at").between(F.col("s_start_time"), F.col("s_end_time")))
+    counts = met.groupBy(F.col(f"s_{span_id}").alias(span_id)).agg(F.count("*").alias("n"))
+    return spans.select(span_id).join(counts, span_id, "left").select(span_id, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def nearest(points: DataFrame, others: DataFrame, *, at: str = "at", value: str = "value", key: str = "source_id") -> DataFrame:
     """Each point with the nearest other row of its key, before or after; ties: the earlier one.
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bursts, frames, fuzzy, layers, windows
+from ..operators import bursts, frames, fuzzy, intervals, layers, windows
 from ..sources import captions, model, store
-from .queries import _CUES, _OBS, _cues, _obs, query
+from .queries import _CUES, _OBS, _SPANS, _cues, _obs, _spans, query
 
 _REGIONS = """regions AS (SELECT conv_id AS source_id, conv_id || '-' || turn AS id, conv_id || '/' || turn // 3 AS frame, turn AS seq, left(text, 12) AS text,
   CASE WHEN turn % 5 <> 0 THEN (turn * 7 % 4)::DOUBLE END AS top, CASE WHEN turn % 5 <> 0 THEN (turn * 7 % 4)::DOUBLE + 1.5 END AS bottom, (turn % 2)::DOUBLE AS left_, turn / 100 AS confidence FROM conversations)"""
@@ -226,3 +226,20 @@ def im5_signature_distances(spark, d):
     rows = rows.withColumn("b", F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))).where("b is not null")
     ink, cells = (lambda c: F.transform(c, lambda x: F.abs(x))), (lambda c: F.transform(c, lambda x: x > F.lit(0.15)))
     return rows.select("vec_id", F.round(frames.mass_distance(ink("embedding"), ink("b")), 6).alias("mass"), F.round(frames.occupancy_distance(cells("embedding"), cells("b"), 8), 9).alias("occupancy"))
+
+
+def _reached(spark, d):
+    truth, found = _spans(spark, d)
+    return intervals.reached(truth, found.select("source_id", F.col("start_time").alias("at")), span_id="truth_id", tolerance=2.0)
+
+
+@query(f"WITH {_SPANS} SELECT truth_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.source_id = t.source_id AND f.s BETWEEN t.s - 2 AND t.e + 2)")
+def jn16_uncovered(spark, d):
+    """JN16 EV9: states that no observation reaches, within a tolerance."""
+    return _reached(spark, d).where("n = 0").select("truth_id")
+
+
+@query(f"WITH {_SPANS}, n AS (SELECT truth_id, count(f.s) AS n FROM truth t LEFT JOIN found f ON f.source_id = t.source_id AND f.s BETWEEN t.s - 2 AND t.e + 2 GROUP BY truth_id) SELECT n AS representatives, count(*) AS states, sum(greatest(0, n - 1))::BIGINT AS excess FROM n GROUP BY n")
+def ev9_representatives(spark, d):
+    """EV9: how many representatives states have, and those beyond one."""
+    return _reached(spark, d).groupBy(F.col("n").alias("representatives")).agg(F.count("*").alias("states"), F.sum(F.greatest(F.lit(0), F.col("n") - 1)).cast("long").alias("excess"))
