@@ -102,7 +102,7 @@ b AS (SELECT *, CASE WHEN start_time > max(end_time) OVER (PARTITION BY source_i
 p AS (SELECT *, sum(br) OVER (PARTITION BY source_id, same ORDER BY start_time, id) AS part FROM b)
 SELECT source_id, first(id ORDER BY start_time, id) AS id, min(start_time) AS start_time, max(end_time) AS end_time, any_value(t) AS text, count(*) AS n FROM p GROUP BY source_id, same, part""")
 def wn4_consolidate(spark, d):
-    found = windows.consolidate(_cues(spark, d).select("source_id", "id", "start_time", "end_time", F.substring(F.col("layers")[0]["text"], 1, 1).alias("text")))
+    found = windows.consolidate(_cues(spark, d).select("source_id", "id", "start_time", "end_time", F.col("layers")[0]["text"].alias("text")))
     return found.select("source_id", "id", "start_time", "end_time", "text", "n")
 
 
