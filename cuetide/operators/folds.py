@@ -83,7 +83,22 @@ def state_runs(readings: list[dict], threshold: float = 0.5) -> Iterator[tuple[l
 
 
 def overlap(before: str, text: str) -> int:
-    return next((k for k in range(min(len(before), len(text)), 0, -1) if before.endswith(text[:k])), 0)
+    """The most characters that end ``before`` and start ``text``, by the prefix function in linear time."""
+    if not text:
+        return 0
+    border, k = [0], 0
+    for c in text[1:]:
+        while k and text[k] != c:
+            k = border[k - 1]
+        k += text[k] == c
+        border.append(k)
+    k = 0
+    # no more than text's length can meet it, so k is len(text) at the end only
+    for c in before[-len(text) :]:
+        while k and text[k] != c:
+            k = border[k - 1]
+        k += text[k] == c
+    return k
 
 
 def transition(said: str, end: float, text: str, start: float, pause: float = 1.0) -> tuple[str, int]:

@@ -86,7 +86,7 @@ def wn1_state_runs(spark, d):
 @query()
 def wn6_rolling_captions(spark, d):
     """WN6-WN8: rolling captions folded into whole cues."""
-    rows = model.table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("turn") * 2.0).alias("start_time"), (F.col("turn") * 2.0 + 2.5).alias("end_time"), F.substring("text", 1, 80).alias("text"))
+    rows = model.table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("turn") * 2.0).alias("start_time"), (F.col("turn") * 2.0 + 2.5).alias("end_time"), "text")
     return folds.rolling(rows)
 
 

@@ -1,11 +1,14 @@
 """Queries take their whole input: texts aren't cut before the operator sees them."""
 
+import itertools
 import os
+import random
+import time
 
 import duckdb
 import pytest
 
-from cuetide.operators import windows
+from cuetide.operators import folds, windows
 from cuetide.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,42 @@ def test_consolidate_merges_equal_texts(spark):
     cues = spark.createDataFrame([(1, *r) for r in rows], "source_id long, id string, start_time double, end_time double, text string")
     got = [(r["id"], r["end_time"], r["text"], r["n"]) for r in windows.consolidate(cues).orderBy("start_time").collect()]
     assert got == [("a", 3.0, "same text", 2), ("c", 4.0, "same text", 1), ("d", 5.0, "some text", 1), ("e", 6.0, "", 1), ("f", 7.0, "", 1)]
+
+
+def test_overlap():
+    words = ["".join(w) for n in range(6) for w in itertools.product("ab", repeat=n)]
+    for a, b in itertools.product(words, words):
+        want = max(k for k in range(min(len(a), len(b)) + 1) if a.endswith(b[:k]))
+        assert folds.overlap(a, b) == want
+    rng = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("aaab") for _ in range(rng.randint(0, 150))) for _ in "ab")
+        b = a[rng.randint(0, len(a)) :] + b if rng.random() < 0.5 else b
+        assert folds.overlap(a, b) == max(k for k in range(min(len(a), len(b)) + 1) if a.endswith(b[:k]))
+
+
+def test_overlap_is_linear():
+    began = time.process_time()
+    assert folds.overlap("a" * 500_000, "a" * 499_999 + "b") == 499_999
+    assert folds.overlap("b" + "a" * 500_000, "a" * 250_000 + "b" + "a" * 250_000) == 250_000
+    assert time.process_time() - began < 10
+
+
+@needs_tables
+def test_rolling_takes_whole_texts(spark):
+    got = {r["id"]: r for r in queries.queries()["wn6_rolling_captions"](spark, SF).collect()}
+    rows = asked("SELECT conv_id || '-' || turn AS id, text FROM conversations").fetchall()
+    texts = dict(rows)
+    assert sorted(i for r in got.values() for i in r["observation_ids"]) == sorted(texts)
+    for r in got.values():
+        want = ""
+        for i in r["observation_ids"]:
+            k = max(k for k in range(min(len(want), len(texts[i])) + 1) if want.endswith(texts[i][:k]))
+            want += texts[i][k:]
+        assert r["text"] == want
+
+
+def test_rolling_joins_long_texts(spark):
+    a, b = "x" * 50 + "y" * 50, "y" * 50 + "z" * 50
+    rows = spark.createDataFrame([(1, "a", 0, 0.0, 2.5, a), (1, "b", 1, 2.0, 4.5, b)], "source_id long, id string, seq int, start_time double, end_time double, text string")
+    assert [(r["text"], r["flags"]) for r in folds.rolling(rows).collect()] == [("x" * 50 + "y" * 50 + "z" * 50, ["sliding"])]
