@@ -19,7 +19,7 @@ def _regions(spark, d):
     t = model.table(spark, d, "conversations")
     top = F.when(F.col("turn") % 5 != 0, (F.col("turn") * 7 % 4).cast("double"))
     return t.select(
-        F.col("conv_id").alias("source_id"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws("/", F.col("conv_id"), F.floor(F.col("turn") / 3)).alias("frame"), F.col("turn").alias("seq"), F.substring("text", 1, 12).alias("text"),
+        F.col("conv_id").alias("source_id"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws("/", F.col("conv_id"), F.floor(F.col("turn") / 3)).alias("frame"), F.col("turn").alias("seq"), "text",
         top.alias("top"), (top + 1.5).alias("bottom"), (F.col("turn") % 2).cast("double").alias("left"), (F.col("turn") / 100).alias("confidence"),
     )
 

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from cuetide.operators import folds, windows
-from cuetide.plans import queries
+from cuetide.plans import evidence, queries
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -79,3 +79,17 @@ def test_rolling_joins_long_texts(spark):
     a, b = "x" * 50 + "y" * 50, "y" * 50 + "z" * 50
     rows = spark.createDataFrame([(1, "a", 0, 0.0, 2.5, a), (1, "b", 1, 2.0, 4.5, b)], "source_id long, id string, seq int, start_time double, end_time double, text string")
     assert [(r["text"], r["flags"]) for r in folds.rolling(rows).collect()] == [("x" * 50 + "y" * 50 + "z" * 50, ["sliding"])]
+
+
+@needs_tables
+def test_same_frame_joins_whole_texts(spark):
+    # the query's SQL, over whole texts
+    sql = queries.oracle_sql()["ag5_same_frame"].replace("left(text, 12) AS text", "text")
+    same_rows(queries.queries()["ag5_same_frame"](spark, SF), asked(sql))
+
+
+def test_layers_see_scripts_after_a_prefix(spark, tmp_path):
+    rows = [(1, 0, "user", "0123456789 12 かな"), (1, 1, "user", "0123456789 12 hello")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["language"]: (r["text"], r["ambiguous"]) for r in evidence.lg4_layers(spark, str(tmp_path)).collect()}
+    assert got == {"zh": ("", False), "ja": (rows[0][3], False), "en": (rows[1][3], False)}
