@@ -205,9 +205,9 @@ def wn11_bursts(spark, d):
 
 @query(f"WITH {_CUES} SELECT source_id, id FROM (SELECT *, regexp_replace(lower(left(text, 4)), '[^a-z0-9]', '', 'g') AS c FROM cues) WHERE NOT (source_id % 2 = 0 AND length(c) >= 2 AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[0-9]') AND NOT contains(trim(left(text, 4), chr(10)), chr(10)))")
 def flt10_machine_tokens(spark, d):
-    said = F.substring(F.col("layers")[0]["text"], 1, 4)
-    rows = _cues(spark, d)
-    return rows.where(~bursts.machine_token(said, F.when(F.col("source_id") % 2 == 0, 0.1).otherwise(1.0))).select("source_id", "id")
+    """FLT10: cues but the very short ones that read as machine tokens."""
+    token = bursts.machine_token(F.col("layers")[0]["text"], F.col("end_time") - F.col("start_time"))
+    return _cues(spark, d).where(~token).select("source_id", "id")
 
 
 @query(f"""WITH RECURSIVE {_CUES}, k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_time, end_time, id) AS k FROM cues WHERE review_state <> 'rejected'),

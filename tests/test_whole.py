@@ -7,8 +7,9 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from cuetide.operators import folds, windows
+from cuetide.operators import bursts, folds, windows
 from cuetide.plans import evidence, queries
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +94,16 @@ def test_layers_see_scripts_after_a_prefix(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["language"]: (r["text"], r["ambiguous"]) for r in evidence.lg4_layers(spark, str(tmp_path)).collect()}
     assert got == {"zh": ("", False), "ja": (rows[0][3], False), "en": (rows[1][3], False)}
+
+
+def test_machine_tokens(spark):
+    rows = [("R90", 0.2), ("r 9-0", 0.1), ("R90", 0.25), ("R90\nx1", 0.1), ("a1 x and a long caption", 0.1), ("R", 0.1), ("90", 0.1), ("ab", 0.1), ("a1b2", 0.1), ("a1b2c", 0.1)]
+    found = spark.createDataFrame(rows, "text string, seconds double").where(bursts.machine_token(F.col("text"), F.col("seconds")))
+    assert sorted(map(tuple, found.collect())) == [("R90", 0.2), ("a1b2", 0.1), ("r 9-0", 0.1)]
+
+
+def test_machine_tokens_by_whole_text_and_duration(spark, monkeypatch):
+    kind = "source_id long, id string, start_time double, end_time double, layers array<struct<language:string,text:string>>"
+    rows = [(2, "long", 0.0, 0.1, [("en", "a1 x and a long caption")]), (2, "slow", 1.0, 3.5, [("en", "R90")]), (1, "token", 5.0, 5.125, [("en", "R90")]), (2, "word", 6.0, 6.125, [("en", "ab")])]
+    monkeypatch.setattr(evidence, "_cues", lambda spark, d: spark.createDataFrame(rows, kind))
+    assert sorted(r["id"] for r in evidence.flt10_machine_tokens(spark, "").collect()) == ["long", "slow", "word"]
