@@ -45,14 +45,14 @@ def im1_frame_difference(spark, d):
 
 @query()
 def wn9_visual_states(spark, d):
-    """WN9 WN23 SM4: visual states of the signatures of each source, near their first one."""
+    """WN9, of WN23 kind, start, end and count: visual states of the signatures of each source, near their first one."""
     rows = model.table(spark, d, "embeddings").select(F.col("label").alias("source_id"), F.col("vec_id").cast("double").alias("start_time"), F.transform("embedding", lambda x: x > 0).alias("signature"))
     return frames.grouped_states(rows, 0.4)
 
 
 @query()
 def wn17_fps_walk(spark, d):
-    """WN17 SM10: frames that a fixed rate keeps, catching up after gaps."""
+    """WN17: frames that a fixed rate keeps, catching up after gaps."""
     return frames.sampled(_obs(spark, d).select("source_id", "start_time"), 1 / 3600)
 
 
@@ -221,7 +221,7 @@ def snk3_reading_transcript(spark, d):
 u AS (SELECT *, list_filter(generate_series(1, 64), lambda i: list_bool_or(list_concat(s[(i - 1) // 8 * 8 + 1 : (i - 1) // 8 * 8 + 8], t[(i - 1) // 8 * 8 + 1 : (i - 1) // 8 * 8 + 8]))) AS used FROM c)
 SELECT vec_id, round(list_sum(list_transform(list_zip(m, n), lambda p: abs(p[1] - p[2]))) / (list_sum(m) + list_sum(n)), 6) AS mass, round(CASE WHEN len(used) = 0 THEN 0 ELSE len(list_filter(used, lambda i: s[i] <> t[i])) / len(used) END, 9) AS occupancy FROM u""")
 def im5_signature_distances(spark, d):
-    """IM5 IM13: signatures compared by their ink's mass and over occupied bands."""
+    """IM5, of IM13 the mass distance: signatures compared by their ink's mass and over occupied bands."""
     rows = model.table(spark, d, "embeddings")
     rows = rows.withColumn("b", F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))).where("b is not null")
     ink, cells = (lambda c: F.transform(c, lambda x: F.abs(x))), (lambda c: F.transform(c, lambda x: x > F.lit(0.15)))

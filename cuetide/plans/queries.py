@@ -214,6 +214,7 @@ def jn1_interval_anti(spark, d):
 
 @query(f"WITH {_SPANS} SELECT count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE t.source_id = f.source_id AND t.s < f.e AND t.e > f.s)) AS recovered, count(*) AS n FROM truth t")
 def ev2_recall(spark, d):
+    """Of EV2 the recall: truth spans that some found span overlaps."""
     truth, found = _spans(spark, d)
     hit = intervals.overlapping(truth, found, id_col="truth_id").select("truth_id", F.lit(1).alias("hit"))
     return truth.join(hit, "truth_id", "left").agg(F.count("hit").alias("recovered"), F.count("*").alias("n"))
