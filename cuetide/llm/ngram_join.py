@@ -3,27 +3,34 @@
 A document is the set of its distinct ``size``-word shingles, as 64-bit hashes. Two link when
 their Jaccard similarity is ``percent`` per cent or more.
 
-1. Equal sets are one class, found by a digest of the set and summed before the shuffle.
+1. Equal sets are one class, found by a digest of the set and summed before the shuffle. Classes are
+   the nodes from here on, numbered in a written table.
 2. Seeds: classes that share one of their ``SEEDS`` smallest shingles, at about the same size, are
    compared with the first class that has it (a star, not all pairs). Verified links are
    merged into components, so large groups of near copies collapse at linear cost.
-3. Adaptive prefixes find every link between different components. All shingles have one
-   order: rare before frequent by a counting sketch over the whole corpus, then by hash. If x and y
+3. Counts: every shingle of the corpus is counted, by as many bits of its hash as the corpus needs
+   for about one shingle a value. Those with ``LEAST`` or more are frequent.
+4. Adaptive prefixes find every link between different components. All shingles have one
+   order: rare before frequent by their counts, then by hash. If x and y
    are similar, their prefixes of ``|x| - ceil(t |x|) + l`` shingles share at least ``l``. Each
-   document picks its own ``l`` by its candidates' estimated cost, the frequent shingles in its
-   prefix, and a pair must share as many as the smaller ``l`` of the two; size and place
-   filters go before. The documents of a hot shingle meet with their whole prefixes, and only pairs
-   that share enough leave the task. Candidates are verified on whole texts.
-4. Components of all verified links.
+   document picks its own ``l`` by its candidates' estimated number, the counts of the frequent
+   shingles in its prefix, and a pair must share as many as the smaller ``l`` of the two; size and
+   place filters go before. Fewer than ``LEAST`` documents share a rare shingle, so its pairs
+   are rows. Few documents have a frequent one where a similar set must meet them; those meet with whole
+   prefixes: once with a few of their like, so that what is alike becomes few components, then with all of other
+   components, dealt over pairs of groups of about ``CELL`` members. Only pairs that share enough leave a task.
+   Candidates are verified on whole texts.
+5. Components of all verified links; rows that share an id are linked too.
 
 Nothing is capped: a group of documents with a common shingle is only skipped where they
-are in one component already. What is frequent stands last in the order and so in no prefix of a
-document with enough else. A hub's comparisons are dealt over salted groups of about
-``GROUP`` members, each of which streams past the hub's set.
+are in one component already. The table of frequent shingles is broadcast; it holds at most
+``MAX_FREQUENT``, for ``LEAST`` doubles until they fit. A hub's comparisons are dealt over salted groups
+of about ``GROUP`` members, each of which streams past the hub's set.
 
 Edge cases: null and empty texts have no set and link with nothing; fewer words than ``size``: the whole
-sequence is the one shingle; rows that share an id are one node; a null id links with
-nothing and its component is null; an empty table gives no row; other columns don't matter.
+sequence is the one shingle; rows that share an id are one document with several sets, linked if any
+of them is; a null id links with nothing and its component is null; an empty table gives no row;
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -38,14 +45,13 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, text_or_empty, written
 from .components import components
-from .suffix_dedup import ODD, mixed
+from .suffix_dedup import ODD, _from_planes, _sorted_planes, mixed
 
-SIZE, PERCENT, SEEDS, GROUP = 5, 80, 6, 256
-#: log2 of the counting sketch's counters; postings of a bucket, about.
-SKETCH_BITS, BUCKET = 20, 300_000
-MAX_MATCHES = 8
-#: A prefix shingle that makes more pairs than this is hot: its documents meet with whole prefixes.
-HOT_PAIRS = 2000
+SIZE, PERCENT, SEEDS, GROUP, CELL = 5, 80, 6, 256, 512
+#: Postings of a bucket and counted shingles of a bucket, about.
+BUCKET, COUNT_BUCKET = 300_000, 4_000_000
+#: A shingle of so many documents is frequent; the broadcast table of them has at most so many rows.
+LEAST, MAX_FREQUENT = 16, 1 << 20
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -86,101 +92,156 @@ def least_shared(n, percent: int):
     return -(-n * percent // 100)
 
 
-def described(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, digest, seeds`` of each row; also rows with ``block`` and ``counts`` of the sketch."""
-    names = ["doc_id", "n", "digest", "seeds", "block", "counts"]
-    blocks = 16
+def counted(hashes: list[np.ndarray], bits: int, bucket_bits: int):
+    """(bucket, its distinct leading ``bits`` and their counts, packed) of some shingles."""
+    import zstandard
+
+    pack, low = zstandard.ZstdCompressor(level=1), bits - bucket_bits
+    keys = np.sort(np.concatenate(hashes) >> np.uint64(64 - bits))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff([*first, len(keys)]).astype("<u4")
+    keys = keys[first]
+    cuts = np.searchsorted(keys, np.arange(0, (1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(low))
+    for bucket, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if b > a:
+            rest = (keys[a:b] & np.uint64((1 << low) - 1)).astype(np.uint32)
+            more = np.flatnonzero(counts[a:b] > 1).astype("<u4")  # most occur once
+            yield bucket, pack.compress(len(more).to_bytes(4, "little") + more.tobytes() + counts[a:b][more].tobytes() + _sorted_planes(rest))
 
-    def run(batches):
-        import zstandard
 
-        sets, pack, held, n_held = Shingler(size), zstandard.ZstdCompressor(level=1), [], 0
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+def uncounted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    more, several = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
+    keys = _from_planes(raw[4 + 8 * n :])
+    counts = np.ones(len(keys), np.int64)
+    counts[more] = several
+    return keys, counts
 
-        def add():
-            nonlocal counts
-            counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
-            held.clear()
+
+def described(docs: DataFrame, size: int, bits: int, bucket_bits: int) -> DataFrame:
+    """``doc_id, text_hash, n, digest, seeds`` of each row; also rows with ``block`` and ``counts``: shingles counted.
+
+    Copies that a task meets count once there.
+    """
+    names = ["doc_id", "text_hash", "n", "digest", "seeds", "block", "counts"]
+
+    def run(batches):
+        sets, met, held, n_held = Shingler(size), set(), [], 0
+
+        def rows():
+            got = list(counted(held, bits, bucket_bits))
+            k = len(got)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=names)
 
         for batch in batches:
             ns, digests, seeds = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = sets(text.as_buffer().to_pybytes())
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 ns.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(digest)
                 seeds.append(s[:SEEDS].view(np.int64).tolist())
-                if len(s):
-                    held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                if len(s) and digest not in met:
+                    if len(met) > 200_000:
+                        met.clear()
+                    met.add(digest)
+                    held.append(s)
                     n_held += len(s)
                     if n_held > 4_000_000:
-                        add()
-                        n_held = 0
+                        yield rows()
+                        held, n_held = [], 0
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if held:
-            add()
-        if counts.any():
-            parts = [pack.compress(x.tobytes()) for x in counts.reshape(blocks, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()), pa.nulls(blocks, pa.list_(pa.int64())), pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield rows()
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, seeds array<long>, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, seeds array<long>, block int, counts binary")
 
 
-def frequency_classes(rows: DataFrame) -> np.ndarray:
-    """The sketch's counters as classes: 0 is ordinary, each one more is twice as frequent.
+class Frequent:
+    """Classes of frequent shingles by their leading bits: 0 is rare, each one more is twice as frequent."""
 
-    Every task of the shingling sent one sketch of fixed size. They are summed in two levels, so no
-    task adds more than its share, and one sketch, a few MB whatever the corpus, reaches the driver.
-    """
+    def __init__(self, keys: np.ndarray, classes: np.ndarray, bits: int):
+        order = np.argsort(keys)
+        self.keys, self.classes, self.bits = keys[order], classes[order], bits
 
-    def run(batches):
-        import zstandard
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(s), np.uint8)
+        k = s >> np.uint64(64 - self.bits)
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where(self.keys[at] == k, self.classes[at], 0).astype(np.uint8)
 
-        undo, pack, total = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), {}
-        for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(undo.decompress(raw.as_py()), np.int64)
-                total[b] = total[b] + x if b in total else x.copy()
-        if total:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "counts": pa.array([pack.compress(x.tobytes()) for x in total.values()], pa.binary())})
 
-    import zstandard
+def frequent(rows: DataFrame, bits: int, bucket_bits: int, least: int, most: int) -> Frequent:
+    """The shingles that ``least`` documents or more have; ``least`` doubles until they are at most ``most``."""
 
-    schema, spark = "block int, counts binary", rows.sparkSession
-    some = rows.where(F.col("block").isNotNull()).select("block", "counts").coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, schema)
-    out = some.repartition(16, "block").mapInArrow(run, schema).collect()
-    counts = np.zeros((16, (1 << SKETCH_BITS) // 16), np.int64)
-    for r in out:
-        counts[r["block"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.int64)
-    counts = counts.ravel()
-    usual = max(1.0, counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts / (4 * usual), 0.5))) + 1, 0, 40).astype(np.uint8)
+    def run(batches):
+        import zstandard
 
+        undo, now, held = zstandard.ZstdDecompressor(), None, []
 
-def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(the adaptive prefix, rare shingles first, and its number of matches ``l``) of a set."""
+        def found():
+            keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+            total = np.add.reduceat(counts[order], first)
+            often = total >= least
+            key = keys[order][first][often].astype(np.int64) | now << (bits - bucket_bits)
+            kind = np.floor(np.log2(total[often] / least)).astype(np.int32) + 1
+            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "kind": pa.array(kind, pa.int32())})
+
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and block != now:
+                    yield found()
+                    held = []
+                now = block
+                held.append(uncounted(undo.decompress(raw.as_py())))
+        if held:
+            yield found()
+
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bucket_bits)
+    some = rows.where(F.col("block").isNotNull()).select("block", "counts").repartition(n, "block").sortWithinPartitions("block")
+    table = written(some.mapInArrow(run, "key long, kind int"), "frequent")
+    sizes, lowest = {r["kind"]: r["count"] for r in table.groupBy("kind").count().collect()}, 1
+    while sum(c for k, c in sizes.items() if k >= lowest) > most:
+        lowest += 1
+    got = table.where(F.col("kind") >= lowest).toArrow()  # at most ``most`` rows
+    kinds = got["kind"].to_numpy() - (lowest - 1)
+    return Frequent(got["key"].to_numpy().astype(np.uint64), kinds.astype(np.uint8), bits)
+
+
+def prefix(s: np.ndarray, classes: Frequent, percent: int) -> tuple[np.ndarray, int, int, int]:
+    """(the adaptive prefix, rare shingles first; how many of it are rare; the length that any similar set's meets; ``l``) of a set."""
     n = len(s)
-    kind = classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    kind = classes(s)
     order = np.argsort(kind, kind="stable") if kind.any() else np.arange(n)
     least = int(least_shared(n, percent))
     base = n - least + 1
-    cost = float(np.exp2(kind[order[:base]].astype(float)).sum() - (kind[order[:base]] == 0).sum())  # frequent shingles bring candidates
-    matches = min(MAX_MATCHES, max(1, least), 1 + int(np.log2(1 + cost)))
-    return s[order[: base + matches - 1]], matches
+    first = kind[order[:base]]
+    cost = float(np.exp2(first[first > 0].astype(float)).sum())  # frequent shingles bring candidates
+    matches = min(max(1, least), 1 + int(np.sqrt(cost)))
+    size = base + matches - 1
+    return s[order[:size]], int((kind[order[:size]] == 0).sum()), base, matches
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
-_POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("component", "<i8"), ("n", "<u4"), ("place", "<u4"), ("matches", "u1")])
+_POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("component", "<i8"), ("n", "<u4"), ("place", "<u4"), ("matches", "<u4"), ("often", "<u4")])
+
 
+def send_prefixes(docs: DataFrame, classes, bits: int, size: int, percent: int) -> DataFrame:
+    """Postings of the rare prefix shingles of ``node, component, text``, packed by bucket of the shingle.
 
-def send_prefixes(docs: DataFrame, classes: np.ndarray, bits: int, size: int, percent: int) -> DataFrame:
-    """Prefix postings of ``doc_id, component, text``, packed by bucket of the shingle."""
+    A document with frequent ones in its prefix also sends itself: a row of a negative bucket.
+    """
     flush = 1_000_000
 
     def run(batches):
         import zstandard
 
-        sets, pack, held, n_held, last = Shingler(size), zstandard.ZstdCompressor(level=2), [], 0, None
+        known, sets, pack, held, n_held = classes.value, Shingler(size), zstandard.ZstdCompressor(level=2), [], 0
 
         def rows():
             key = np.concatenate([h[0] for h in held])
@@ -188,7 +249,7 @@ def send_prefixes(docs: DataFrame, classes: np.ndarray, bits: int, size: int, pe
             table = np.empty(len(key), _POSTING)
             table["token"] = (key >> np.uint64(bits)) & np.uint64(0xFFFFFFFF)
             table["place"] = np.concatenate([np.arange(c) for c in counts])
-            for k, name in enumerate(("doc", "component", "n", "matches"), 1):
+            for k, name in enumerate(("doc", "component", "n", "matches", "often"), 1):
                 table[name] = np.repeat(np.asarray([h[k] for h in held]), counts)
             bucket = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -203,21 +264,27 @@ def send_prefixes(docs: DataFrame, classes: np.ndarray, bits: int, size: int, pe
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], schema=_SENT)
 
         for batch in batches:
-            for doc, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                if not len(s := sets(raw)) or (doc, raw) == last:
+            whole = []
+            for node, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not len(s := sets(text.as_buffer().to_pybytes())):
                     continue
-                last = (doc, raw)
-                tokens, matches = prefix(s, classes, percent)
-                held.append((tokens, doc, component, len(s), matches))
-                n_held += len(tokens)
+                tokens, rare, base, matches = prefix(s, known, percent)
+                if rare < base:  # a similar set may share frequent shingles only
+                    dealt = tokens[rare:base]
+                    head = np.asarray([node, component, len(s), matches, len(dealt)], "<i8").tobytes()
+                    whole.append((-1 - node % (1 << bits), head + dealt.astype("<u8").tobytes() + tokens.astype("<u4").tobytes()))
+                if rare:
+                    held.append((tokens[:rare], node, component, len(s), matches, len(tokens) - rare))
+                    n_held += rare
                 if n_held >= flush:
                     yield rows()
                     held, n_held = [], 0
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in whole], pa.int32()), pa.array([r[1] for r in whole], pa.binary())], schema=_SENT)
         if held:
             yield rows()
 
-    return docs.select("doc_id", "component", "text").mapInArrow(run, "bucket int, payload binary")
+    return docs.select("node", "component", "text").mapInArrow(run, "bucket int, payload binary")
 
 
 def _postings(raw: bytes) -> np.ndarray:
@@ -233,14 +300,13 @@ def _postings(raw: bytes) -> np.ndarray:
     return out
 
 
-def runs_of(p: np.ndarray, hot_pairs: int):
-    """(postings by shingle, starts and sizes of the runs with several components, which of them are hot)."""
+def runs_of(p: np.ndarray):
+    """(postings by shingle, starts and sizes of the runs with several components)."""
     p = p[np.argsort(p["token"], kind="stable")]
     starts = np.flatnonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]]))
     sizes = np.diff([*starts, len(p)])
     mixed_up = np.minimum.reduceat(p["component"], starts) != np.maximum.reduceat(p["component"], starts)
-    starts, sizes = starts[mixed_up], sizes[mixed_up]
-    return p, starts, sizes, sizes * (sizes - 1) // 2 > hot_pairs
+    return p, starts[mixed_up], sizes[mixed_up]
 
 
 def pairs_of(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, most: int = 2_000_000):
@@ -265,6 +331,7 @@ def pairs_of(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int,
         if len(u):
             lo, hi = np.minimum(u["doc"], v["doc"]), np.maximum(u["doc"], v["doc"])
             least = needed(nu[fine], u["matches"].astype(np.int64), nv[fine], v["matches"].astype(np.int64), percent)
+            least = np.maximum(1, least - np.minimum(u["often"], v["often"]).astype(np.int64))  # the others may be frequent ones
             order = np.lexsort((hi, lo))
             lo, hi, least = lo[order], hi[order], least[order]
             cut = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
@@ -283,12 +350,19 @@ def needed(nu, lu, nv, lv, percent: int):
     return np.maximum(np.minimum(lu, lv), overlap - follow - 1)
 
 
-_PAIR = "a long, b long, shared long, needed long, hot boolean"
+_PAIR = "a long, b long, shared long, needed long, component long, n long, matches long, tokens array<long>, prefix binary"
+
 
+def pair_rows(sent: DataFrame, bits: int, percent: int) -> DataFrame:
+    """Pairs of each rare shingle, counted by bucket: ``a, b, shared, needed``.
 
-def pair_rows(sent: DataFrame, bits: int, percent: int, hot_pairs: int) -> DataFrame:
-    """Pairs of each shingle, counted by bucket; of a hot shingle its postings instead: document ``a``, shingle ``b``."""
+    Documents with frequent shingles in their prefix pass: ``a, component, n, matches, tokens, prefix``.
+    """
     spark = sent.sparkSession
+    kinds = {"a": pa.int64(), "b": pa.int64(), "shared": pa.int64(), "needed": pa.int64(), "component": pa.int64(), "n": pa.int64(), "matches": pa.int64(), "tokens": pa.list_(pa.int64()), "prefix": pa.binary()}
+
+    def batch_of(rows: int, **columns):
+        return pa.RecordBatch.from_pydict({k: pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in kinds.items()})
 
     def run(batches):
         import zstandard
@@ -296,21 +370,25 @@ def pair_rows(sent: DataFrame, bits: int, percent: int, hot_pairs: int) -> DataF
         undo, now, held = zstandard.ZstdDecompressor(), None, []
 
         def found():
-            p, starts, sizes, hot = runs_of(np.concatenate(held), hot_pairs)
-            for a, b, shared, need in pairs_of(p, starts[~hot], sizes[~hot], percent):
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "shared": shared.astype(np.int64), "needed": need, "hot": np.zeros(len(a), bool)})
-            for a, n in zip(starts[hot], sizes[hot], strict=True):
-                token = np.full(n, now << 32 | int(p["token"][a]), np.int64)
-                zero = np.zeros(n, np.int64)
-                yield pa.RecordBatch.from_pydict({"a": p["doc"][a : a + n], "b": token, "shared": zero, "needed": zero, "hot": np.ones(n, bool)})
+            p, starts, sizes = runs_of(np.concatenate(held))
+            for a, b, shared, need in pairs_of(p, starts, sizes, percent):
+                yield batch_of(len(a), a=a, b=b, shared=shared.astype(np.int64), needed=need)
 
         for batch in batches:
+            whole = []
             for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket < 0:
+                    body = raw.as_py()
+                    head = np.frombuffer(body, "<i8", 5).tolist()
+                    whole.append((*head[:4], np.frombuffer(body, "<i8", head[4], 40), body[40 + 8 * head[4] :]))
+                    continue
                 if held and bucket != now:
                     yield from found()
                     held = []
                 now = bucket
                 held.append(_postings(undo.decompress(raw.as_py())))
+            if whole:
+                yield batch_of(len(whole), **dict(zip(("a", "component", "n", "matches", "tokens", "prefix"), zip(*whole, strict=True), strict=True)))
         if held:
             yield from found()
 
@@ -318,108 +396,129 @@ def pair_rows(sent: DataFrame, bits: int, percent: int, hot_pairs: int) -> DataF
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIR)
 
 
-def shared_counts(lists: list[np.ndarray]):
-    """(first row, counts) of row blocks: how many values each list shares with every list.
-
-    Frequent values are counted by a matrix product, the others posting by posting.
-    """
-    m = len(lists)
-    block = max(1, 200_000 // m)  # bounds the task's memory
-    sizes = np.asarray([len(x) for x in lists])
-    values, column = np.unique(np.concatenate(lists), return_inverse=True)
-    row = np.repeat(np.arange(m), sizes)
-    often = np.bincount(column, minlength=len(values))
-    dense = np.flatnonzero(often >= max(2, m // 64))
-    place = np.full(len(values), -1)
-    place[dense] = np.arange(len(dense))
-    few = (often[column] > 1) & (place[column] < 0)
-    order = np.argsort(column[few], kind="stable")
-    few_row, few_col = row[few][order], column[few][order]
-    for a in range(0, m, block):
-        b = min(m, a + block)
-        counts = np.zeros((b - a, m), np.float32)
-        for c in range(0, len(dense), 256):
-            some = (place[column] >= c) & (place[column] < c + 256)
-            table = np.zeros((m, min(256, len(dense) - c)), np.float32)
-            table[row[some], place[column[some]] - c] = 1
-            counts += table[a:b] @ table.T
-        mine = np.flatnonzero((few_row >= a) & (few_row < b))
-        lo, hi = np.searchsorted(few_col, few_col[mine]), np.searchsorted(few_col, few_col[mine], "right")
-        x = np.repeat(few_row[mine] - a, hi - lo)
-        y = few_row[np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())] if len(mine) else x
-        np.add.at(counts, (x, y), 1)
-        yield a, counts
-
-
-def hot_candidates(rows: DataFrame, texts: DataFrame, classes: np.ndarray, bits: int, size: int, percent: int) -> DataFrame:
-    """Candidates among the documents of hot shingles: whole prefixes meet there, so a pair is counted
-    in place, under its first common hot shingle, and only those that share enough become rows.
+def shared_counts(lists: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many values each of the lists at ``rows`` shares with every list: a matrix product, some columns at a time."""
+    values = np.unique(np.concatenate([lists[k] for k in rows]))
+    counts = np.zeros((len(rows), len(lists)), np.float32)
+    if not len(values):
+        return counts
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    known = values[at] == flat
+    at, owner = at[known], owner[known]
+    for c in range(0, len(values), 4096):
+        some = (at >= c) & (at < c + 4096)
+        table = np.zeros((len(lists), min(4096, len(values) - c)), np.float32)
+        table[owner[some], at[some] - c] = 1
+        counts += table[rows] @ table.T
+    return counts
+
+
+def frequent_candidates(whole: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Candidates among the documents of frequent shingles (``a, component, n, matches, tokens, prefix``).
+
+    A shingle's documents are dealt over groups by a hash; each pair of groups is a cell that one task compares.
+    A pair is counted by whole prefixes, under its first common frequent shingle, and only those that share
+    enough become rows.
     """
-    asked = rows.where("hot").groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("hot"))  # a document's own prefix at most
-
-    def send(batches):
-        sets = Shingler(size)
-        for batch in batches:
-            for doc, component, text, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                s = sets(text.encode("utf-8", "surrogatepass"))
-                tokens, matches = prefix(s, classes, percent)
-                keys = (tokens & np.uint64((1 << bits) - 1)) << np.uint64(32) | (tokens >> np.uint64(bits)) & np.uint64(0xFFFFFFFF)
-                own = sorted(set(hot) & set(keys.tolist()))
-                n = len(own)
-                body, mine = keys.astype("<u4").tobytes(), np.asarray(own, np.uint64).tobytes()
-                if n:
-                    yield pa.RecordBatch.from_pydict({"token": pa.array(own, pa.int64()), "doc": pa.array([doc] * n, pa.int64()), "component": pa.array([component] * n, pa.int64()), "n": pa.array([len(s)] * n, pa.int64()), "matches": pa.array([matches] * n, pa.int64()), "prefix": pa.array([body] * n, pa.binary()), "hot": pa.array([mine] * n, pa.binary())})
+    # one row for each frequent shingle at most, so the table fits a broadcast
+    several = whole.select(F.explode("tokens").alias("token"), "component").groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
+    several = several.where("x < y").select("token", F.ceil(F.col("m") / cell).cast("int").alias("groups"))
+    rows = whole.withColumn("token", F.explode("tokens")).join(F.broadcast(several), "token")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("doc"), "component", "n", "matches", "prefix", "tokens")
 
     def meet(batches):
         now, held = None, []
 
         def found():
-            doc, component, n, matches = (np.asarray([r[k] for r in held], np.int64) for k in ("doc", "component", "n", "matches"))
-            earlier = [(x := np.frombuffer(r["hot"], "<u8"))[x < np.uint64(now)] for r in held]
-            met = shared_counts(earlier) if any(map(len, earlier)) else None
-            for a, counts in shared_counts([np.frombuffer(r["prefix"], "<u4") for r in held]):
-                k = np.arange(a, a + len(counts))
-                fine = counts >= needed(n[k, None], matches[k, None], n[None], matches[None], percent)
-                fine &= (component[k, None] != component[None]) & (doc[k, None] < doc[None])
-                fine &= np.minimum(n[k, None], n[None]) * 100 >= percent * np.maximum(n[k, None], n[None])
-                if met is not None:
-                    fine &= next(met)[1] == 0
-                x, y = np.nonzero(fine)
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"a": doc[k[x]], "b": doc[y]})
+            doc, component, n, matches, mine = (np.asarray([r[k] for r in held], np.int64) for k in ("doc", "component", "n", "matches", "mine"))
+            _, of, sizes = np.unique(component, return_inverse=True, return_counts=True)
+            if len(sizes) == 1:
+                return
+            most = of == sizes.argmax()  # its members need no comparison with each other
+            rows = np.flatnonzero(~most)
+            k = rows[:, None]
+            fine = shared_counts([np.frombuffer(r["prefix"], "<u4") for r in held], rows) >= needed(n[k], matches[k], n[None], matches[None], percent)
+            fine &= (component[k] != component[None]) & (most[None] | (doc[k] < doc[None]))
+            fine &= np.minimum(n[k], n[None]) * 100 >= percent * np.maximum(n[k], n[None])
+            if now[1] != now[2]:
+                fine &= mine[k] != mine[None]
+            x, y = np.nonzero(fine)
+            if len(x):
+                own = [np.asarray(r["tokens"], np.int64) for r in held]
+                earlier = [t[t < now[0]] for t in own]
+                some = np.unique(x)
+                first = shared_counts(earlier, rows[some])[np.searchsorted(some, x), y] == 0
+                x, y = rows[x[first]], y[first]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
 
         for batch in batches:
             for r in batch.to_pylist():
-                if held and r["token"] != now:
+                key = (r["token"], r["i"], r["j"])
+                if held and key != now:
                     yield from found()
                     held = []
-                now = r["token"]
+                now = key
                 held.append(r)
         if held:
             yield from found()
 
-    sent = texts.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "component", "text", "hot").mapInArrow(send, "token long, doc long, component long, n long, matches long, prefix binary, hot binary")
-    return sent.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(meet, "a long, b long")
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(meet, "a long, b long")
+
+
+def nearest_candidates(whole: DataFrame, percent: int, cell: int, each: int = 4) -> DataFrame:
+    """Some candidates of each document of frequent shingles: its best ones by whole prefixes, and others at random.
+
+    They meet once, under their smallest frequent shingle, in groups of about ``cell``. Verified, they merge what is alike
+    into few components before every remaining pair of different components is looked at.
+    """
+    rows = whole.withColumn("token", F.array_min("tokens"))
+    groups = rows.groupBy("token").agg(F.ceil(F.count("*") / cell).cast("int").alias("groups"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").drop("x", "y")
+    # one row for each frequent shingle at most, so the table fits a broadcast
+    rows = rows.join(F.broadcast(groups), "token").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int"))
 
+    def meet(batches):
+        now, held = None, []
+
+        def found():
+            doc, component, n, matches = (np.asarray([r[k] for r in held], np.int64) for k in ("a", "component", "n", "matches"))
+            every = np.arange(len(held))
+            k = every[:, None]
+            margin = shared_counts([np.frombuffer(r["prefix"], "<u4") for r in held], every) - needed(n[k], matches[k], n[None], matches[None], percent)
+            fine = (margin >= 0) & (component[k] != component[None]) & (np.minimum(n[k], n[None]) * 100 >= percent * np.maximum(n[k], n[None]))
+            some = np.random.default_rng(len(held)).random(fine.shape)
+            chosen = np.zeros_like(fine)
+            for score in (margin, some):
+                best = np.argsort(np.where(fine, -score, np.inf), axis=1, kind="stable")[:, :each]
+                np.put_along_axis(chosen, best, True, axis=1)
+            x, y = np.nonzero(chosen & fine)
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (r["token"], r["mine"]) != now:
+                    yield from found()
+                    held = []
+                now = (r["token"], r["mine"])
+                held.append(r)
+        if held:
+            yield from found()
 
-def candidate_pairs(texts: DataFrame, classes: np.ndarray, bits: int, size: int, percent: int, hot_pairs: int) -> DataFrame:
-    """``a, b`` that share as many prefix shingles as they need at least (``doc_id, component, text``)."""
-    rows = written(pair_rows(send_prefixes(texts, classes, bits, size, percent), bits, percent, hot_pairs), "pairs")
-    cold = rows.where(~F.col("hot")).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
-    cold = cold.where(F.col("shared") >= F.col("needed")).select("a", "b")
-    return cold.unionAll(hot_candidates(rows, texts, classes, bits, size, percent)).distinct()
+    return rows.repartition("token", "mine").sortWithinPartitions("token", "mine", "a").mapInArrow(meet, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole texts (``doc_id, text``) are similar.
+    """The pairs ``a, b`` whose whole texts (``node, text``; one row a node) are similar.
 
     Members of a hub ``a`` are dealt over groups of about ``GROUP``; a group streams past the hub's set.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     dealt = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
-    hubs = groups.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("member"))
+    hubs = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("member"))
     asked = hubs.unionAll(dealt.select("b", "a", "salt", F.lit(1)))
-    sent = texts.join(asked.hint("shuffle_hash"), "doc_id").select("a", "salt", "member", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "doc_id")
+    sent = texts.join(asked.hint("shuffle_hash"), "node").select("a", "salt", "member", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "node")
 
     def run(batches):
         sets, now, hub = Shingler(size), None, None
@@ -438,37 +537,61 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return sent.mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, hot_pairs: int = HOT_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, least: int = LEAST, max_frequent: int = MAX_FREQUENT, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id that links reach, itself included.
 
-    The classes' texts are shuffled once, into a table bucketed by id in the shared folder that
+    The classes' texts are shuffled once, into a table bucketed by node in the shared folder that
     the later joins read in place.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = written(described(texts, size), "shingles")
-    every = rows.where(F.col("block").isNull()).select("doc_id", "n", "digest", "seeds")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    about = max(1, (docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 6)  # shingles in the corpus
+    count_bits = min(40, max(16, int(np.ceil(np.log2(about)))))
+    bucket_bits = min(12, max(4, count_bits - 32, int(np.ceil(np.log2(about / COUNT_BUCKET)))))
+    rows = written(described(texts.select("doc_id", "text_hash", "text"), size, count_bits, bucket_bits), "shingles")
+    every = rows.where(F.col("block").isNull()).select("doc_id", "text_hash", "n", "digest", "seeds")
     real = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("seeds").alias("seeds")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    texts = bucketed(texts.join(reps, "doc_id"), "doc_id", "texts")
+    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n").alias("n"), F.max("seeds").alias("seeds"))
+    classes = written(classes.select("digest", "rep.doc_id", "rep.text_hash", "n", "seeds").withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("doc_id", "text_hash", "node")
+    chosen = texts.join(reps, ["doc_id", "text_hash"]).select("node", "text")
+    n_real, n_rows = real.select(F.count("*"), F.count_distinct("doc_id", "text_hash")).first()
+    if n_real > n_rows:  # rows that repeat as a whole
+        chosen = chosen.dropDuplicates(["node"])
+    texts, table = bucketed(chosen, "node", "texts")
 
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-    seeds = classes.select("rep", band.alias("band"), F.explode("seeds").alias("seed"))
-    hubs = seeds.groupBy("seed", "band").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").drop("last")
-    stars = seeds.join(hubs, ["seed", "band"]).where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    seeds = classes.select("node", band.alias("band"), F.explode("seeds").alias("seed"))
+    hubs = seeds.groupBy("seed", "band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    stars = seeds.join(hubs, ["seed", "band"]).where("a < node").select("a", F.col("node").alias("b")).distinct()
     near = written(verified(written(stars, "stars"), texts, size, percent), "links")
     found = components(near)
 
-    nodes = reps.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    nodes = classes.select("node").join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total * (100 - percent) / 100 / BUCKET))))))
     nodes = written(nodes, "nodes")
-    pairs = candidate_pairs(texts.join(nodes.hint("shuffle_hash"), "doc_id"), frequency_classes(rows), bits, size, percent, hot_pairs)
-    more = verified(written(pairs, "candidates"), texts, size, percent)
-    links = more.unionAll(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
-    last = components(links).select(F.col("id").alias("rep"), "component")
-
-    ids = classes.select("digest", "rep").join(last, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = every.join(ids, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
+    order = spark.sparkContext.broadcast(frequent(rows, count_bits, bucket_bits, least, max_frequent))
+    rows = written(pair_rows(send_prefixes(texts.join(nodes.hint("shuffle_hash"), "node"), order, bits, size, percent), bits, percent), "pairs")
+    star = lambda components: components.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    whole = rows.where(F.col("b").isNull()).select("a", "component", "n", "matches", "tokens", "prefix")
+    merged = verified(written(nearest_candidates(whole, percent, cell), "nearest"), texts, size, percent)
+    found = components(merged.unionAll(star(found)))
+    whole = whole.drop("component").join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    rare = rows.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    rare = rare.where(F.col("shared") >= F.col("needed")).select("a", "b")
+    pairs = rare.unionAll(frequent_candidates(written(whole, "frequent-documents"), percent, cell)).distinct()
+    links = verified(written(pairs, "candidates"), texts, size, percent).unionAll(star(found))
+
+    ids = real.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
+    shared = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    links = links.unionAll(ids.join(shared, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    last = components(links).select(F.col("id").alias("node"), "component")
+    spark.sql(f"DROP TABLE {table}")
+    order.unpersist()
+    of = classes.select("digest", "node", "doc_id").join(last, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
+    low = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = of.select("digest", "component").join(low, "component").select("digest", "component_id")
+    out = every.join(of, "digest", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
