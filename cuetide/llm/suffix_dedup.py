@@ -1,28 +1,30 @@
 """Repeated passages by a depth-limited radix sort of suffixes.
 
 A byte is removed if a window of ``WINDOW`` bytes that covers it also starts in a document with a
-smaller id. Suffixes are ordered only as deep as a window and its surroundings reach, by
-most-significant-digit passes that drop every group of one document at once:
-
-1. Sparse suffixes. Of every window only the ``GRAM``-byte string with the smallest hash, its anchor,
-   starts a suffix; equal windows have equal anchors, so no repeat is lost, and about 1 of 14
-   positions is sorted.
-2. First digit: the anchor. Each chunk of documents sends its distinct anchors, as 32 bits and a
-   bucket, and learns which of them other documents have too. Wrong hits only cost work.
-3. Remaining digits: the surviving anchors' contexts, all bytes that a window over the anchor can
-   hold. Equal groups give each context's first document; where an anchor has several contexts,
-   groups of equal windows inside them give, bit by bit, the windows that start earlier elsewhere.
-4. Each chunk marks its windows and removes what they cover.
+smaller id. Suffixes are ordered only through a window's depth, by most-significant-digit passes over their
+bytes (:func:`radix`): each pass splits every group by the next digit and drops the groups of one document.
+Groups that are left at full depth are exactly the repeated windows; no hash decides equality.
+
+1. Which suffixes are sorted (sampling). Of every window only the ``GRAM``-byte string with the smallest hash, its
+   anchor, is looked for; equal windows have equal anchors at the same place, so no repeat is lost, and about 1
+   of 14 places is one. Each chunk of documents sends its distinct anchors, as 32 bits of a hash and a bucket,
+   and learns which of them other documents may have too. Wrong hits only cost work.
+2. The surviving anchors are sent with their contexts: all bytes that a window over the anchor can hold. A bucket
+   sorts them by the anchor's bytes, then by the others; equal contexts share their first document. Where an
+   anchor has several contexts, the suffixes that start at each place before it are sorted through ``WINDOW`` bytes,
+   which gives, bit by bit, the windows that start earlier elsewhere.
+3. Each chunk marks its windows, byte for byte equal to those sent, and removes what they cover.
 
 Skew: every key is aggregated inside a chunk (``CHUNK_DOCS`` documents) before it is shuffled, so
 a text or passage of a third of all rows costs a row a chunk. An anchor that more than
 ``HOT_CHUNKS`` chunks hold, such as a common line amid ever other text, is dealt by its windows
-instead of by itself, so no group of contexts is unbounded. Chunks are compressed and written once;
-joins by chunk move them in compressed form.
+instead of by itself, so no group of contexts is unbounded. Chunks are compressed and written once, into
+a table bucketed by chunk that later joins read in place; its buckets hold about ``PART_BYTES`` of text.
 
 Edge cases: null and empty texts have no byte and keep none; texts shorter than a window stay whole; rows
 that share an id never remove each other's bytes; a null id neither removes nor loses bytes;
-an empty table gives no row; other columns don't matter.
+an empty table gives no row; other columns don't matter. A text is never split: it needs several times
+its size in the memory of one worker.
 """
 
 from __future__ import annotations
@@ -35,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bucketed, text_or_empty
 
 WINDOW, GRAM = 50, 24
 CHUNK_DOCS, CHUNK_BYTES, HOT_CHUNKS = 4096, 16 << 20, 1024
-#: Entries of a bucket, about.
-BUCKET = 400_000
+#: Entries of a bucket and bytes of text in a part of the chunk table, about.
+BUCKET, PART_BYTES = 400_000, 64 << 20
 _SEGMENT, _PLACE_BITS = 1 << 20, 21
 
 
@@ -125,9 +127,6 @@ class Shape:
     def row_hash(self, rows: np.ndarray) -> np.ndarray:
         return _hash_at(np.ascontiguousarray(rows).reshape(-1), len(rows), 0, self.row, self.row) if len(rows) else np.zeros(0, np.uint64)
 
-    def anchor_of(self, rows: np.ndarray) -> np.ndarray:
-        return _hash_at(np.ascontiguousarray(rows).reshape(-1), len(rows), self.side, self.gram, self.row) if len(rows) else np.zeros(0, np.uint64)
-
     def windows(self, rows: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
         """(which rows have a window at ``offset``, its hash)."""
         left, right = rows[:, self.whole], rows[:, self.whole + 1]
@@ -135,6 +134,30 @@ class Shape:
         return fine, _hash_at(np.ascontiguousarray(rows).reshape(-1), len(rows), offset, self.window, self.row)
 
 
+def _digits(start: int, end: int) -> list[int]:
+    """Where 8-byte digits that cover the bytes from ``start`` to ``end`` stand; the last may overlap."""
+    return [*range(start, end - 7, 8)] + ([end - 8] if (end - start) % 8 else [])
+
+
+def radix(rows: np.ndarray, places: list[int], members: np.ndarray, group: np.ndarray, alive) -> tuple[np.ndarray, np.ndarray]:
+    """Most-significant-digit passes over the digits at ``places`` of the ``members`` among ``rows`` (bytes).
+
+    Each pass splits the groups by one digit; ``alive(members, starts)`` says which groups go on. Returns the
+    members left, by group, and their groups: equal in all digits.
+    """
+    for at in places:
+        if not len(members):
+            break
+        key = np.ndarray((len(rows),), ">u8", rows, at, (rows.shape[1],))[members]
+        order = np.lexsort((key, group))
+        members, key, group = members[order], key[order], group[order]
+        edge = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+        group = np.cumsum(edge) - 1
+        on = alive(members, np.flatnonzero(edge))[group]
+        members, group = members[on], group[on]
+    return members, group
+
+
 def _codec(level: int = 2):
     import zstandard
 
@@ -270,8 +293,22 @@ def repeated_anchors(sent: DataFrame, hot_chunks: int) -> DataFrame:
     return sent.mapInArrow(run, _REPLY_DDL)
 
 
+def _sent_rows(keys: np.ndarray, own: np.ndarray, place: np.ndarray, body: np.ndarray, bits: int, bucket_of: np.ndarray, chunk: int, kind: int, pack) -> list[tuple]:
+    """A chunk's distinct ``body`` rows by bucket: first owner, whether it has more, first place, bytes."""
+    order = np.lexsort((own, keys, bucket_of))
+    keys, own, place, body, bucket_of = keys[order], own[order], place[order], body[order], bucket_of[order]
+    if not len(keys):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (body[1:] != body[:-1]).any(1)]))
+    many = np.maximum.reduceat(own, first) != own[first]
+    own, place, body = own[first], place[first].astype("<u4"), body[first]
+    bucket = (bucket_of[first] >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = _first_of(bucket)
+    return [(int(bucket[a]), kind, chunk, int(b - a), pack.compress(own[a:b].tobytes() + many[a:b].tobytes() + place[a:b].tobytes() + body[a:b].tobytes())) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+
+
 def send_contexts(joined: DataFrame, shape: Shape, bits: int, own_bits: int) -> DataFrame:
-    """Remaining digits: distinct contexts of the surviving anchors, or distinct windows of hot ones, with their first document."""
+    """Distinct contexts of the surviving anchors, or distinct windows of hot ones, with their first document."""
 
     def run(batches):
         pack, undo = _codec(5)
@@ -293,43 +330,57 @@ def send_contexts(joined: DataFrame, shape: Shape, bits: int, own_bits: int) ->
             owner = np.asarray([0 if x is None else x for x in ids], np.int64)[doc]
             starts = np.concatenate([[0], ends[:-1]])
             rows = shape.contexts(raw, place, starts[doc], ends[doc])
-            chunk, out = r["chunk"].as_py(), []
-            cold = ~hot
-            ctx, own, anchor, body = shape.row_hash(rows[cold]), owner[cold], h[cold], rows[cold]
-            order = np.lexsort((own, ctx, anchor))
-            ctx, own, anchor, body = ctx[order], own[order], anchor[order], body[order]
-            first = _first_of(ctx)
-            if len(first):
-                many = np.maximum.reduceat(own, first) != own[first]
-                anchor, own, body = anchor[first], own[first], body[first]
-                bucket = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = _first_of(bucket)
-                for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                    out.append((int(bucket[a]), 0, chunk, int(b - a), pack.compress(own[a:b].tobytes() + many[a:b].tobytes() + body[a:b].tobytes())))
+            chunk, cold = r["chunk"].as_py(), ~hot
+            out = _sent_rows(shape.row_hash(rows[cold]), owner[cold], place[cold], rows[cold], bits, h[cold], chunk, 0, pack)
             if hot.any():
-                seen, whose = [], []
+                seen, whose, where, bodies = [], [], [], []
                 for o in range(shape.side + 1):
                     fine, w = shape.windows(rows[hot], o)
                     seen.append(w[fine])
                     whose.append(owner[hot][fine])
-                w, own = np.concatenate(seen), np.concatenate(whose)
-                order = np.lexsort((own, w))
-                w, own = w[order], own[order]
-                first = _first_of(w)
-                if len(first):
-                    many = np.maximum.reduceat(own, first) != own[first]
-                    w, own = w[first], own[first]
-                    bucket = (w >> np.uint64(64 - bits)).astype(np.int64)
-                    cuts = _first_of(bucket)
-                    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                        out.append((int(bucket[a]), 1, chunk, int(b - a), pack.compress(own[a:b].tobytes() + many[a:b].tobytes() + w[a:b].tobytes())))
+                    where.append(place[hot][fine] - shape.side + o)
+                    bodies.append(rows[hot][fine, o : o + shape.window])
+                w = np.concatenate(seen)
+                out += _sent_rows(w, np.concatenate(whose), np.concatenate(where), np.concatenate(bodies), bits, w, chunk, 1, pack)
             if out:
                 yield _batch(_SENT, out)
 
     return joined.mapInArrow(run, _SENT_DDL)
 
 
-_FOUND = np.dtype([("anchor", "<u8"), ("key", "<u8"), ("first", "<i8"), ("mask", "<u4")])
+_FOUND = np.dtype([("place", "<u4"), ("first", "<i8"), ("mask", "<u4")])
+
+
+def _several(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.diff([*starts, len(members)]) > 1
+
+
+def first_and_mask(shape: Shape, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first document of each context, which of that one's windows start earlier elsewhere)."""
+    n = len(rows)
+    first, mask, of = own.copy(), np.zeros(n, np.uint32), np.arange(n)
+    anchored, anchor = radix(rows, _digits(shape.side, shape.side + shape.gram), np.arange(n), np.zeros(n, np.int64), _several)
+    if not len(anchored):
+        return first, mask
+    end = shape.whole + 2  # with the sides' lengths
+    equal, group = radix(rows, _digits(0, shape.side) + _digits(shape.side + shape.gram, end), anchored, anchor, _several)
+    if len(equal):
+        starts = _first_of(group)
+        sizes = np.diff([*starts, len(equal)])
+        first[equal] = np.repeat(np.minimum.reduceat(own[equal], starts), sizes)
+        of[equal] = np.repeat(np.minimum.reduceat(equal, starts), sizes)
+    lead = of[anchored] == anchored  # one of each context
+    reps, anchor = anchored[lead], anchor[lead]
+    other = lambda members, starts: np.minimum.reduceat(first[members], starts) != np.maximum.reduceat(first[members], starts)
+    for o in range(shape.side + 1):
+        left, right = rows[reps, shape.whole].astype(int), rows[reps, shape.whole + 1].astype(int)
+        fine = (o >= shape.side - left) & (o <= right)
+        same, group = radix(rows, _digits(o, o + shape.window), reps[fine], anchor[fine], other)
+        if len(same):
+            starts = _first_of(group)
+            low = np.repeat(np.minimum.reduceat(first[same], starts), np.diff([*starts, len(same)]))
+            mask[same[low < first[same]]] |= np.uint32(1 << o)
+    return first, mask[of]
 
 
 def earlier_windows(sent: DataFrame, shape: Shape) -> DataFrame:
@@ -339,53 +390,34 @@ def earlier_windows(sent: DataFrame, shape: Shape) -> DataFrame:
         pack, undo = _codec()
         for bucket, held in _by_bucket(batches):
             out = []
-            for kind in (0, 1):
+            for kind, width in ((0, shape.row), (1, shape.window)):
                 mine = [r for r in held if r["kind"] == kind]
                 if not mine:
                     continue
-                width = shape.row if kind == 0 else 8
-                own, many, rows = [], [], []
+                own, many, place, rows = [], [], [], []
                 for r in mine:
                     body, n = undo.decompress(r["payload"]), r["n"]
                     own.append(np.frombuffer(body, "<i8", n))
                     many.append(np.frombuffer(body, bool, n, 8 * n))
-                    rows.append(np.frombuffer(body, np.uint8, n * width, 9 * n).reshape(n, width))
-                own, many, rows = np.concatenate(own), np.concatenate(many), np.concatenate(rows)
-                key = shape.row_hash(rows) if kind == 0 else np.ascontiguousarray(rows).view("<u8").ravel()
-                anchor = shape.anchor_of(rows) if kind == 0 else np.zeros(len(rows), np.uint64)
-                order = np.lexsort((own, key, anchor))
-                start = _first_of(key[order])
-                first, n_same = own[order][start], np.diff([*start, len(order)])
-                mask = np.zeros(len(start), np.uint32)
+                    place.append(np.frombuffer(body, "<u4", n, 9 * n))
+                    rows.append(np.frombuffer(body, np.uint8, n * width, 13 * n).reshape(n, width))
+                own, many, place, rows = np.concatenate(own), np.concatenate(many), np.concatenate(place), np.concatenate(rows)
                 if kind == 0:
-                    group = anchor[order][start]
-                    cuts = _first_of(group)
-                    sizes = np.diff([*cuts, len(group)])
-                    some = np.repeat(sizes > 1, sizes)  # anchors with several contexts
-                    if some.any():
-                        sub, g, f = np.ascontiguousarray(rows[order[start[some]]]), group[some], first[some]
-                        bit = np.zeros(len(sub), np.uint32)
-                        for o in range(shape.side + 1):
-                            fine, w = shape.windows(sub, o)
-                            at = np.flatnonzero(fine)
-                            w = mixed(w[at] + g[at])
-                            by = np.argsort(w, kind="stable")
-                            cut = _first_of(w[by])
-                            if len(cut):
-                                low = np.repeat(np.minimum.reduceat(f[at][by], cut), np.diff([*cut, len(by)]))
-                                hit = at[by][low < f[at][by]]
-                                bit[hit] |= np.uint32(1 << o)
-                        mask[some] = bit
-                back = np.empty(len(order), np.int64)
-                back[order] = np.repeat(np.arange(len(start)), n_same)
-                useful = (first[back] < own) | many | (mask[back] > 0)
+                    first, mask = first_and_mask(shape, rows, own)
+                else:
+                    first, mask = own.copy(), np.zeros(len(own), np.uint32)
+                    same, group = radix(rows, _digits(0, width), np.arange(len(rows)), np.zeros(len(rows), np.int64), _several)
+                    if len(same):
+                        starts = _first_of(group)
+                        first[same] = np.repeat(np.minimum.reduceat(own[same], starts), np.diff([*starts, len(same)]))
+                useful = (first < own) | many | (mask > 0)
                 at = 0
                 for r in mine:
                     s = np.flatnonzero(useful[at : at + r["n"]]) + at
                     at += r["n"]
                     if len(s):
                         found = np.empty(len(s), _FOUND)
-                        found["anchor"], found["key"], found["first"], found["mask"] = anchor[s], key[s], first[back[s]], mask[back[s]]
+                        found["place"], found["first"], found["mask"] = place[s], first[s], mask[s]
                         out.append((r["chunk"], bucket, kind, len(s), pack.compress(found.tobytes())))
             if out:
                 yield _batch(_REPLY, out)
@@ -393,24 +425,39 @@ def earlier_windows(sent: DataFrame, shape: Shape) -> DataFrame:
     return sent.mapInArrow(run, _REPLY_DDL)
 
 
-def covered(shape: Shape, ids: list, ends: np.ndarray, raw: np.ndarray, found: np.ndarray, hot: np.ndarray, hot_known: bool) -> np.ndarray:
+def _lookup(keys: np.ndarray, rows: np.ndarray, key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each ``row`` the place of its equal among ``rows``, or -1; ``key`` and ``keys`` are their hashes, ``keys`` ascending."""
+    out, at = np.full(len(key), -1), np.searchsorted(keys, key)
+    todo = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key))
+    while len(todo):
+        same = (rows[at[todo]] == row[todo]).all(1)
+        out[todo[same]] = at[todo[same]]
+        todo = todo[~same]
+        at[todo] += 1  # another row of the same hash
+        todo = todo[at[todo] < len(keys)]
+        todo = todo[keys[at[todo]] == key[todo]]
+    return out
+
+
+def covered(shape: Shape, ids: list, ends: np.ndarray, raw: np.ndarray, found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which bytes of a chunk are removed."""
     change = np.zeros(len(raw) + 1, np.int32)
-    if len(found) or hot_known:
+    if len(found) or len(hot):
         place, h = shape.anchors(raw, ends)
         doc = np.searchsorted(ends, place, "right")
         known = np.asarray([x is not None for x in ids], bool)[doc]
         if not len(hot):
-            known &= np.isin(h, found["anchor"])
+            known &= np.isin(h, h[np.searchsorted(place, found["place"])])
         place, doc = place[known], doc[known]
         owner = np.asarray([0 if x is None else x for x in ids], np.int64)[doc]
         starts = np.concatenate([[0], ends[:-1]])
         rows = shape.contexts(raw, place, starts[doc], ends[doc])
-        if len(found) and len(rows):
-            found = found[np.argsort(found["key"], kind="stable")]
-            key = shape.row_hash(rows)
-            at = np.minimum(np.searchsorted(found["key"], key), len(found) - 1)
-            hit = found["key"][at] == key
+        if len(found):
+            key, mine = shape.row_hash(rows), np.searchsorted(place, found["place"])
+            order = np.argsort(key[mine], kind="stable")
+            found, mine = found[order], mine[order]
+            at = _lookup(key[mine], rows[mine], key, rows)
+            hit = at >= 0
             left, right = rows[:, shape.whole].astype(np.int64), rows[:, shape.whole + 1].astype(np.int64)
             late = hit & (owner > found["first"][at]) & (right >= shape.side - left)
             np.add.at(change, (place - left)[late], 1)
@@ -420,12 +467,16 @@ def covered(shape: Shape, ids: list, ends: np.ndarray, raw: np.ndarray, found: n
                 s = place[(mask >> o & 1) > 0] - shape.side + o
                 np.add.at(change, s, 1)
                 np.add.at(change, s + shape.window, -1)
-        if len(hot) and len(rows):
-            hot = hot[np.argsort(hot["key"], kind="stable")]
+        if len(hot):
+            bodies = np.lib.stride_tricks.sliding_window_view(raw, shape.window)[hot["place"].astype(np.int64)]
+            keys = _hash_at(np.ascontiguousarray(bodies).reshape(-1), len(bodies), 0, shape.window, shape.window)
+            order = np.argsort(keys, kind="stable")
+            keys, bodies, hot = keys[order], bodies[order], hot[order]
             for o in range(shape.side + 1):
                 fine, w = shape.windows(rows, o)
-                at = np.minimum(np.searchsorted(hot["key"], w), len(hot) - 1)
-                s = place[fine & (hot["key"][at] == w) & (owner > hot["first"][at])] - shape.side + o
+                some = np.flatnonzero(fine)
+                at = _lookup(keys, bodies, w[some], rows[some, o : o + shape.window])
+                s = place[some[(at >= 0) & (owner[some] > hot["first"][at])]] - shape.side + o
                 np.add.at(change, s, 1)
                 np.add.at(change, s + shape.window, -1)
     return np.cumsum(change[:-1]) > 0
@@ -439,7 +490,7 @@ def cut_out(joined: DataFrame, shape: Shape, with_kept: bool) -> DataFrame:
             for x in r["replies"].as_py() or []:
                 parts[x["kind"]].append(np.frombuffer(undo.decompress(x["payload"]), _FOUND))
             found, hot = (np.concatenate(parts[k]) if parts[k] else np.zeros(0, _FOUND) for k in (0, 1))
-            gone = covered(shape, ids, ends, raw, found, hot, len(hot) > 0)
+            gone = covered(shape, ids, ends, raw, found, hot)
             rows, a = [], 0
             for i, b in zip(ids, ends.tolist(), strict=True):
                 g = gone[a:b]
@@ -459,12 +510,12 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, h
 
     ``span_edges`` alternates starts and ends of the removed byte runs.
     """
-    shape = Shape(window, gram)
-    chunks = written(packed(docs, id_col, text_col), "chunks")
-    total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    shape, spark = Shape(window, gram), docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(20, max(6, int(np.ceil(np.log2(max(1, total * 2 / (shape.side + 2) / BUCKET))))))
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, 4000))
+    n = max(parts, min(1 << bits, 4000))
+    chunks, _ = bucketed(packed(docs, id_col, text_col), "chunk", "chunks", max(parts, -(-total // PART_BYTES)))
 
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "chunk")
@@ -473,6 +524,6 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, h
         return rows.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "n", "payload")).alias("replies"))  # a chunk's own anchors at most
 
     found = by_chunk(repeated_anchors(by_bucket(send_anchors(chunks, shape, bits)), hot_chunks))
-    sent = send_contexts(chunks.join(found, "chunk"), shape, bits, bits)
+    sent = send_contexts(chunks.join(found.hint("shuffle_hash"), "chunk"), shape, bits, bits)
     replies = by_chunk(earlier_windows(by_bucket(sent), shape))
-    return cut_out(chunks.join(replies, "chunk", "left"), shape, with_kept)
+    return cut_out(chunks.join(replies.hint("shuffle_hash"), "chunk", "left"), shape, with_kept)
