@@ -26,7 +26,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 _OP3 = f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+  SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 3 * source_size AS bound FROM s),
 t AS (SELECT sum(source_size)::BIGINT AS total FROM s),
