@@ -36,10 +36,29 @@ def _plain(pattern: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
+class _PieceIds(dict):
+    """Piece -> its ids, for the pieces met of late; those still in use come back from the older half."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > _KEPT_PIECES:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(piece)
+        if got is None:
+            got = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = got
+        return got
+
+
 class TextEncoder:
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids, then ``end_id``.
 
-    Strings of special tokens in a text are ordinary text. ``None`` counts as empty.
+    As the library does by default, a text's strings of added tokens become their ids; such a text goes
+    through the tokenizer whole. ``None`` counts as empty.
     """
 
     def __init__(self, path: str, end_id: int | None = 1):
@@ -47,9 +66,10 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or []]
+        self.unsure = re.compile("|".join([_UNSURE.pattern, *added]), re.I)
         self.lower, self.pieces = False, None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
@@ -58,29 +78,18 @@ class TextEncoder:
             steps = pre.get("pretokenizers", [])
             if [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1].get("use_regex", True):
                 self.pieces, self.lower = _plain(steps[0]["pattern"]["Regex"]), True
-        self.ids: dict[str, bytes] = {}  # of a piece
-        self.older: dict[str, bytes] = {}
+        self.ids = _PieceIds(self.tokenizer)
         self.end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if self.pieces is None or _UNSURE.search(text):
+        if self.pieces is None or self.unsure.search(text):
             whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
             return np.asarray(whole, "<u4").tobytes() + self.end
         if self.lower:
             text = unicodedata.normalize("NFC", text).lower()
-        pieces = self.pieces.findall(text)
-        if new := set(pieces).difference(self.ids):
-            if len(self.ids) > _KEPT_PIECES:  # pieces still in use come back from the older half
-                self.older, self.ids = self.ids, {}
-                new = set(pieces)
-            old = {piece: self.older[piece] for piece in new if piece in self.older}
-            self.ids.update(old)
-            new = [piece for piece in new if piece not in old]
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.ids[piece] = array("I", got.ids).tobytes()
-        return b"".join(map(self.ids.__getitem__, pieces)) + self.end
+        return b"".join(map(self.ids.__getitem__, self.pieces.findall(text))) + self.end
 
 
 @lru_cache(maxsize=4)
