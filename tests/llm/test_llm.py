@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from cuetide.llm import mixing, ngram_join, packing, pii, quality_rules, suffix_
 from cuetide.llm.queries import ALLOW, BLOCK, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGES = [(901, None), (902, ""), (903, "one two"), (904, "ONE  two"), (905, " \n "), (None, "no id here at all, really none"), (906, "naïve café 日本 🙂 text")]
+EDGES = [(901, None), (902, ""), (903, "one two"), (904, "ONE  two"), (905, " \n "), (None, "no id here at all, really none"), (906, "naïve café 日本 🙂 text"), (907, "one <|endoftext|> two <|ENDOFTEXT|>three")]
 
 
 def frame(spark, rows):
@@ -35,6 +36,18 @@ def prose(seed, n=40):
     return rows + [(7, rows[0][1]), (8, rows[0][1].upper())]
 
 
+def test_pii_is_linear():
+    """A text of 1 MB full of numbers is judged in seconds."""
+    judges = pii.fit()
+    text = " ".join(f"0{100 + k % 800} 555 {k % 10000:04d}" for k in range(8000))
+    began = time.process_time()
+    pii.all_spans(text, judges)
+    small = time.process_time() - began
+    began = time.process_time()
+    pii.all_spans(" ".join([text] * 4), judges)
+    assert time.process_time() - began < 8 * small + 1
+
+
 @pytest.mark.parametrize("op", ["pack", "write"])
 def test_tokens_round_trip(spark, op):
     from tokenizers import Tokenizer
@@ -83,6 +96,12 @@ def test_mixing(spark):
         assert sum(r["taken"] for r in mine) == int(mine[0]["target"] + 0.5) <= 3 * mine[0]["source_size"]
         assert all(r["taken"] <= 3 * r["size"] for r in mine)
     sizes = {r["source_size"] for r in got}
+    narrow = mixing.mix(df, range_rows=1, broadcast_sources=0).collect()  # cuts inside ranges of ranges, sources joined
+    assert sorted(map(repr, narrow)) == sorted(map(repr, got))
+    copies = spark.createDataFrame([(None, "a b c", "s")] * 50 + [(1, None, "s"), (2, "x y", None)], "doc_id long, text string, source string").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    held = mixing.mix(copies, weights=(1.0, 8.0), keep_rows=True).collect()
+    assert len(held) == 52 and sum(r["taken"] for r in held if r["source_size"] == 150) == round(152 - 6) and all(r["row"]["key"] == "k" for r in held)
+    assert mixing.mix(df.limit(0)).count() == 0
     assert abs(sum({(r["source_size"], r["target"]) for r in got} and [t for _, t in {(source[r["doc_id"]], r["target"]) for r in got}]) - sum(r["size"] for r in got)) < 1e-6 and sizes
     cut = spark.createDataFrame([(" a  b\tc ",)], "t string").select(mixing.first_words(F.col("t"), F.lit(2)).alias("x")).first()["x"]
     assert cut == " a  b"
@@ -94,19 +113,36 @@ def components(rows):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a is not None and b is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if a is not None and b is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    low[a] = low[b] = min(low[a], low[b])
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
     return {i: (len(sets[i]), low[i]) for i in sets}
 
 
-@pytest.mark.parametrize("hot", [0, 2000])
-def test_ngram_join(spark, hot):
-    rows = prose(2) + EDGES
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(frame(spark, rows), hot_pairs=hot).collect()}
+@pytest.mark.parametrize(("least", "cell", "most"), [(2, 4, 1 << 20), (2, 512, 50), (16, 512, 1 << 20)])
+def test_ngram_join(spark, least, cell, most):
+    rows = prose(2, 60) + EDGES
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(frame(spark, rows), least=least, cell=cell, max_frequent=most).collect()}
     assert got == components(rows)
+    assert not spark.catalog.listTables()
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_ngram_join_repeated_ids(spark, order):
+    """One id under two texts, and a row three times over: all that either text is similar to is one component."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "other words that stand quite alone"), (4, "other words that stand quite alone"), (4, "other words that stand quite alone")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(frame(spark, rows[::order]).coalesce(1)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_ngram_join_empty_and_long(spark):
+    assert ngram_join.join_components(frame(spark, EDGES).limit(0)).count() == 0
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["w%d" % k for k in range(3000)]) for _ in range(200_000))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(frame(spark, [(5, long), (6, long + " end"), (7, long[: len(long) // 2])])).collect()}
+    assert got == {5: 5, 6: 5, 7: 7}
 
 
 @pytest.mark.parametrize("hot", [0, 1024])
@@ -130,6 +166,26 @@ def test_suffix_dedup(spark, hot):
     assert got == want
 
 
+def test_radix_passes():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 2, (400, 16), dtype=np.uint8)
+    rows[:, 3:] = rows[:, 3:4]
+    members, group = suffix_dedup.radix(rows, [0, 8], np.arange(400), np.zeros(400, np.int64), suffix_dedup._several)
+    want = Counter(map(bytes, rows))
+    assert len(members) == sum(n for n in want.values() if n > 1) and len(set(group.tolist())) == sum(n > 1 for n in want.values())
+    for g in set(group.tolist()):
+        assert len({bytes(rows[m]) for m in members[group == g]}) == 1
+
+
+def test_suffix_dedup_empty_and_repeated(spark):
+    assert suffix_dedup.remove_repeats(frame(spark, EDGES).limit(0)).count() == 0
+    line = "This license line stands in many a document as it is, word for word."
+    rows = [(k, f"{line} {k}") for k in range(40)] + [(0, f"{line} 0"), (None, line), (99, line * 2000)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert Counter(r for r in got if r[0] in (0, None)) == Counter([(0, len(line) + 2, 0)] * 2 + [(None, len(line), 0)])
+    assert all(r[2] >= len(line) for r in got if r[0])
+
+
 def test_pii(spark):
     text = "x a.b@mail.example.com, 10.0.0.1 1.2.3.999 4111 1111 1111 1111 +1 (702) 555-0742 @@ a@b 1.2.3.4.5.6.7.8 é+44 20 7946 0958"
     got = pii.base_spans(text)
@@ -142,12 +198,21 @@ def test_pii(spark):
         card = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(d := re.sub(r"\D", "", m[0])) <= 19 and pii.luhn(d)]
         phone = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
         assert Counter(pii.base_spans(t)) == Counter((*s, k) for k, found in zip(pii.KINDS, (mail, ip, card, phone), strict=True) for s in found)
-    models = pii.trained()
+    cards = [(k, f"pay {4000000000000000 + k * 7919} now, call +1 (702) 555-{k:04d} or 10.0.{k % 250}.1, a{k}@mail.example.com") for k in range(120)]
+    judges = pii.fit(frame(spark, cards + EDGES))
+    assert len({j.threshold for j in judges}) == 4 and all(j.precision >= 0.94 and j.recall > 0.3 for j in judges)
     extra = "write to jane.doe [at] corp [dot] com or call (702) 555-0199, order 20240105"
-    spans = [(k, extra[a:b]) for a, b, k in pii.all_spans(extra, models)[1]]
-    assert ("email", "jane.doe [at] corp [dot] com") in spans and all("20240105" not in s for _, s in spans)
-    rows = pii.find(frame(spark, EDGES)).collect()
-    assert len(rows) == len(EDGES) and all(r["spans"] == "" for r in rows)
+    base, every = pii.all_spans(extra, judges)
+    spans = [(k, extra[a:b]) for a, b, k in every]
+    assert not base and ("email", "jane.doe [at] corp [dot] com") in spans and all("20240105" not in s for _, s in spans)
+    rows = pii.find(frame(spark, EDGES + [(7, text), (7, text)]), judges).collect()
+    assert len(rows) == len(EDGES) + 2 and all(r["spans"] == "" for r in rows if r["doc_id"] != 7)
+    assert {r["base_sha256"] for r in rows if r["doc_id"] == 7} == {hashlib.sha256(pii.digest(pii.base_spans(text)).encode()).hexdigest()}
+    for r in rows:  # chosen spans overlap neither each other nor base spans of other kinds' text
+        assert r["spans"].split(",")[0] == "" or all(len(x.split(":")) == 3 for x in r["spans"].split(","))
+    assert pii.find(frame(spark, EDGES).limit(0), judges).count() == 0
+    kept = pii.redacted(frame(spark, EDGES + [(7, text)]), judges).collect()
+    assert {r["doc_id"]: r["text"] for r in kept}[901] is None and "<EMAIL>" in {r["doc_id"]: r["text"] for r in kept}[7]
     assert pii.redact(text, pii.base_spans(text)).startswith("x <EMAIL>, <IP> ")
 
 
@@ -163,15 +228,20 @@ def test_url_filter(spark):
 def test_vector_search(spark):
     rng = np.random.default_rng(5)
     vectors = [(k, (rng.integers(-9, 9, 8) / 8).tolist()) for k in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [0.5, None]), (303, [1.0] * 3), (50, vectors_tie := [0.25] * 8), (304, vectors_tie)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
-    got = vector_search.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64).collect()
+    vectors += [(None, [1.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4).withColumn("row", F.lit(1)).withColumn("v", F.lit("x"))
+    got = vector_search.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, first=6).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, vector_search.top_k(df, F.col("vec_id") % 50 == 0, bits=2).collect()))
+    assert vector_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in vector_search.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for i, q in whole:
-        if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in whole if j != i)[:5]
+        if i is not None and i % 50 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in whole if j != i), key=lambda x: (x[0], x[1] is None, x[1]))[:5]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_toxicity(spark):
