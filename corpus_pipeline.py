@@ -5,11 +5,17 @@
 3. personal data: every span becomes its kind's mark;
 4. mixing: each source gives its target's words, whole documents repeated or left out, one cut;
 5. packing: what is left as windows of 2048 token ids.
+
+Edge cases: null and empty texts are not toxic, are similar to nothing, have no spans, no words to mix (the mix
+takes none of them) and so reach no window; a null id stays till the mix; rows that repeat an id are one
+document at stage 2; a document that the mix takes twice keeps its id on both rows; an empty table gives no
+row; further columns of ``documents`` pass through to the mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetide.llm import mixing, ngram_join, packing, pii, toxicity
@@ -22,17 +28,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share an id are one document: one of them stays. Rows without an id stay."""
+    """Of each component the document with the smallest id stays.
+
+    Rows that share an id are one document: the one whose text comes first stays. Rows without an id stay.
+    """
     found = written(ngram_join.join_components(docs), "components")
     gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionAll(kept.where(F.col("doc_id").isNull()))
+        first = F.row_number().over(W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+        one = kept.where(F.col("doc_id").isNotNull()).withColumn("__first", first).where("__first = 1").drop("__first")
+        kept = one.unionAll(kept.where(F.col("doc_id").isNull()))
     return kept
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(pii.redacted(docs))
+    return _counted(pii.redacted(docs, pii.fit(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
