@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,19 +29,41 @@ def overlap_length(previous: Column, current: Column) -> Column:
     return F.coalesce(F.array_max(fits), F.lit(0))
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, which the engine lacks, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x) for x in rows])
+
+    return run(text)
+
+
+def normalized(text: Column) -> Column:
+    """NFKC, lower case, long dashes as hyphens, runs of white space as one space, none at the ends."""
+    plain = F.translate(F.lower(nfkc(text)), "—–", "--")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), "^ | $", "")
+
+
 def compact(text: Column) -> Column:
-    """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    """The normalised text's letters and digits only."""
+    return F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]", "")
+
+
+def script_profile(text: Column) -> Column:
+    """``han, latin``: whether the compact text holds either."""
+    c = compact(text)
+    return F.struct(c.rlike("[一-鿿]").alias("han"), c.rlike("[a-z]").alias("latin"))
 
 
 def containment_ratio(a: Column, b: Column) -> Column:
-    """Shorter over longer length if one text holds the other, else 0."""
+    """Of two compact texts: shorter over longer length if one text holds the other, else 0."""
     holds = (F.length(a) > 0) & (F.length(b) > 0) & (a.contains(b) | b.contains(a))
     return F.when(holds, F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).otherwise(F.lit(0.0))
 
 
 def multiset_similarity(a: Column, b: Column) -> Column:
-    """Twice the shared characters, with multiplicity, over all characters; both empty: 1."""
+    """Of two compact texts: twice the shared characters, with multiplicity, over all characters; both empty: 1."""
     chars = F.array_distinct(F.split(a, ""))
     count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     shared = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda s, c: s + F.least(count(a, c), count(b, c)))
@@ -47,7 +72,21 @@ def multiset_similarity(a: Column, b: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != "")
+    """Trimmed lines that are not empty, cut at every line end of Unicode and at information separators."""
+    parts = F.split(text, r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+def without_repeated_lines(text: Column) -> Column:
+    """Each line once, where its normalised form is first seen.
+
+    Lines are cut before they are normalised, as one column, so nothing is called for each line.
+    """
+    shown = lines(text)
+    keys = F.transform(shown, lambda x: F.regexp_replace(F.translate(F.lower(x), "—–", "--"), r"(?U)\s+", " "))
+    # the first place of a key among all keys tells whether a line is its first
+    firsts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))), lambda k: F.when(F.array_position(keys, F.get(keys, k - 1)) == k, F.get(shown, k - 1))), lambda x: x.isNotNull())
+    return F.array_join(firsts, "\n")
 
 
 def dominant_script(text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compact, lines
-from .fuzzy import compacted, robust, split_lines
+from .likeness import Likeness
 from .windows import in_order
 
 GAP, MICRO, TOKEN = 0.10, 0.50, 0.20
@@ -42,7 +43,13 @@ def collapse_bursts(cues: DataFrame, key: str = "source_id") -> DataFrame:
     pending = F.forall(F.array("review_state", "b.review_state", "c.review_state"), lambda s: s == "pending")
     same = (F.col("text") == F.col("c.text")) & (F.col("text") != F.col("b.text"))
     near = gap(F.col("end_time"), F.col("b.start_time")) & gap(F.col("b.end_time"), F.col("c.start_time")) & (F.col("b.end_time") - F.col("b.start_time") <= MICRO)
-    burst = F.coalesce(first & same & pending & near & edge_corrupted(F.col("b.text"), F.col("text")) & follows, F.lit(False))
+    held = F.lit(True)
+    if "layers" in cues.columns:  # the three rest on observations of their own
+        ids = [F.flatten(F.transform(F.col(p + "layers"), lambda x: x["observation_ids"])) for p in ("", "b.", "c.")]
+        held = F.forall(F.array(*map(F.size, ids)), lambda n: n > 0) & (F.size(F.array_distinct(F.concat(*ids))) == F.size(F.array_distinct(ids[0])) + F.size(F.array_distinct(ids[1])) + F.size(F.array_distinct(ids[2])))
+    # worked out for every row ahead of the windows, as it holds a function in Arrow batches
+    rows = rows.withColumn("garbled", edge_corrupted(F.col("b.text"), F.col("text")))
+    burst = F.coalesce(first & same & pending & near & F.col("garbled") & follows & held, F.lit(False))
     # a burst two cues after one shares its last cue; one cue after can't be, for texts alternate
     rows = rows.withColumn("burst", burst).withColumn("k", F.row_number().over(order))
     before = F.lag("burst", 2).over(order)
@@ -52,16 +59,29 @@ def collapse_bursts(cues: DataFrame, key: str = "source_id") -> DataFrame:
     rows = rows.withColumn("gone", F.coalesce(F.lag("burst", 2).over(order), F.lit(False)))
     take = lambda name, merged: F.when(F.col("burst"), merged).otherwise(F.col(name)).alias(name)
     made = {"end_time": F.greatest("end_time", "c.end_time"), "review_state": F.lit("needs_review"), "origins": F.array_union("origins", "c.origins")}
+    if "layers" in cues.columns:
+        made["layers"] = F.zip_with("layers", "c.layers", lambda x, y: x.withField("observation_ids", F.array_union(x["observation_ids"], y["observation_ids"])))
     return rows.where(~F.col("gone")).select(*[take(x, made[x]) if x in made else x for x in cues.columns])
 
 
-def without_short_extras(text: str) -> str:
+def without_short_extras(text: str, like: Likeness | None = None) -> str:
     """Drops short Latin lines unlike any long Latin line, where a cue has a long Latin and a long CJK line."""
-    rows = [(line, compacted(line)) for line in split_lines(text)]
-    cjk = lambda c: any("一" <= x <= "鿿" for x in c)
-    latin = lambda c: not cjk(c) and any("a" <= x <= "z" for x in c)
-    long = [line for line, c in rows if latin(c) and len(c) >= 12]
-    if len(rows) < 3 or not long or not any(cjk(c) and len(c) >= 6 for _, c in rows):
+    like = like or Likeness()
+    rows = like.lines(text)
+    latin = [x for x in rows if x.latin and not x.han]
+    long = [x for x in latin if len(x.compact) >= 12]
+    if len(rows) < 3 or not long or not any(x.han and len(x.compact) >= 6 for x in rows):
         return text
-    kept = [line for line, c in rows if not (latin(c) and len(c) <= 10 and all(robust(line, x) < 0.70 for x in long))]
-    return "\n".join(kept) if kept and len(kept) < len(rows) else text
+    extra = {x for x in latin if len(x.compact) <= 10 and not any(like.reaches(x.compact, y.compact, 0.70) for y in long)}
+    return "\n".join(x.shown for x in rows if x not in extra) if 0 < len(extra) < len(rows) else text
+
+
+def pruned_extras(cues: DataFrame, column: str = "text") -> DataFrame:
+    """``cues`` with short Latin extra lines dropped from ``column``."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        like = Likeness()
+        return pd.Series([None if x is None else without_short_extras(x, like) for x in rows])
+
+    return cues.withColumn(column, run(column))

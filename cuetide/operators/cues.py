@@ -15,6 +15,11 @@ def protected() -> Column:
     return F.col("review_state").isin(*PROTECTED)
 
 
+def eligible(cues: DataFrame) -> DataFrame:
+    """Cues that no person and no earlier cleaning has decided on."""
+    return cues.where(F.col("review_state") == "pending")
+
+
 def kept(cues: DataFrame) -> DataFrame:
     return cues.where(F.col("review_state") != "rejected")
 

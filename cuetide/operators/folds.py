@@ -8,19 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import frames, windows
 
 SWITCHES = ("first_frame", "change_detected")
 
 
 def distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance; equal ends and equal texts cost nothing."""
+    if a == b:
+        return 0
+    start = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    row = np.arange(len(b) + 1)
+    letters = np.fromiter(map(ord, b), np.int64, len(b))
+    steps = np.arange(len(b) + 1)
+    for x in a:  # a row at once: the chain of insertions is a running minimum
+        new = np.minimum(row[1:] + 1, row[:-1] + (letters != ord(x)))
+        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], new]) - steps) + steps
+    return int(row[-1])
 
 
 def similarity(a: str, b: str) -> float:
@@ -102,7 +116,10 @@ def overlap(before: str, text: str) -> int:
 
 
 def transition(said: str, end: float, text: str, start: float, pause: float = 1.0) -> tuple[str, int]:
-    """(continue, ambiguous, collision or separate; shared characters) of a caption after the text so far."""
+    """(continue, ambiguous, collision or separate; shared characters) of a caption after the text so far.
+
+    ``end`` is the end of the caption before it, which need not be the latest so far.
+    """
     k, gap = overlap(said, text), start - end
     if k == 0:
         return ("collision" if gap < 0 else "separate"), 0
@@ -116,16 +133,16 @@ def captions(rows: list[dict]) -> list[dict]:
     out: list[dict] = []
     now: dict | None = None
     for r in rows:
-        kind, k = ("first", 0) if now is None else transition(now["text"], now["end_time"], r["text"], r["start_time"])
+        kind, k = ("first", 0) if now is None else transition(now["text"], now["last_end"], r["text"], r["start_time"])
         if kind == "continue":
             how = "repetition" if k == len(r["text"]) else "growth" if k == len(now["text"]) and len(r["text"]) > k else "sliding"
             now["text"] += r["text"][k:]
-            now["end_time"] = max(now["end_time"], r["end_time"])
+            now["end_time"], now["last_end"] = max(now["end_time"], r["end_time"]), r["end_time"]
             now["flags"].add(how)
             now["ids"].append(r["id"])
             now["seqs"].append(r["seq"])
         else:
-            now = {"id": f"cue-{r['id']}", "start_time": r["start_time"], "end_time": r["end_time"], "text": r["text"], "ids": [r["id"]], "seqs": [r["seq"]], "flags": {kind} & {"collision", "ambiguous"}}
+            now = {"id": f"cue-{r['id']}", "start_time": r["start_time"], "end_time": r["end_time"], "last_end": r["end_time"], "text": r["text"], "ids": [r["id"]], "seqs": [r["seq"]], "flags": {kind} & {"collision", "ambiguous"}}
             out.append(now)
     high = None
     for cue in out:
@@ -135,28 +152,58 @@ def captions(rows: list[dict]) -> list[dict]:
     return out
 
 
-def consensus(rows: DataFrame, threshold: float = 0.5, key: str = "source_id") -> DataFrame:
-    """Cues of the visual states of ``rows`` (``id, start_time, end_time, text, confidence, trigger``)."""
-    kind, id_kind = rows.schema[key].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+def voted(members: list[dict], field: str) -> tuple[str | None, int, int]:
+    """(the value that most members have, how many, how many values); ties: the highest confidence, then the earliest."""
+    votes: dict = {}
+    for k, r in enumerate(members):
+        sure = -1.0 if pd.isna(r["confidence"]) else r["confidence"]
+        n, best, first = votes.get(r[field], (0, -2.0, k))
+        votes[r[field]] = (n + 1, max(best, sure), first)
+    if not votes:
+        return None, 0, 0
+    value = max(votes, key=lambda t: (votes[t][0], votes[t][1], -votes[t][2]))
+    return value, votes[value][0], len(votes)
+
+
+_CUE = ["id", "start_time", "end_time", "text", "language", "observation_ids", "n_members", "n_votes", "n_distinct", "confidence"]
+_CUE_DDL = "id string, start_time double, end_time double, text string, language string, observation_ids array<string>, n_members int, n_votes int, n_distinct int, confidence double"
+
+
+def consensus(rows: DataFrame, threshold: float = 0.5, key: str = "source_id", processing_end: float | None = None) -> DataFrame:
+    """Cues of the visual states of ``rows`` (``id, start_time, end_time, text, confidence, trigger, language, member_ids``).
+
+    A state ends where the next begins, else at ``processing_end``, else with its last member. All members are kept as
+    observations, also blanks; only those with a vote count for text and language.
+    """
+    kind = rows.schema[key].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["start_time", "id"], kind="stable")
-        readings, out = frame.to_dict("records"), []
-        for members, boundary, mute in state_runs(readings, threshold):
-            votes: dict = {}
-            for k, r in enumerate(members):
-                if r["text"] and r["id"] not in mute:
-                    sure = -1.0 if pd.isna(r["confidence"]) else r["confidence"]
-                    n, best, first = votes.get(r["text"], (0, -2.0, k))
-                    votes[r["text"]] = (n + 1, max(best, sure), first)
-            text = max(votes, key=lambda t: (votes[t][0], votes[t][1], -votes[t][2]))
-            end = members[-1]["end_time"] if boundary is None else boundary
+        out = []
+        for members, boundary, mute in state_runs(frame.to_dict("records"), threshold):
+            counted = [r for r in members if r["text"] and r["id"] not in mute]
+            text, votes, n_distinct = voted(counted, "text")
+            language = voted([r for r in counted if isinstance(r["language"], str) and r["language"]], "language")[0] or "und"
+            last = members[-1]["end_time"] if processing_end is None else processing_end
             sure = [r["confidence"] for r in members if r["text"] and not pd.isna(r["confidence"])]
-            out.append((frame[key].iloc[0], members[0]["id"], members[0]["start_time"], float(end), text, len(members), votes[text][0], len(votes), sum(sure) / len(sure) if sure else None))
-        return pd.DataFrame(out, columns=[key, "id", "start_time", "end_time", "text", "n_members", "n_votes", "n_distinct", "confidence"])
+            ids = [str(i) for r in members for i in r["member_ids"]]
+            out.append((frame[key].iloc[0], f"cue-{members[0]['id']}", members[0]["start_time"], float(last if boundary is None else boundary), text, language, ids, len(members), votes, n_distinct, sum(sure) / len(sure) if sure else None))
+        return pd.DataFrame(out, columns=[key, *_CUE])
 
-    need = rows.select(key, "id", "start_time", "end_time", "text", "confidence", "trigger")
-    return need.groupBy(key).applyInPandas(run, f"{key} {kind}, id {id_kind}, start_time double, end_time double, text string, n_members int, n_votes int, n_distinct int, confidence double")
+    held = F.col("member_ids") if "member_ids" in rows.columns else F.array("id")
+    need = rows.select(key, "id", "start_time", "end_time", "text", "confidence", "trigger", "language", F.transform(held, lambda x: x.cast("string")).alias("member_ids"))
+    return need.groupBy(key).applyInPandas(run, f"{key} {kind}, {_CUE_DDL}")
+
+
+def reconstructed(rows: DataFrame, threshold: float = 0.5, key: str = "source_id", processing_end: float | None = None) -> DataFrame:
+    """Whole consensus reconstruction: readings of one frame as one (if there is a ``frame``), states, votes, and
+    neighbours of equal text as one cue.
+    """
+    if "frame" in rows.columns:
+        firsts = rows.select(key, "id", "start_time", "end_time", "trigger", "language")
+        joined = frames.same_frame(rows, key).withColumn("first", F.col("member_ids")[0])
+        rows = joined.join(firsts.withColumnRenamed("id", "first"), [key, "first"]).drop("first", "frame")
+    return windows.consolidate(consensus(rows, threshold, key, processing_end), key=key)
 
 
 def rolling(rows: DataFrame, key: str = "source_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +63,8 @@ def fps_walk(times: list[float], fps: float) -> list[int]:
     return out
 
 
-def schedule(times: list[float], distances) -> Iterator[tuple[int, str]]:
-    """(place, reason) of the frames to look at closely.
+def schedule(times: list[float], distances, tail: bool = False) -> Iterator[tuple[int, str]]:
+    """(place, reason) of the frames to look at closely; with ``tail`` also the last one, as the range's boundary.
 
     ``distances(k, anchor)`` compares two frames cheaply; the anchor is the frame looked at last.
     """
@@ -82,6 +83,8 @@ def schedule(times: list[float], distances) -> Iterator[tuple[int, str]]:
         follow = reason == "candidate"
         anchor = k
         yield k, reason
+    if tail and times and anchor != len(times) - 1:
+        yield len(times) - 1, "boundary"
 
 
 def _grouped(rows: DataFrame, columns: list[str], fold, names: list[str], schema: str, key: str) -> DataFrame:
@@ -105,12 +108,12 @@ def sampled(frames: DataFrame, fps: float, key: str = "source_id") -> DataFrame:
     return _grouped(frames, [], fold, ["start_time"], "start_time double", key)
 
 
-def scheduled(frames: DataFrame, key: str = "source_id") -> DataFrame:
+def scheduled(frames: DataFrame, key: str = "source_id", tail: bool = False) -> DataFrame:
     """``start_time, reason`` of the frames (``start_time, signal``) to look at closely."""
 
     def fold(frame):
         times, signal = frame["start_time"].tolist(), frame["signal"].tolist()
-        return [(times[k], reason) for k, reason in schedule(times, lambda a, b: abs(signal[a] - signal[b]))]
+        return [(times[k], reason) for k, reason in schedule(times, lambda a, b: abs(signal[a] - signal[b]), tail)]
 
     return _grouped(frames, ["signal"], fold, ["start_time", "reason"], "start_time double, reason string", key)
 
@@ -131,14 +134,49 @@ def visual_states(cells: list, threshold: float = SAME_STATE) -> list[tuple[int,
     return out
 
 
+def medoid(cells: list) -> int:
+    """The place of the signature nearest to all others; ties: the earliest; unlike sizes differ wholly."""
+    if len({len(c) for c in cells}) > 1:
+        apart = lambda a, b: 1.0 if len(a) != len(b) else sum(x != y for x, y in zip(a, b, strict=True)) / max(1, len(a))
+        return int(np.argmin([sum(apart(a, b) for b in cells) for a in cells]))
+    x = np.asarray([list(c) for c in cells], float).reshape(len(cells), -1)
+    on = x.sum(0)
+    return int(np.argmin(x @ (len(cells) - on) + (1 - x) @ on))  # cells that others have otherwise
+
+
 def grouped_states(frames: DataFrame, threshold: float = SAME_STATE, key: str = "source_id") -> DataFrame:
-    """``kind, start_time, end_time, n`` of the visual states of ``start_time, signature``."""
+    """``kind, start_time, end_time, n, representative`` (its medoid's time) of the visual states of ``start_time, signature``."""
 
     def fold(frame):
         times, cells = frame["start_time"].tolist(), frame["signature"].tolist()
-        return [("blank" if blank else "subtitle", times[a], times[b], b - a + 1) for a, b, blank in visual_states(cells, threshold)]
+        return [("blank" if blank else "subtitle", times[a], times[b], b - a + 1, times[a + medoid(cells[a : b + 1])]) for a, b, blank in visual_states(cells, threshold)]
+
+    return _grouped(frames, ["signature"], fold, ["kind", "start_time", "end_time", "n", "representative"], "kind string, start_time double, end_time double, n long, representative double", key)
+
+
+class StateGrouper:
+    """Visual states of frames pushed one by one: a state is given out when the next begins, the last by :meth:`flush`."""
+
+    def __init__(self, threshold: float = SAME_STATE):
+        self.threshold, self.held = threshold, []
+
+    def push(self, at: float, cells: list) -> tuple | None:
+        blank = not len(cells) or sum(cells) / len(cells) < BLANK
+        closed = None
+        if self.held:
+            _, first, was = self.held[0]
+            far = len(first) != len(cells) or sum(x != y for x, y in zip(first, cells, strict=True)) > self.threshold * len(cells)
+            if was != blank or not blank and far:
+                closed = self.flush()
+        self.held.append((at, cells, blank))
+        return closed
 
-    return _grouped(frames, ["signature"], fold, ["kind", "start_time", "end_time", "n"], "kind string, start_time double, end_time double, n long", key)
+    def flush(self) -> tuple | None:
+        """``kind, start, end, n, representative`` of what is held."""
+        if not self.held:
+            return None
+        held, self.held = self.held, []
+        return ("blank" if held[0][2] else "subtitle", held[0][0], held[-1][0], len(held), held[medoid([c for _, c, _ in held])][0])
 
 
 def mass_distance(a: Column, b: Column) -> Column:
@@ -155,3 +193,17 @@ def occupancy_distance(a: Column, b: Column, band: int) -> Column:
     bands = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / band).cast("int") - 1, F.lit(0))), lambda k: F.slice(cells, k * band + 1, F.lit(band)))
     used = F.flatten(F.filter(bands, lambda x: F.exists(x, lambda c: c["ink"])))
     return F.when(F.size(a) != F.size(b), 1.0).when(F.size(used) == 0, 0.0).otherwise(F.size(F.filter(used, lambda c: c["differ"])) / F.size(used))
+
+
+def shift_tolerant_distance(a: Column, b: Column, height: int, width: int, dy: int = 1, dx: int = 2) -> Column:
+    """The least :func:`mass_distance` over whole-cell shifts of ``b``; cells that come in are empty.
+
+    Both are ``height`` rows of ``width`` cells.
+    """
+
+    def shifted(y: int, x: int) -> Column:
+        cell = lambda k: F.when((F.floor(k / width) - y).between(0, height - 1) & (k % width - x).between(0, width - 1), F.get(b, (k - y * width - x).cast("int"))).otherwise(F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), cell)
+
+    moves = [(y, x) for y in range(-dy, dy + 1) for x in range(-dx, dx + 1)]
+    return F.when(F.size(a) != F.size(b), 1.0).otherwise(F.least(*[mass_distance(a, shifted(*m)) for m in moves]))

@@ -7,11 +7,15 @@ shares several bins is kept in the first common one only, so nothing is made dis
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bins' width by default; spans much longer than it make many rows, so callers with such spans choose their own.
+WIDTH = 60.0
+
+
 def _bins(rows: DataFrame, prefix: str, width: float) -> DataFrame:
     first, last = (F.floor(F.col(f"{prefix}{end}_time") / width) for end in ("start", "end"))
     return rows.withColumn(f"{prefix}first", first).withColumn("bin", F.explode(F.sequence(first, last)))
@@ -21,14 +25,19 @@ def _named(rows: DataFrame, key: str, prefix: str) -> DataFrame:
     return rows.select(F.col(key).alias("join_key"), *[F.col(c).alias(prefix + c) for c in rows.columns])
 
 
-def overlap_join(a: DataFrame, b: DataFrame, *, key: str = "source_id", width: float = 60.0) -> DataFrame:
+def binned(spans: DataFrame, key: str = "source_id", width: float = WIDTH) -> DataFrame:
+    """``spans`` with ``join_key`` and a row for each ``bin``, columns prefixed with ``s_``."""
+    return _bins(_named(spans, key, "s_"), "s_", width).drop("s_first")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, *, key: str = "source_id", width: float = WIDTH) -> DataFrame:
     """Pairs that overlap, half-open: columns of ``a`` as ``a_*``, of ``b`` as ``b_*``."""
     left, right = _bins(_named(a, key, "a_"), "a_", width), _bins(_named(b, key, "b_"), "b_", width)
     pairs = left.join(right, ["join_key", "bin"]).where((F.col("a_start_time") < F.col("b_end_time")) & (F.col("a_end_time") > F.col("b_start_time")))
     return pairs.where(F.col("bin") == F.greatest("a_first", "b_first")).drop("join_key", "bin", "a_first", "b_first")
 
 
-def overlapping(a: DataFrame, b: DataFrame, *, id_col: str, key: str = "source_id", width: float = 60.0, anti: bool = False) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, *, id_col: str, key: str = "source_id", width: float = WIDTH, anti: bool = False) -> DataFrame:
     """Rows of ``a`` that overlap some row of ``b``, or with ``anti`` none."""
     left, right = _bins(_named(a.select(key, id_col, "start_time", "end_time"), key, "a_"), "a_", width), _bins(_named(b.select(key, "start_time", "end_time"), key, "b_"), "b_", width)
     meets = (left["join_key"] == right["join_key"]) & (left["bin"] == right["bin"]) & (F.col("a_start_time") < F.col("b_end_time")) & (F.col("a_end_time") > F.col("b_start_time"))
@@ -36,7 +45,7 @@ def overlapping(a: DataFrame, b: DataFrame, *, id_col: str, key: str = "source_i
     return a.join(hit, [key, id_col], "left_anti" if anti else "left_semi")
 
 
-def best_overlap(a: DataFrame, b: DataFrame, *, a_id: str, b_id: str, key: str = "source_id", width: float = 60.0) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame, *, a_id: str, b_id: str, key: str = "source_id", width: float = WIDTH) -> DataFrame:
     """For each row of ``a`` the row of ``b`` that overlaps it most; ties: the earliest, then the smallest id."""
     pairs = overlap_join(a, b, key=key, width=width)
     much = F.least("a_end_time", "b_end_time") - F.greatest("a_start_time", "b_start_time")
@@ -44,7 +53,7 @@ def best_overlap(a: DataFrame, b: DataFrame, *, a_id: str, b_id: str, key: str =
     return pairs.withColumn("overlap", much).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-def covering(points: DataFrame, spans: DataFrame, *, point_id: str, span_id: str, at: str = "at", key: str = "source_id", width: float = 60.0) -> DataFrame:
+def covering(points: DataFrame, spans: DataFrame, *, point_id: str, span_id: str, at: str = "at", key: str = "source_id", width: float = WIDTH) -> DataFrame:
     """For each point the first span that covers it, both ends included; points without one drop out."""
     left = _named(points, key, "p_").withColumn("bin", F.floor(F.col(f"p_{at}") / width))
     right = _bins(_named(spans, key, "s_"), "s_", width)
@@ -53,7 +62,7 @@ def covering(points: DataFrame, spans: DataFrame, *, point_id: str, span_id: str
     return pairs.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k", "bin", "join_key", "s_first")
 
 
-def reached(spans: DataFrame, points: DataFrame, *, span_id: str, at: str = "at", tolerance: float = 0.0, key: str = "source_id", width: float = 60.0) -> DataFrame:
+def reached(spans: DataFrame, points: DataFrame, *, span_id: str, at: str = "at", tolerance: float = 0.0, key: str = "source_id", width: float = WIDTH) -> DataFrame:
     """``span_id, n``: how many points lie in each span widened by ``tolerance``, ends included; none: 0."""
     wide = spans.select(key, span_id, (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))
     left = _bins(_named(wide, key, "s_"), "s_", width)
@@ -79,7 +88,3 @@ def nearest(points: DataFrame, others: DataFrame, *, at: str = "at", value: str
     out = both.withColumn("back", back).withColumn("ahead", ahead).where(F.col("p").isNotNull())
     closer = F.when(F.col("ahead").isNull() | (F.col("t") - F.col("back.t") <= F.col("ahead.t") - F.col("t")), F.col("back")).otherwise(F.col("ahead"))
     return out.select("p.*", closer["t"].alias("nearest_at"), closer["v"].alias("nearest_value"))
-
-
-def keyed(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))

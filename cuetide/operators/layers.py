@@ -7,6 +7,9 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import folds
 
 #: The languages that a script may stand for.
 LANGUAGES_OF = {"kana": {"ja"}, "han": {"zh", "ja"}, "latin": {"en"}}
@@ -111,3 +114,80 @@ def assigned(regions: DataFrame, expected: list[str], key: str = "source_id") ->
 
     need = regions.select(key, "frame", "id", "seq", "text", "language", "top", "bottom", "left")
     return need.groupBy(key, "frame").applyInPandas(run, f"{key} {kind}, frame string, language string, text string, n_lines int, ambiguous boolean, ids array<{id_kind}>")
+
+
+def _frames(regions: list[dict]) -> list[list[dict]]:
+    """Regions by frame, in the order of first sight; one without a frame stands alone."""
+    out: dict = {}
+    for r in regions:
+        out.setdefault(("frame", r["frame"]) if r["frame"] else ("alone", r["id"]), []).append(r)
+    return list(out.values())
+
+
+def canonical(regions: list[dict], expected: list[str]) -> list[dict]:
+    """A frame's regions in the order of their languages, so that layers that swap places look the same; the rest after them."""
+    if len(regions) == 1:
+        return regions
+    by, _ = assign(regions, expected)
+    placed = [r for x in expected for line in by[x] for r in line]
+    ids = {r["id"] for r in placed}
+    return placed + [r for r in regions if r["id"] not in ids]
+
+
+def merged_lines(members: list[dict], expected: list[str]) -> tuple[dict[str, list[list[dict]]], set[str]]:
+    """Lines of each language over several frames: each frame is assigned by itself, then equal places meet."""
+    lines: dict[str, list[list[dict]]] = {x: [] for x in expected}
+    guess: set[str] = set()
+    for frame in _frames(members):
+        by, open_ = assign(frame, expected)
+        guess |= open_
+        for x in expected:
+            for k, line in enumerate(by[x]):
+                if k == len(lines[x]):
+                    lines[x].append([])
+                lines[x][k] += line
+    return lines, guess
+
+
+_LAYER_DDL = "array<struct<language:string,text:string,observation_ids:array<string>>>"
+
+
+def reconstructed(regions: DataFrame, expected: list[str], threshold: float = 0.5, key: str = "source_id", processing_end: float | None = None) -> DataFrame:
+    """Cues with a layer for each expected language: ``id, start_time, end_time, layers, missing, ambiguous``.
+
+    States come from whole frames, their regions joined in the languages' order; then each line of each language gets a
+    vote of its own over the state's frames. A language without a line has an empty layer and is named ``missing``.
+    One language alone goes by :func:`folds.reconstructed`. A source is a task's unit, as long as one recording.
+    """
+    if len(expected) == 1:
+        cues = folds.reconstructed(regions, threshold, key, processing_end)
+        layer = F.struct(F.lit(expected[0]).alias("language"), "text", "observation_ids")
+        none = F.array().cast("array<string>")
+        return cues.select(key, "id", "start_time", "end_time", F.array(layer).alias("layers"), none.alias("missing"), none.alias("ambiguous"))
+    kind = regions.schema[key].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["start_time", "seq"], kind="stable").astype(object)
+        held = rows.where(rows.notna(), None).to_dict("records")
+        readings = []
+        for frame in _frames(held):
+            ordered = canonical(frame, expected)
+            parts, last = [], None
+            for r in ordered:
+                apart = last is not None and last["top"] is not None and r["top"] is not None and min(last["bottom"], r["bottom"]) <= max(last["top"], r["top"])
+                parts += ["\n", r["text"]] if apart else [r["text"]]
+                last = r
+            first = ordered[0]
+            readings.append({"id": first["id"], "text": "".join(parts), "start_time": first["start_time"], "end_time": first["end_time"], "trigger": first["trigger"], "members": ordered})
+        readings.sort(key=lambda r: r["start_time"])
+        out = []
+        for members, boundary, mute in folds.state_runs(readings, threshold):
+            said = [r for m in members if m["text"] and m["id"] not in mute for r in m["members"] if r["text"]]
+            by, guess = merged_lines(said, expected)
+            layers = [{"language": x, "text": "\n".join(folds.voted(line, "text")[0] for line in by[x]), "observation_ids": [str(r["id"]) for line in by[x] for r in line]} for x in expected]
+            last = members[-1]["end_time"] if processing_end is None else processing_end
+            out.append((rows[key].iloc[0], f"cue-{members[0]['id']}", members[0]["start_time"], float(last if boundary is None else boundary), layers, [x for x in expected if not by[x]], [x for x in expected if x in guess]))
+        return pd.DataFrame(out, columns=[key, "id", "start_time", "end_time", "layers", "missing", "ambiguous"])
+
+    need = regions.select(key, "frame", "id", "seq", "text", "language", "confidence", "trigger", "start_time", "end_time", "top", "bottom", "left")
+    return need.groupBy(key).applyInPandas(run, f"{key} {kind}, id string, start_time double, end_time double, layers {_LAYER_DDL}, missing array<string>, ambiguous array<string>")

@@ -47,7 +47,8 @@ def consensus_cues(rows: DataFrame, key: str = "source_id") -> DataFrame:
 def consolidate(cues: DataFrame, gap: float = 0.15, key: str = "source_id") -> DataFrame:
     """Neighbours of equal, non-empty trimmed text merge if the next starts within ``gap`` after the merged end.
 
-    The merged end is the greatest end so far within the row of equal texts.
+    The merged end is the greatest end so far within the row of equal texts. Of ``language`` and
+    ``observation_ids``, if there are such columns, the first is kept and all are joined in order.
     """
     order = in_order(key)
     text = F.trim("text")
@@ -58,7 +59,13 @@ def consolidate(cues: DataFrame, gap: float = 0.15, key: str = "source_id") -> D
     rows = rows.withColumn("breaks", F.coalesce(F.col("start_time") > reach + gap, F.lit(True)).cast("int"))
     rows = rows.withColumn("part", F.sum("breaks").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     first = F.struct("start_time", "id")
-    return rows.groupBy(key, "same", "part").agg(F.min_by("id", first).alias("id"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.min_by(text, first).alias("text"), F.count("*").alias("n"))
+    more = []
+    if "language" in cues.columns:
+        more.append(F.min_by("language", first).alias("language"))
+    if "observation_ids" in cues.columns:
+        held = F.sort_array(F.collect_list(F.struct("start_time", "id", "observation_ids")))  # one recording's cues of one text
+        more.append(F.array_distinct(F.flatten(F.transform(held, lambda x: x["observation_ids"]))).alias("observation_ids"))
+    return rows.groupBy(key, "same", "part").agg(F.min_by("id", first).alias("id"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.min_by(text, first).alias("text"), F.count("*").alias("n"), *more)
 
 
 def run_lengths(rows: DataFrame, value: str, key: str = "source_id") -> DataFrame:
@@ -88,14 +95,42 @@ def crowded(rows: DataFrame, seconds: float, key: str = "source_id") -> DataFram
     return rows.withColumn("n_near", F.count("*").over(W.partitionBy(key).orderBy(at).rangeBetween(0, round(seconds * 1e6))))
 
 
-def curated(rows: DataFrame, winner: str, key: str = "source_id") -> DataFrame:
-    """First, last and the middle rows that differ from ``winner``; if none does, the middle row."""
+def segments(rows: DataFrame, value: str, least: float, key: str = "source_id") -> DataFrame:
+    """Run lengths; a run shorter than ``least`` between two different others is a ``transition``.
+
+    Runs of one value that only transitions part are one again, and those transitions go.
+    """
+    held = run_lengths(rows, value, key)
+    order = W.partitionBy(key).orderBy("run")
+    between = F.coalesce(F.lag(value).over(order) != F.lead(value).over(order), F.lit(False))
+    held = held.withColumn("transition", between & (F.col("end_time") - F.col("start_time") < least))
+    # the last lasting run before each run, itself left out, tells whether a new part begins
+    before = F.last(F.when(~F.col("transition"), F.struct(value)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    held = held.withColumn("before", before)
+    opens = ~F.col("transition") & (F.col("before").isNull() | (F.col(f"before.{value}") != F.col(value)))
+    held = held.withColumn("part", F.sum(opens.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    whole = W.partitionBy(key, "part")
+    last = F.max(F.when(~F.col("transition"), F.col("run"))).over(whole)
+    held = held.withColumn("inside", F.col("transition") & (F.col("run") < last)).where(~F.col("inside"))
+    alone = F.when(F.col("transition"), F.col("run")).otherwise(F.lit(-1))
+    out = held.groupBy(key, "part", alone.alias("alone")).agg(F.first(value).alias(value), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.first("transition").alias("transition"))
+    return out.select(key, value, "start_time", "end_time", "transition")
+
+
+def ambiguities(runs: DataFrame, value: str, *, unreadable: float, seconds: float, most: int, key: str = "source_id") -> DataFrame:
+    """``key, run, unreadable, crowded``: blank runs of ``unreadable`` seconds or more; more than ``most`` runs that start within ``seconds``."""
+    blank = (F.col(value) == "") & (F.col("end_time") - F.col("start_time") >= unreadable)
+    return crowded(runs, seconds, key).select(key, "run", blank.alias("unreadable"), (F.col("n_near") > most).alias("crowded"))
+
+
+def curated(rows: DataFrame, winner: str, key: str = "source_id", also: Column | None = None) -> DataFrame:
+    """First, last and the middle rows that differ from ``winner``; if none does, the middle row; and those ``also`` asked for."""
     order, whole = in_order(key), W.partitionBy(key)
     k, n = F.row_number().over(order) - 1, F.count("*").over(whole)
     rows = rows.withColumn("k", k).withColumn("n", n).withColumn("odd", (F.col("k") > 0) & (F.col("k") < F.col("n") - 1) & (F.col("text") != F.col(winner)))
     rows = rows.withColumn("any_odd", F.max("odd").over(whole))
     middle = ~F.col("any_odd") & (F.col("k") == F.floor(F.col("n") / 2))
-    return rows.where((F.col("k") == 0) | (F.col("k") == F.col("n") - 1) | F.col("odd") | middle).drop("n", "odd", "any_odd")
+    return rows.where((F.col("k") == 0) | (F.col("k") == F.col("n") - 1) | F.col("odd") | middle | (F.lit(False) if also is None else also)).drop("n", "odd", "any_odd")
 
 
 def top_fraction(rows: DataFrame, score: str, share: float, total: int | None = None) -> DataFrame:

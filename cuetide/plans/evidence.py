@@ -6,11 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bursts, frames, fuzzy, intervals, layers, windows
+from ..operators import bursts, evaluation, frames, fuzzy, intervals, layers, windows
 from ..sources import captions, model, store
 from .queries import _CUES, _OBS, _SPANS, _cues, _obs, _spans, query
 
-_REGIONS = """regions AS (SELECT conv_id AS source_id, conv_id || '-' || turn AS id, conv_id || '/' || turn // 3 AS frame, turn AS seq, left(text, 12) AS text,
+_REGIONS = """regions AS (SELECT conv_id AS source_id, conv_id || '-' || turn AS id, conv_id || '/' || turn // 3 AS frame, turn AS seq, text,
   CASE WHEN turn % 5 <> 0 THEN (turn * 7 % 4)::DOUBLE END AS top, CASE WHEN turn % 5 <> 0 THEN (turn * 7 % 4)::DOUBLE + 1.5 END AS bottom, (turn % 2)::DOUBLE AS left_, turn / 100 AS confidence FROM conversations)"""
 _PAIRS = """pairs AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)"""
 
@@ -43,37 +43,96 @@ def im1_frame_difference(spark, d):
     return rows.select("vec_id", F.round(frames.frame_difference(F.col("embedding"), F.col("b")), 6).alias("difference"), F.round(frames.signature_distance(cells("embedding"), cells("b")), 9).alias("distance"), frames.is_blank(cells("embedding"), 0.5).alias("blank"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT label AS source_id, vec_id, list_transform(embedding, lambda x: x > 0) AS c, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+b AS (SELECT *, len(list_filter(c, lambda x: x)) / 64 < 0.01 AS blank FROM k),
+f AS (SELECT source_id, k, 1 AS run, c AS anchor, blank AS was FROM b WHERE k = 1
+  UNION ALL SELECT source_id, k, CASE WHEN goes THEN run ELSE run + 1 END, CASE WHEN goes THEN anchor ELSE c END, blank FROM (SELECT b.source_id, b.k, b.c, b.blank, f.run, f.anchor, b.blank = f.was AND (b.blank OR len(list_filter(list_zip(f.anchor, b.c), lambda z: z[1] <> z[2])) <= 0.4 * 64) AS goes FROM f JOIN b ON b.source_id = f.source_id AND b.k = f.k + 1)),
+m AS (SELECT f.source_id, f.run, f.was, b.vec_id, b.c FROM f JOIN b ON b.source_id = f.source_id AND b.k = f.k),
+d AS (SELECT x.source_id, x.run, x.vec_id, sum(len(list_filter(list_zip(x.c, y.c), lambda z: z[1] <> z[2]))) AS total FROM m x JOIN m y ON x.source_id = y.source_id AND x.run = y.run GROUP BY ALL),
+r AS (SELECT source_id, run, first(vec_id ORDER BY total, vec_id) AS r FROM d GROUP BY ALL)
+SELECT m.source_id, CASE WHEN any_value(was) THEN 'blank' ELSE 'subtitle' END AS kind, min(vec_id)::DOUBLE AS start_time, max(vec_id)::DOUBLE AS end_time, count(*) AS n, any_value(r)::DOUBLE AS representative FROM m JOIN r USING (source_id, run) GROUP BY m.source_id, m.run""")
 def wn9_visual_states(spark, d):
-    """WN9, of WN23 kind, start, end and count: visual states of the signatures of each source, near their first one."""
+    """WN9 WN23 SO7: visual states of the signatures of each source, near their first one, each with its medoid."""
     rows = model.table(spark, d, "embeddings").select(F.col("label").alias("source_id"), F.col("vec_id").cast("double").alias("start_time"), F.transform("embedding", lambda x: x > 0).alias("signature"))
     return frames.grouped_states(rows, 0.4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_OBS}, k AS (SELECT source_id, start_time, row_number() OVER (PARTITION BY source_id ORDER BY start_time) AS k FROM obs),
+f AS (SELECT *, start_time + 3600 AS due, true AS kept FROM k WHERE k = 1 UNION ALL SELECT k.source_id, k.start_time, k.k, CASE WHEN k.start_time >= f.due THEN f.due + 3600 ELSE f.due END, k.start_time >= f.due FROM f JOIN k ON k.source_id = f.source_id AND k.k = f.k + 1)
+SELECT source_id, start_time FROM f WHERE kept""")
 def wn17_fps_walk(spark, d):
     """WN17: frames that a fixed rate keeps, catching up after gaps."""
     return frames.sampled(_obs(spark, d).select("source_id", "start_time"), 1 / 3600)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_OBS}, k AS (SELECT source_id, start_time AS t, coalesce(confidence, 0) AS g, row_number() OVER (PARTITION BY source_id ORDER BY start_time) AS k, count(*) OVER (PARTITION BY source_id) AS n FROM obs),
+f AS (SELECT source_id, k, t, n, g AS anchor, t AS seen, false AS follow, 'bootstrap' AS reason FROM k WHERE k = 1
+  UNION ALL SELECT source_id, k, t, n, CASE WHEN why IS NULL THEN anchor ELSE g END, CASE WHEN why IS NULL THEN seen ELSE t END, coalesce(why = 'candidate', follow AND false), why FROM
+    (SELECT k.source_id, k.k, k.t, k.n, k.g, f.anchor, f.seen, f.follow, CASE WHEN f.follow THEN 'candidate_followup' WHEN abs(k.g - f.anchor) > 0.03 THEN 'candidate' WHEN k.t - f.seen >= 1 THEN 'sentinel' END AS why FROM f JOIN k ON k.source_id = f.source_id AND k.k = f.k + 1))
+SELECT source_id, t AS start_time, coalesce(reason, 'boundary') AS reason FROM f WHERE reason IS NOT NULL OR k = n""")
 def sm3_schedule(spark, d):
-    """SM3 AG15: which frames are looked at closely, and why."""
-    return frames.scheduled(_obs(spark, d).select("source_id", "start_time", F.coalesce("confidence", F.lit(0.0)).alias("signal")))
+    """SM3: which frames are looked at closely, and why; the last one closes the range."""
+    return frames.scheduled(_obs(spark, d).select("source_id", "start_time", F.coalesce("confidence", F.lit(0.0)).alias("signal")), tail=True)
 
 
-@query()
-def f7_fuzzy_scores(spark, d):
-    """F3 F5-F8 F10-F13: sequence, bigram, line and state scores of neighbouring turns."""
-    rows = model.table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("next")).where("next is not null")
-    scores = {"sequence": fuzzy.sequence, "dice": fuzzy.dice, "robust": fuzzy.robust, "lines": fuzzy.line_score, "state": fuzzy.state_score, "wer": fuzzy.word_error_rate}
-    return rows.select("conv_id", "turn", *[F.round(fuzzy.column(f, "text", "next"), 9).alias(name) for name, f in scores.items()])
+_NEXT = r"""n AS (SELECT conv_id || '-' || turn AS id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+c AS (SELECT id, regexp_replace(lower(a), '[^\p{L}\p{N}]', '', 'g') AS a, regexp_replace(lower(b), '[^\p{L}\p{N}]', '', 'g') AS b FROM n WHERE b IS NOT NULL)"""
+
 
+def _next(spark, d):
+    rows = model.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("a"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    return rows.where("b is not null")
 
-@query(r"""WITH w AS (SELECT page_id, regexp_extract(url, '/([^/]*)$', 1) AS a, regexp_extract(url, '([^/]*)/[^/]*$', 1) AS b FROM pages)
-SELECT page_id, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(a, '')), lambda c: c <> ''), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))), 0) / (length(a) + length(b)) END, 9) AS similarity FROM w""")
+
+@query()
+def f7_fuzzy_scores(spark, d):
+    """F5-F8 F10-F13: sequence, bigram, line and state scores of neighbouring turns."""
+    found = fuzzy.state_scores(_next(spark, d), "id", "a", "b")
+    return found.select("id", *[F.round(c, 9).alias(c) for c in found.columns if c != "id"])
+
+
+@query(f"""WITH {_NEXT}, g AS (SELECT id, unnest(list_transform(generate_series(1, length(a) - 1), lambda k: substring(a, k::BIGINT, 2))) AS g, 1 AS x, 0 AS y FROM c WHERE length(a) > 1 UNION ALL SELECT id, unnest(list_transform(generate_series(1, length(b) - 1), lambda k: substring(b, k::BIGINT, 2))), 0, 1 FROM c WHERE length(b) > 1),
+s AS (SELECT id, g, sum(x) AS x, sum(y) AS y FROM g GROUP BY id, g), t AS (SELECT id, sum(least(x, y)) AS shared, sum(x + y) AS total FROM s GROUP BY id)
+SELECT c.id, round(CASE WHEN length(a) > 1 AND length(b) > 1 THEN 2 * shared / total END, 9) AS dice FROM c LEFT JOIN t ON t.id = c.id""")
+def f8_dice(spark, d):
+    """F6 F8: bigrams that neighbouring turns share, by their compact texts."""
+    rows = _next(spark, d).select("id", text.compact(F.col("a")).alias("a"), text.compact(F.col("b")).alias("b"))
+    return fuzzy.dice(rows, "id").select("id", F.round("dice", 9).alias("dice"))
+
+
+@query(r"""WITH RECURSIVE w AS (SELECT page_id, list_filter(string_split_regex(regexp_replace(url, '[/.:?#&=-]+', ' ', 'g'), '\s+'), lambda x: x <> '') AS a, ['http', 'example', 'org', 'en'] AS b FROM pages),
+d AS (SELECT page_id, a, b, 0 AS i, [0, 1, 2, 3, 4]::INT[] AS r FROM w
+  UNION ALL SELECT page_id, a, b, i + 1, [i + 1, c1, c2, c3, least(r[5] + 1, c3 + 1, r[4] + CASE WHEN a[i + 1] = b[4] THEN 0 ELSE 1 END)] FROM (SELECT *, least(r[4] + 1, c2 + 1, r[3] + CASE WHEN a[i + 1] = b[3] THEN 0 ELSE 1 END) AS c3 FROM (SELECT *, least(r[3] + 1, c1 + 1, r[2] + CASE WHEN a[i + 1] = b[2] THEN 0 ELSE 1 END) AS c2 FROM
+    (SELECT *, least(r[2] + 1, i + 2, r[1] + CASE WHEN a[i + 1] = b[1] THEN 0 ELSE 1 END) AS c1 FROM d WHERE i < len(a)))))
+SELECT page_id, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE r[5] / len(a) END, 9) AS wer FROM d WHERE i = len(a)""")
+def f3_word_error_rate(spark, d):
+    """F3 F31 EV1: edit distance over words."""
+    words = F.regexp_replace("url", "[/.:?#&=-]+", " ")
+    return model.table(spark, d, "pages").select("page_id", F.round(fuzzy.word_error_rate(words, F.lit("http example org en")), 9).alias("wer"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(p.l) AS line, unnest(generate_series(1, len(p.l))) AS pos FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x1c-\x1e]|\x{85}|\x{2028}|\x{2029}') AS l FROM documents WHERE text IS NOT NULL) p),
+t AS (SELECT doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(translate(lower(line), '—–', '--'), '\s+', ' ', 'g') ORDER BY pos) AS k FROM t WHERE line <> ''),
+s AS (SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5 FROM k WHERE k = 1 GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(text_md5, md5('')) AS text_md5, coalesce(n, 0) AS n FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL""")
+def f21_dedupe_lines(spark, d):
+    """F21 F14: lines once each."""
+    rows = model.table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return rows.select("doc_id", F.md5(text.without_repeated_lines(F.col("text"))).alias("text_md5"), F.size(text.lines(F.col("text"))).cast("long").alias("n"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '[\x{4E00}-\x{9FFF}]') AS han, regexp_matches(lower(text), '[a-z]') AS latin FROM documents""")
+def f15_script_profile(spark, d):
+    """which scripts a text holds."""
+    return model.table(spark, d, "documents").select("doc_id", text.script_profile(F.col("text")).alias("p")).select("doc_id", "p.han", "p.latin")
+
+
+@query(r"""WITH w AS (SELECT page_id, regexp_extract(url, '/([^/]*)$', 1) AS a, regexp_extract(url, '([^/]*)/[^/]*$', 1) AS b FROM pages), v AS (SELECT page_id, regexp_replace(lower(a), '[^\p{L}\p{N}]', '', 'g') AS a, regexp_replace(lower(b), '[^\p{L}\p{N}]', '', 'g') AS b FROM w)
+SELECT page_id, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(a, '')), lambda c: c <> ''), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))), 0) / (length(a) + length(b)) END, 9) AS similarity FROM v""")
 def f9_multiset(spark, d):
     rows = model.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([^/]*)$", 1).alias("a"), F.regexp_extract("url", "([^/]*)/[^/]*$", 1).alias("b"))
+    rows = rows.select("page_id", text.compact(F.col("a")).alias("a"), text.compact(F.col("b")).alias("b"))
     return rows.select("page_id", F.round(text.multiset_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
@@ -103,13 +162,15 @@ def flt6_review_needed(spark, d):
     return rows.join(known, "id", "left").select("source_id", "id", level.alias("level"), needed.alias("review_needed"))
 
 
-@query(f"WITH {_OBS}, c AS (SELECT source_id, trigger, unnest(list(id)) AS id FROM obs GROUP BY source_id, trigger) SELECT c.source_id, c.trigger, count(*) AS n, round(max(o.start_time), 6) AS last FROM c JOIN obs o ON c.id = o.id WHERE o.text <> '' GROUP BY c.source_id, c.trigger")
+@query(f"""WITH {_OBS}, c AS (SELECT source_id, trigger, list(id ORDER BY start_time, id) AS ids FROM obs GROUP BY source_id, trigger), e AS (SELECT source_id, trigger, ids, unnest(ids) AS id FROM c)
+SELECT e.source_id, e.trigger, array_to_string(any_value(ids), ',') AS ids, count(*) AS n, round(max(o.start_time), 6) AS last FROM e JOIN obs o ON e.id = o.id WHERE o.text <> '' GROUP BY e.source_id, e.trigger""")
 def jn7_evidence(spark, d):
-    """JN7 AG21: the observations behind each cue by their ids; ids without a row go."""
+    """JN7 AG21 ST2: the observations behind each cue by their ids, each once, in the order first seen; ids without a row go."""
     obs = _obs(spark, d)
-    cues = obs.groupBy("source_id", "trigger").agg(F.array_distinct(F.collect_list("id")).alias("ids"))
-    held = cues.select("source_id", "trigger", F.explode("ids").alias("id")).join(obs.where("text <> ''").select("id", "start_time"), "id")
-    return held.groupBy("source_id", "trigger").agg(F.count("*").alias("n"), F.round(F.max("start_time"), 6).alias("last"))
+    seen = F.transform(F.sort_array(F.collect_list(F.struct("start_time", "id"))), lambda x: x["id"])
+    cues = obs.groupBy("source_id", "trigger").agg(F.array_distinct(seen).alias("ids"))
+    held = cues.select("source_id", "trigger", "ids", F.explode("ids").alias("id")).join(obs.where("text <> ''").select("id", "start_time"), "id")
+    return held.groupBy("source_id", "trigger").agg(F.array_join(F.first("ids"), ",").alias("ids"), F.count("*").alias("n"), F.round(F.max("start_time"), 6).alias("last"))
 
 
 @query(f"WITH {_CUES} SELECT source_id, id, start_time FROM cues WHERE source_id % 4 <> 1")
@@ -135,7 +196,8 @@ def snk9_upsert(spark, d):
 @query(f"WITH {_CUES} SELECT source_id, id AS cue_id, 0 AS position, role AS language, CASE WHEN role = 'user' AND start_time = 0 THEN 'edited' ELSE text END AS text FROM cues")
 def snk5_layers(spark, d):
     """SNK5 QA4: cues' layers as rows, after an edit of one language."""
-    return store.layer_rows(store.with_layer_text(_cues(spark, d), F.col("start_time") == 0, "user", "edited"))
+    rows = _cues(spark, d)
+    return store.layer_rows(store.with_layer_text(rows, (F.col("start_time") == 0) & F.exists("layers", lambda x: x["language"] == "user"), "user", "edited"))
 
 
 @query(f"WITH {_CUES} SELECT source_id, id, CASE WHEN start_time - 2 < 0 THEN 'negative start' WHEN end_time - 2 <= start_time - 2 THEN 'empty span' END AS problem FROM cues")
@@ -144,11 +206,11 @@ def val1_checked(spark, d):
     return store.checked(rows).select("source_id", "id", "problem")
 
 
-@query(f"WITH {_OBS} SELECT * FROM (SELECT source_id, id, start_time FROM obs WHERE source_id IN (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 3)) ORDER BY start_time, id")
-def src8_for_sources(spark, d):
-    """SRC7 SRC8 SO2: observations of listed sources in order."""
+@query(f"WITH {_OBS} SELECT source_id, id, start_time FROM obs ORDER BY start_time, id")
+def src8_in_order(spark, d):
+    """SRC7 SRC8 SO2: observations of listed sources, here of all, in order."""
     rows = _obs(spark, d)
-    return rows.join(rows.where("source_id % 10 = 3").select("source_id").distinct(), "source_id", "left_semi").select("source_id", "id", "start_time").orderBy("start_time", "id")
+    return store.of_sources(rows, rows.select("source_id").distinct()).select("source_id", "id", "start_time")
 
 
 @query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, sum(n_chars)::BIGINT AS total, round(quantile_cont(n_chars, 0.05), 6) AS p05, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(sqrt(quantile_cont(n_chars, 0.05) * quantile_cont(n_chars, 0.95)), 6) AS threshold FROM documents GROUP BY source")
@@ -167,11 +229,14 @@ def ev14_lower_rank(spark, d):
     return ranked.where(F.col("k") == F.floor(F.lit(95) * (F.col("n") - 1) / 100) + 1).groupBy("event_type").agg(F.max("value").alias("p95"))
 
 
-@query(f"WITH {_OBS} SELECT source_id, count(*) FILTER (confidence > 0.9) AS sure, bool_and(start_time >= 0) AND count(*) <= 100000 AS passed, 1 - count(*) FILTER (text <> '') / count(*) AS reduction FROM obs GROUP BY source_id")
+@query(f"""WITH {_SPANS}, n AS (SELECT t.source_id, truth_id, t.s, t.e, count(f.s) AS n FROM truth t LEFT JOIN found f ON f.source_id = t.source_id AND f.s BETWEEN t.s - 2 AND t.e + 2 GROUP BY ALL),
+l AS (SELECT *, lead(n) OVER (PARTITION BY source_id ORDER BY s, e, truth_id) AS after FROM n), c AS (SELECT source_id, count(*) AS calls FROM found GROUP BY source_id),
+g AS (SELECT source_id, bool_and(after IS NULL OR n > 0 AND after > 0) AS recall_complete, count(*) FILTER (n = 0) AS swallowed, count(*) FILTER (n > 0) AS representatives FROM l GROUP BY source_id)
+SELECT g.*, coalesce(calls, 0) AS calls, recall_complete AND swallowed = 0 AND representatives <= 20 AND coalesce(calls, 0) <= 20 AS passed, CASE WHEN coalesce(calls, 0) = 0 THEN 0.0 ELSE round(1 - representatives / calls, 9) END AS reduction FROM g LEFT JOIN c USING (source_id)""")
 def ev10_verdict(spark, d):
-    """EV10 AG15: a source passes if all its gates do."""
-    spoken = F.count_if(F.col("text") != "") / F.count("*")
-    return _obs(spark, d).groupBy("source_id").agg(F.count_if(F.col("confidence") > 0.9).alias("sure"), (F.bool_and(F.col("start_time") >= 0) & (F.count("*") <= 100000)).alias("passed"), (1 - spoken).alias("reduction"))
+    """EV10 AG15: a source passes if every transition is bracketed, no state swallowed, and representatives and calls are few."""
+    truth, found = _spans(spark, d)
+    return evaluation.verdict(truth, found.select("source_id", "found_id", F.col("start_time").alias("at")), state_id="truth_id", tolerance=2.0)
 
 
 @query(f"WITH {_CUES}, m AS (SELECT round((start_time + end_time) / 2, 3) AS middle, role, text, source_id FROM cues) SELECT source_id, middle, min(CASE WHEN role = 'user' THEN text END) AS user_text, min(CASE WHEN role = 'assistant' THEN text END) AS assistant_text FROM m GROUP BY source_id, middle")
@@ -196,14 +261,14 @@ def lg4_layers(spark, d):
     return layers.assigned(rows, ["zh", "ja", "en"])
 
 
-@query()
+@query(f"WITH {_CUES} SELECT source_id, id, start_time, end_time, text, review_state, (start_time / 2)::INT AS origin FROM cues")
 def wn11_bursts(spark, d):
-    """WN11 FLT9: captions split by a garbled piece."""
+    """WN11 FLT9: captions split by a garbled piece. Turns last too long to be one; fixtures hold the cases."""
     rows = _cues(spark, d).select("source_id", "id", "start_time", "end_time", F.col("layers")[0]["text"].alias("text"), "review_state", F.array((F.col("start_time") / 2).cast("int")).alias("origins"))
-    return bursts.collapse_bursts(rows)
+    return bursts.collapse_bursts(rows).withColumn("origin", F.col("origins")[0]).drop("origins")
 
 
-@query(f"WITH {_CUES} SELECT source_id, id FROM (SELECT *, regexp_replace(lower(left(text, 4)), '[^a-z0-9]', '', 'g') AS c FROM cues) WHERE NOT (source_id % 2 = 0 AND length(c) >= 2 AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[0-9]') AND NOT contains(trim(left(text, 4), chr(10)), chr(10)))")
+@query(f"WITH {_CUES} SELECT source_id, id FROM (SELECT *, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS c FROM cues) WHERE NOT (end_time - start_time <= 0.2 AND length(c) BETWEEN 2 AND 4 AND regexp_matches(c, '\\p{{L}}') AND regexp_matches(c, '[0-9]') AND NOT contains(trim(text, chr(10)), chr(10)))")
 def flt10_machine_tokens(spark, d):
     """FLT10: cues but the very short ones that read as machine tokens."""
     token = bursts.machine_token(F.col("layers")[0]["text"], F.col("end_time") - F.col("start_time"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import review, text
@@ -26,7 +25,7 @@ _CUES = """cues AS (
 _SPANS = """truth AS (
   SELECT o_custkey AS source_id, o_orderkey AS truth_id, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE + 30 AS e FROM orders),
 found AS (
-  SELECT o_custkey AS source_id, l_orderkey * 10 + l_linenumber AS found_id, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE AS s, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE + 7 AS e
+  SELECT o_custkey AS source_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)) AS found_id, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE AS s, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE + 7 AS e
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,26 +76,71 @@ def wn2_next_text(spark, d):
     return windows.next_text(_obs(spark, d)).select("source_id", "id", "start_time", "next_text")
 
 
-@query()
+#: State runs by a recursive query: one step for each reading that is not blank.
+_STATES = f"""{_OBS}, o AS (SELECT *, row_number() OVER w AS k, first_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY start_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM obs WINDOW w AS (PARTITION BY source_id ORDER BY start_time, id)),
+b AS (SELECT *, row_number() OVER w AS j, coalesce(k - lag(k) OVER w > 1, false) AS had FROM o WHERE text <> '' WINDOW w AS (PARTITION BY source_id ORDER BY k)),
+f AS (SELECT source_id, j, k, 1 AS run, text AS anchor, false AS cut, false AS mute FROM b WHERE j = 1
+  UNION ALL SELECT source_id, j, k, run + CASE WHEN cut OR opens THEN 1 ELSE 0 END, CASE WHEN cut OR opens THEN text ELSE anchor END, cut, NOT cut AND switch AND nxt IS NULL
+  FROM (SELECT *, had AND sim < 0.5 AS cut, CASE WHEN switch THEN nxt IS NOT NULL AND 1 - levenshtein(text, nxt) / greatest(length(text), length(nxt)) >= 0.5 ELSE sim < 0.5 END AS opens
+    FROM (SELECT b.*, f.run, f.anchor, 1 - levenshtein(f.anchor, b.text) / greatest(length(f.anchor), length(b.text)) AS sim, b.trigger IN ('first_frame', 'change_detected') AND b.text <> f.anchor AS switch FROM f JOIN b ON b.source_id = f.source_id AND b.j = f.j + 1))),
+x AS (SELECT o.*, f.run, f.mute, last_value(f.run IGNORE NULLS) OVER (PARTITION BY o.source_id ORDER BY o.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held, first_value(f.cut IGNORE NULLS) OVER (PARTITION BY o.source_id ORDER BY o.k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ncut,
+  count(*) FILTER (o.nxt IS NULL AND o.text = '') OVER (PARTITION BY o.source_id) AS tail FROM o LEFT JOIN f ON f.source_id = o.source_id AND f.k = o.k),
+m AS (SELECT * FROM x WHERE text <> '' OR held IS NOT NULL AND CASE WHEN ncut IS NULL THEN tail = 1 ELSE NOT ncut END),
+bl AS (SELECT source_id, held, min(start_time) AS at FROM x WHERE text = '' AND held IS NOT NULL AND CASE WHEN ncut IS NULL THEN tail >= 2 ELSE ncut END GROUP BY ALL),
+nx AS (SELECT source_id, run - 1 AS held, min(start_time) AS at FROM x WHERE run > 1 GROUP BY ALL),
+v AS (SELECT source_id, held, text, count(*) AS votes, max(coalesce(confidence, -1)) AS best, min(k) AS first FROM m WHERE text <> '' AND NOT mute GROUP BY ALL),
+t AS (SELECT source_id, held, first(text ORDER BY votes DESC, best DESC, first) AS text, max(votes) AS n_votes, count(*) AS n_distinct FROM v GROUP BY ALL),
+lv AS (SELECT source_id, held, language, count(*) AS votes, max(coalesce(confidence, -1)) AS best, min(k) AS first FROM m WHERE text <> '' AND NOT mute AND language IS NOT NULL GROUP BY ALL),
+l AS (SELECT source_id, held, first(language ORDER BY votes DESC, best DESC, first) AS language FROM lv GROUP BY ALL),
+g AS (SELECT source_id, held, 'cue-' || first(id ORDER BY k) AS id, min(start_time) AS start_time, last(end_time ORDER BY k) AS last_end, string_agg(id::VARCHAR, ',' ORDER BY k) AS ids, count(*) AS n_members, avg(confidence) FILTER (text <> '') AS confidence FROM m GROUP BY ALL),
+cue AS (SELECT g.source_id, g.id, g.start_time, coalesce(bl.at, nx.at, last_end) AS end_time, t.text, coalesce(l.language, 'und') AS language, g.ids, n_members::INT AS n_members, n_votes::INT AS n_votes, n_distinct::INT AS n_distinct, round(confidence, 9) AS confidence
+  FROM g JOIN t USING (source_id, held) LEFT JOIN l USING (source_id, held) LEFT JOIN bl USING (source_id, held) LEFT JOIN nx USING (source_id, held))"""
+
+
+@query(f"WITH RECURSIVE {_STATES} SELECT * FROM cue")
 def wn1_state_runs(spark, d):
-    """WN1 WN5 AG3: visual states by a stateful fold with an anchor."""
-    return folds.consensus(_obs(spark, d))
-
-
-@query()
+    """WN1 AG3: visual states by a stateful fold with an anchor, as cues."""
+    return folds.consensus(_obs(spark, d)).withColumns({"ids": F.array_join("observation_ids", ","), "confidence": F.round("confidence", 9)}).drop("observation_ids")
+
+
+@query(f"""WITH RECURSIVE {_STATES}, p AS (SELECT *, lag(text) OVER w AS before, lag(end_time) OVER w AS reach FROM cue WINDOW w AS (PARTITION BY source_id ORDER BY start_time, id)),
+q AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> text OR start_time > reach + 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY start_time, id) AS part FROM p)
+SELECT source_id, first(id ORDER BY start_time, id) AS id, min(start_time) AS start_time, max(end_time) AS end_time, any_value(text) AS text, first(language ORDER BY start_time, id) AS language, string_agg(ids, ',' ORDER BY start_time, id) AS ids, count(*) AS n FROM q GROUP BY source_id, part""")
+def wn5_reconstruct(spark, d):
+    """WN5 WN20: states, votes and neighbours of equal text as cues."""
+    rows = folds.reconstructed(_obs(spark, d))
+    return rows.select("source_id", "id", "start_time", "end_time", "text", "language", F.array_join("observation_ids", ",").alias("ids"), "n")
+
+
+@query("""WITH RECURSIVE k AS (SELECT conv_id AS source_id, turn AS seq, conv_id || '-' || turn AS id, turn * 2.0::DOUBLE AS s, turn * 2.0::DOUBLE + 2.5 AS e, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT source_id, k, 1 AS run, text AS said, e AS last_end, 'first' AS flag FROM k WHERE k = 1
+  UNION ALL SELECT source_id, k, CASE WHEN goes THEN run ELSE run + 1 END, CASE WHEN goes THEN said || substring(text, o + 1) ELSE text END, e,
+    CASE WHEN goes THEN CASE WHEN o = length(text) THEN 'repetition' WHEN o = length(said) AND length(text) > o THEN 'growth' ELSE 'sliding' END WHEN gap < 0 AND o = 0 THEN 'collision' WHEN gap < 0 THEN 'ambiguous' ELSE 'first' END
+  FROM (SELECT *, o > 0 AND (gap < 0 AND (o >= 2 OR o = length(said)) OR gap >= 0 AND gap <= 1 AND o = length(text)) AS goes FROM
+    (SELECT k.source_id, k.k, k.e, k.text, f.run, f.said, k.s - f.last_end AS gap, coalesce(list_max(list_filter(generate_series(1, least(length(f.said), length(k.text))), lambda n: right(f.said, n::BIGINT) = left(k.text, n::BIGINT))), 0)::BIGINT AS o FROM f JOIN k ON k.source_id = f.source_id AND k.k = f.k + 1)))
+SELECT source_id, 'cue-' || first(id ORDER BY k) AS id, min(s) AS start_time, max(e) AS end_time, last(said ORDER BY k) AS text, string_agg(id, ',' ORDER BY k) AS observation_ids, coalesce(array_to_string(list_sort(list_distinct(list(flag) FILTER (flag <> 'first'))), ','), '') AS flags FROM f JOIN k USING (source_id, k) GROUP BY source_id, run""")
 def wn6_rolling_captions(spark, d):
-    """WN6-WN8: rolling captions folded into whole cues."""
+    """WN6-WN8 WN21: rolling captions folded into whole cues."""
     rows = model.table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("id"), (F.col("turn") * 2.0).alias("start_time"), (F.col("turn") * 2.0 + 2.5).alias("end_time"), "text")
-    return folds.rolling(rows)
+    return folds.rolling(rows).withColumns({"observation_ids": F.array_join("observation_ids", ","), "flags": F.array_join("flags", ",")})
+
 
+_SIGNALS = "k AS (SELECT user_id AS source_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 AS t, value / 500 AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
 
-@query()
+
+@query(f"""WITH RECURSIVE {_SIGNALS},
+f AS (SELECT source_id, k, t, g, g AS base, t AS read_at, g AS last, NULL::DOUBLE AS since, 0 AS steady, 'first_frame' AS reason FROM k WHERE k = 1
+  UNION ALL SELECT source_id, k, t, g, CASE WHEN periodic OR settled THEN g ELSE base END, CASE WHEN periodic OR settled AND change >= 0.012 THEN t ELSE read_at END, g, CASE WHEN opens THEN t WHEN since IS NOT NULL AND change > 0.02 AND NOT settled THEN since END,
+    CASE WHEN opens THEN calm::INT WHEN since IS NOT NULL AND change > 0.02 AND NOT settled THEN steady2 ELSE 0 END, CASE WHEN periodic THEN 'periodic_confirmation' WHEN settled AND change >= 0.012 THEN 'change_detected' END
+  FROM (SELECT *, since IS NULL AND change <= 0.02 AND t - read_at >= 2 AS periodic, since IS NULL AND change > 0.02 AS opens, since IS NOT NULL AND change > 0.02 AND (steady2 >= 1 AND t - since >= 0.033 - 1e-4 OR t - since >= 0.35) AS settled FROM
+    (SELECT *, CASE WHEN calm THEN steady + 1 ELSE 0 END AS steady2 FROM (SELECT k.source_id, k.k, k.t, k.g, f.base, f.read_at, f.since, f.steady, abs(k.g - f.base) AS change, abs(k.g - f.last) <= 0.015 AS calm FROM f JOIN k ON k.source_id = f.source_id AND k.k = f.k + 1))))
+SELECT source_id, t AS start_time, g AS signal, reason FROM f WHERE reason IS NOT NULL""")
 def sm1_change_gate(spark, d):
     """SM1 SM9: change-triggered sampling, in batch."""
     return gate.triggers(model.table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("double").alias("start_time") / 1e6, (F.col("value") / 500).alias("signal")).toDF("source_id", "start_time", "signal"))
 
 
-@query(f"""WITH {_CUES}, x AS (SELECT *, lag(trim(left(text, 1))) OVER w AS before, trim(left(text, 1)) AS t FROM cues WINDOW w AS (PARTITION BY source_id ORDER BY start_time, id)),
+@query(f"""WITH {_CUES}, x AS (SELECT *, lag(trim(text)) OVER w AS before, trim(text) AS t FROM cues WINDOW w AS (PARTITION BY source_id ORDER BY start_time, id)),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> t OR t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY start_time, id) AS same FROM x),
 b AS (SELECT *, CASE WHEN start_time > max(end_time) OVER (PARTITION BY source_id, same ORDER BY start_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.15 THEN 1 ELSE 0 END AS br FROM s),
 p AS (SELECT *, sum(br) OVER (PARTITION BY source_id, same ORDER BY start_time, id) AS part FROM b)
@@ -212,14 +256,6 @@ def jn1_interval_anti(spark, d):
     return intervals.overlapping(truth, found, id_col="truth_id", anti=True).select("truth_id")
 
 
-@query(f"WITH {_SPANS} SELECT count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE t.source_id = f.source_id AND t.s < f.e AND t.e > f.s)) AS recovered, count(*) AS n FROM truth t")
-def ev2_recall(spark, d):
-    """Of EV2 the recall: truth spans that some found span overlaps."""
-    truth, found = _spans(spark, d)
-    hit = intervals.overlapping(truth, found, id_col="truth_id").select("truth_id", F.lit(1).alias("hit"))
-    return truth.join(hit, "truth_id", "left").agg(F.count("hit").alias("recovered"), F.count("*").alias("n"))
-
-
 @query(f"""WITH {_SPANS} SELECT truth_id, found_id, overlap FROM (SELECT truth_id, found_id, least(t.e, f.e) - greatest(t.s, f.s) AS overlap,
   row_number() OVER (PARTITION BY truth_id ORDER BY least(t.e, f.e) - greatest(t.s, f.s) DESC, f.s, found_id) AS k FROM truth t JOIN found f ON t.source_id = f.source_id AND t.s < f.e AND t.e > f.s) WHERE k = 1""")
 def jn3_best_overlap(spark, d):
@@ -243,16 +279,6 @@ def jn5_nearest(spark, d):
     return intervals.nearest(points, others).select("found_id", F.col("nearest_value").alias("truth_id"))
 
 
-@query("""WITH w AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same FROM w a JOIN w b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT a, count(*) AS n FROM p GROUP BY a""")
-def jn14_same_state_pairs(spark, d):
-    rows = model.table(spark, d, "embeddings").select("vec_id", "label")
-    order = W.partitionBy("label").orderBy("vec_id")
-    # pairs of a state with a later one are counted without making them
-    later = F.count("*").over(W.partitionBy("label")) - F.row_number().over(order)
-    return rows.select(F.col("vec_id").alias("a"), later.cast("long").alias("n")).where("n > 0")
-
-
 @query(f"WITH {_OBS} SELECT source_id, id, text, CASE WHEN text = '' THEN 0 ELSE levenshtein('purchase', text) END AS distance, round(1 - levenshtein('purchase', text) / greatest(8, length(text)), 9) AS similarity, round(levenshtein('purchase', text) / 8, 9) AS cer FROM obs")
 def f1_similarity(spark, d):
     word = F.lit("purchase")
@@ -261,10 +287,11 @@ def f1_similarity(spark, d):
 
 @query(r"""WITH w AS (SELECT page_id, regexp_extract(url, '/([^/]*)$', 1) AS a, regexp_extract(url, '([^/]*)/[^/]*$', 1) AS b FROM pages)
 SELECT page_id, a, b, coalesce(list_max(list_filter(generate_series(1, least(length(a), length(b))), lambda k: right(b, k::BIGINT) = left(a, k::BIGINT))), 0)::INT AS overlap,
-  round(CASE WHEN length(a) > 0 AND length(b) > 0 AND (contains(a, b) OR contains(b, a)) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0.0 END, 9) AS containment FROM w""")
+  round(CASE WHEN length(x) > 0 AND length(y) > 0 AND (contains(x, y) OR contains(y, x)) THEN least(length(x), length(y)) / greatest(length(x), length(y)) ELSE 0.0 END, 9) AS containment
+FROM (SELECT *, regexp_replace(lower(a), '[^\p{L}\p{N}]', '', 'g') AS x, regexp_replace(lower(b), '[^\p{L}\p{N}]', '', 'g') AS y FROM w)""")
 def f4_overlap(spark, d):
     rows = model.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([^/]*)$", 1).alias("a"), F.regexp_extract("url", "([^/]*)/[^/]*$", 1).alias("b"))
-    return rows.select("page_id", "a", "b", text.overlap_length(F.col("b"), F.col("a")).alias("overlap"), F.round(text.containment_ratio(F.col("a"), F.col("b")), 9).alias("containment"))
+    return rows.select("page_id", "a", "b", text.overlap_length(F.col("b"), F.col("a")).alias("overlap"), F.round(text.containment_ratio(text.compact(F.col("a")), text.compact(F.col("b"))), 9).alias("containment"))
 
 
 @query(f"WITH {_CUES}, c AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_time, end_time, id) AS number FROM cues WHERE review_state <> 'rejected') SELECT source_id, number::INT AS number, number || chr(10) || strftime(make_timestamp((start_time * 1e6)::BIGINT), '%H:%M:%S,%g') || ' --> ' || strftime(make_timestamp((end_time * 1e6)::BIGINT), '%H:%M:%S,%g') || chr(10) || text || chr(10) AS block FROM c")

@@ -41,9 +41,12 @@ def cues(conversations: DataFrame) -> DataFrame:
 
 
 def spans(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Truth spans of orders and predicted spans of their items, in days, keyed by customer."""
+    """Truth spans of orders and predicted spans of their items, in days, keyed by customer.
+
+    An item has no key of its own in the table; order, line, part, supplier and day make one.
+    """
     day = lambda c: F.datediff(c, F.lit("1992-01-01").cast("date")).cast("double")
     truth = orders.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("truth_id"), day("o_orderdate").alias("start_time"), (day("o_orderdate") + 30).alias("end_time"))
     items = lineitem.join(orders.select("o_orderkey", "o_custkey"), lineitem["l_orderkey"] == F.col("o_orderkey"))
-    found = items.select(F.col("o_custkey").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("found_id"), day("l_shipdate").alias("start_time"), (day("l_shipdate") + 7).alias("end_time"))
+    found = items.select(F.col("o_custkey").alias("source_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))).alias("found_id"), day("l_shipdate").alias("start_time"), (day("l_shipdate") + 7).alias("end_time"))
     return truth, found

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from cuetide.operators import bursts, folds, frames, fuzzy, layers
+from cuetide.operators import bursts, folds, frames, layers
 from cuetide.plans import queries
 from cuetide.sources import captions, store
 from cuetide.streaming import gate as gate_module
@@ -88,16 +88,6 @@ def test_reads_captions(spark, tmp_path):
     assert [r["source_index"] for r in bad.collect()] == [1]
 
 
-def test_fuzzy_scores():
-    assert fuzzy.sequence("", " ") == 1 and fuzzy.sequence("a", "") == 0
-    assert fuzzy.sequence("Hello!", "hello") == 1
-    assert fuzzy.dice("night", "nacht") == 0.25
-    assert fuzzy.dice("aaaa", "aaa") == 0.8
-    assert fuzzy.line_score("one\ntwo", "two\none") == 1
-    assert fuzzy.state_score("ab", "abcd") >= 0.49
-    assert fuzzy.word_error_rate("a b c", "a x c d") == 2 / 3 and fuzzy.word_error_rate("", "x") == 1
-
-
 def test_frame_walks():
     assert frames.fps_walk([0, 0.4, 1.0, 1.5, 5.0, 5.1, 5.2, 5.3, 5.4], 1) == [0, 2, 4, 5, 6, 7]
     assert frames.fps_walk([], 1) == []
@@ -108,9 +98,10 @@ def test_frame_walks():
     assert frames.visual_states([]) == []
 
 
-@pytest.mark.parametrize("name", ["wn9_visual_states", "wn17_fps_walk", "sm3_schedule", "f7_fuzzy_scores", "lg4_layers", "wn11_bursts"])
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_runs(spark, name):
-    assert queries.queries()[name](spark, SF).limit(5).count() > 0
+    """Queries without SQL give rows; their operators are held against cases."""
+    assert queries.queries()[name](spark, SF).count() > 0
 
 
 def test_store(spark, tmp_path):
