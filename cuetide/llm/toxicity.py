@@ -8,8 +8,9 @@ the squared change of its score is charged. Identity terms are always features,
 labels alone would pin on a neutral mention is taken back.
 
 Fitting uses at most ``max_rows`` labelled documents (the first by a hash of their id) outside the
-held-out fold; only their distinct word hashes reach the driver. Scoring reads whole
-texts and grows by map tasks alone: no shuffle.
+held-out fold. Their words are counted by label in the engine; at most ``MAX_FEATURES`` features and what each
+document holds of them reach the driver, however long the texts. Scoring reads whole texts and grows by
+map tasks alone: no shuffle.
 
 Edge cases: null and empty texts get the score of no feature; labels other than 0 and 1 are
 ignored, for a document labelled twice the higher counts; without both labels in the sample every
@@ -37,6 +38,9 @@ IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "arab", "african", "european"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"), ("disabled", "deaf", "blind"), ("old", "young"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("madre", "padre"), ("musulmanes", "cristianos", "judíos"), ("negro", "blanco"), ("inmigrantes", "ciudadanos"),
+    ("femmes", "hommes"), ("femme", "homme"), ("mère", "père"), ("musulmans", "chrétiens", "juifs"), ("noir", "blanc"), ("immigrés", "citoyens"),
+    ("frauen", "männer"), ("frau", "mann"), ("mutter", "vater"), ("muslime", "christen", "juden"), ("schwarze", "weiße"), ("einwanderer", "bürger"),
 )
 LEAST_Z, LEAST_ROWS, MAX_FEATURES, BITS = 5.0, 4, 2048, 22
 
@@ -82,51 +86,54 @@ def _training_rows(texts: DataFrame) -> DataFrame:
             words, before, after = [], [], []
             for text in batch.column(1).to_pylist():
                 low = text.lower()
-                words.append(np.unique(np.asarray([place(w) for w in set(_WORD.findall(low))], "<u4")).tobytes())
+                words.append(sorted({place(w) for w in _WORD.findall(low)}))
                 old, new = set(), set()
                 if _ANY.search(low):
                     for s in _SENTENCE.split(low):
                         if _ANY.search(s):
                             old |= {place(w) for w in _WORD.findall(s)}
                             new |= {place(w) for w in _WORD.findall(_ANY.sub(lambda m: _SWAP[m[0].lower()], s))}
-                before.append(np.asarray(sorted(old - new), "<u4").tobytes())
-                after.append(np.asarray(sorted(new - old), "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.binary()) for x in (words, before, after))], names=["doc_id", "label", "words", "before", "after"])
+                before.append(sorted(old - new))
+                after.append(sorted(new - old))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(x, pa.list_(pa.int32())) for x in (words, before, after))], names=["doc_id", "label", "key", "words", "before", "after"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, words binary, before binary, after binary")
+    return texts.select("doc_id", "text", "label", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, label int, key long, words array<int>, before array<int>, after array<int>")
 
 
-def _sparse(raw: list[bytes], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(rows: DataFrame) -> list[int]:
+    """Places of the words whose presence differs most between the labels, and of all identity terms.
+
+    A copied text counts once. One map-side combined count; at most ``MAX_FEATURES`` rows come back.
+    """
+    single = rows.select("label", "words", "key").dropDuplicates(["key"])
+    n, share = single.agg(F.count("*"), F.avg("label")).first()
+    always = {place(w) for w in _SWAP}
+    if not n or share in (0.0, 1.0):
+        return sorted(always)
+    counts = single.select("label", F.explode("words").alias("place")).groupBy("place").agg(F.count("*").alias("count"), F.sum("label").alias("toxic"))
+    aim = F.col("count") * share
+    z = F.abs((F.col("toxic") - aim) / F.sqrt(aim * (1 - share)))
+    best = counts.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("count") >= LEAST_ROWS)).orderBy(F.col("z").desc(), "place").limit(MAX_FEATURES)
+    return sorted(always | {r["place"] for r in best.select("place").collect()})
+
+
+def _sparse(parts: list[list[int]], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of what is a feature."""
-    parts = [np.frombuffer(x, "<u4") for x in raw]
-    cols = column[np.concatenate(parts)] if parts else np.zeros(0, np.int64)
+    flat = np.asarray([p for part in parts for p in part], np.int64)
     rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return rows[cols >= 0], cols[cols >= 0]
+    cols = np.minimum(np.searchsorted(kept, flat), len(kept) - 1)
+    known = kept[cols] == flat
+    return rows[known], cols[known]
 
 
-def fit_rows(y: np.ndarray, words: list[bytes], before: list[bytes], after: list[bytes], *, ridge: float = 0.5, swap_penalty: float = 20.0, steps: int = 400) -> Model:
+def fit_rows(y: np.ndarray, words: list[list[int]], before: list[list[int]], after: list[list[int]], kept: np.ndarray, *, ridge: float = 0.5, swap_penalty: float = 20.0, steps: int = 400) -> Model:
     n, n1 = len(y), int(y.sum())
     if not n or n1 in (0, n):
         share = n1 / n if n else 0.0
         return Model(40.0 if share == 1 else -40.0, {})
-    first = np.unique(np.asarray([zlib.crc32(w) for w in words]), return_index=True)[1]  # a copied text counts once for the features
-    count, toxic = (np.zeros(1 << BITS, np.int64) for _ in range(2))
-    for k in first:
-        p = np.frombuffer(words[k], "<u4")
-        count[p] += 1
-        if y[k]:
-            toxic[p] += 1
-    share = y[first].mean()
-    aim = count * share
-    z = (toxic - aim) / np.sqrt(np.maximum(aim * (1 - share), 1e-9))
-    best = np.flatnonzero((np.abs(z) >= LEAST_Z) & (count >= LEAST_ROWS))
-    best = best[np.argsort(-np.abs(z[best]), kind="stable")][:MAX_FEATURES]
-    kept = np.union1d(best, np.asarray(sorted({place(w) for w in _SWAP}), np.int64))
-    column = np.full(1 << BITS, -1, np.int64)
-    column[kept] = np.arange(len(kept))
-    rows, cols = _sparse(words, column)
-    out, into = _sparse(before, column), _sparse(after, column)
+    rows, cols = _sparse(words, kept)
+    out, into = _sparse(before, kept), _sparse(after, kept)
     d_rows = np.concatenate([out[0], into[0]])
     d_cols, d_sign = np.concatenate([out[1], into[1]]), np.concatenate([np.ones(len(out[1])), -np.ones(len(into[1]))])
     w, b, m, v = np.zeros(len(kept) + 1), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
@@ -152,8 +159,11 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", max_rows: int = MAX_ROWS, swap_penalty: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = written(_training_rows(sample(docs, labels, label_col, max_rows=max_rows, only=fold("doc_id") != 0, id_col=id_col, text_col=text_col)), "toxicity-rows")
-    held = sorted(rows.collect(), key=lambda r: (r["doc_id"], bytes(r["words"])))  # bounded by max_rows
-    return fit_rows(np.asarray([r["label"] for r in held], float), *([bytes(r[c]) for r in held] for c in ("words", "before", "after")), swap_penalty=swap_penalty)
+    kept = features(rows)
+    known = F.array(*map(F.lit, kept))
+    held = rows.select("doc_id", "label", *[F.array_intersect(c, known).alias(c) for c in ("words", "before", "after")]).collect()  # bounded by max_rows and the features
+    held.sort(key=lambda r: (r["doc_id"], r["words"], r["label"]))
+    return fit_rows(np.asarray([r["label"] for r in held], float), *([r[c] for r in held] for c in ("words", "before", "after")), np.asarray(kept, np.int64), swap_penalty=swap_penalty)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
