@@ -11,8 +11,8 @@ the index, zstandard-compressed JSON and arrays: each block's place, its planes'
 ids, then the documents' ids and lengths; last 16 bytes: the index's place and size. Any block
 can be read alone. Files go through ``pyarrow.fs``: a local shared folder, HDFS or an object store.
 
-Edge cases: a null or empty text is its end id alone; null ids come first; equal ids keep
-their order by text; an empty table gives no shard and no row; other columns don't matter.
+Edge cases: a null or empty text is its end id alone; null ids come first; rows of equal ids
+stand in the order of a hash of their text, so many of them are spread over shards; an empty table gives no shard and no row; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -169,8 +169,9 @@ def write_ids(docs: DataFrame, tokenizer: str, *, folder: str | None = None, id_
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    found = written(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
+    place = [F.col("doc_id").asc_nulls_first(), F.col("key")]  # an id that many rows share is spread too
+    ordered = rows.withColumn("key", F.xxhash64("text")).repartitionByRange(*place).sortWithinPartitions(*place, "text")
+    found = written(ordered.select("doc_id", "text").mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
     out, at = [], 0
     for r in sorted(found.collect()):  # one short row per shard
         out.append((*r, at))
