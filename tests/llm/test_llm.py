@@ -262,6 +262,13 @@ def test_toxicity(spark):
     swap = lambda f: abs(f("the women by the river") - f("the men by the river"))
     assert swap(score) < swap(free)
     assert toxicity.score(docs, toxicity.fit(docs, marks.limit(0))).count() == len(rows) + len(EDGES)
+    assert {i: r["held_out"] for i, r in got.items()} == {i: i is None or zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+    fitted = toxicity.fit(docs, marks.unionAll(spark.createDataFrame([(k, 1 - y) for k, y in labels if zlib.crc32(str(k).encode()) % 5 == 0], "doc_id long, toxic int")))
+    assert fitted.weights == model.weights  # labels of the held-out fold teach nothing
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    long = spark.createDataFrame([(1, "vile " + "stone " * 300_000), (1, None)], "doc_id long, text string")
+    assert sorted(r["predicted"] for r in toxicity.score(long, model).collect()) == [0, 1]
+    assert {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()} >= {901, 902, None}
 
 
 def test_quality(spark):
@@ -269,6 +276,27 @@ def test_quality(spark):
     got = dict(zip(quality_rules.COUNTS, quality_rules.counts(text), strict=True))
     assert (got["n_words"], got["word_chars"], got["n_symbols"], got["n_dup_lines"], got["n_repeat_words"]) == (11, 12, 1, 1, 6)
     rng = random.Random(7)
+
+    def plain(t):
+        w = WORD.findall(t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = {j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(repeated)
+
+    texts = ["".join(rng.choice("ab \n#é\t|") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["a b c " * 50_000, "日本 語\x0bx\x85y", ""]
+    table = frame(spark, list(enumerate(texts)) + [(5000, None), (0, texts[0])]).withColumn("kept", F.lit("x"))
+    judged = quality_rules.judge(table, []).collect()
+    assert len(judged) == len(texts) + 2
+    for r in judged:
+        want = plain((texts + [""])[min(r["doc_id"], len(texts))])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r["kept"] == (not r["base_failed"])
+    assert quality_rules.judge(table.limit(0), []).count() == 0
     rows, labels = [], []
     for k in range(300):
         bad = k % 3 == 0
@@ -278,3 +306,42 @@ def test_quality(spark):
     rules = quality_rules.fit(docs, marks)
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, rules).collect()}
     assert rules and all(kept[k] == bool(y) for k, y in labels) and not kept[901]
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage on its own input, with nulls, repeats, copies and further columns."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda k, bad: " ".join(rng.choice(["tree", "house", "river", "stone", "cloud"]) + str(rng.randrange(400)) for _ in range(40)) + (" vile" if bad else "")
+    rows = [(k, text(k, k % 5 == 0), "ab"[k % 2], k % 5 == 0) for k in range(200)]
+    rows += [(500 + k, rows[1][1] + f" z{k}", "a", False) for k in range(5)] + [(700, "call a.b@mail.example.com now " + text(0, False), "b", False), (701, None, "a", False), (702, "", None, False), (703, text(3, False), None, False), (703, text(4, False), "a", False)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "x") for i, t, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(bad)) for i, _, _, bad in rows if i < 200], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, now, str(tmp_path)).write.parquet(path)
+        now = spark.read.parquet(path)
+        kept[name] = now.collect()
+        assert now.columns == docs.columns and now.dtypes == docs.dtypes
+    bad = {i for i, _, _, toxic in rows if toxic}
+    assert Counter(r["doc_id"] for r in kept["toxicity"]) == Counter(i for i, *_ in rows if i not in bad)
+    assert Counter(r["doc_id"] for r in kept["ngram_join"]) == Counter({i for i, *_ in rows if i not in bad} - set(range(500, 505)))
+    redacted = {r["doc_id"]: r["text"] for r in kept["pii"]}
+    assert "<EMAIL>" in redacted[700] and "@" not in redacted[700] and redacted[701] is None and len(redacted) == len(kept["pii"])
+    size = lambda t: len(WORD.findall(t or ""))
+    before, after = Counter(), Counter()
+    for r in kept["pii"]:
+        before[r["source"]] += size(r["text"])
+    for r in kept["mixing"]:
+        after[r["source"]] += size(r["text"])
+        assert r["text"] == redacted[r["doc_id"]] or redacted[r["doc_id"]].startswith(r["text"])
+    assert abs(sum(before.values()) - sum(after.values())) <= 3 and all(after[s] <= 3 * before[s] for s in after)
+    pieces = corpus_pipeline.pack(spark, now, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(r["doc_id"] for r in kept["mixing"])
+    assert {r["offset"] + r["length"] <= 2048 for r in pieces} == {True}
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "toxicity":
+            assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
