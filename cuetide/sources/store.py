@@ -165,3 +165,29 @@ def migrated(spark, path: str, migrations: list) -> DataFrame:
 def _exists(spark, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def save_run(rows: DataFrame, path: str, run: int) -> None:
+    """Keeps ``rows`` as what holds after ``run``; earlier runs stay beside it."""
+    rows.write.mode("overwrite").parquet(f"{path}/run-{run:08d}")
+
+
+def _runs(spark, path: str) -> list[str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    return sorted(r for r in found if r.startswith("run-") and _exists(spark, f"{path}/{r}/_SUCCESS"))
+
+
+def latest_run(spark, path: str) -> DataFrame | None:
+    """What holds now: the rows of the last whole run, or None."""
+    runs = _runs(spark, path)
+    return spark.read.parquet(f"{path}/{runs[-1]}") if runs else None
+
+
+def discard_latest_run(spark, path: str) -> DataFrame | None:
+    """Back to what held before the last run."""
+    if runs := _runs(spark, path):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{runs[-1]}")
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return latest_run(spark, path)

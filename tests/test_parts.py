@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuetide.functions import text
-from cuetide.operators import evaluation, folds, frames, fuzzy, images, regions, review
-from cuetide.sources import captions, store
+from cuetide.operators import evaluation, folds, frames, fuzzy, identity, images, regions, review
+from cuetide.sources import captions, media, store
 from cuetide.streaming import jobs
 
 
@@ -178,3 +178,52 @@ def test_evaluation_edges(spark):
     assert regions.reading_order([[50.0, 0.0], [0.0, 5.0], [0.0, 40.0]]) == [1, 0, 2]
     one = spark.createDataFrame([(1,)], "x int")
     assert evaluation.recorded(one).count() == 1
+
+
+def test_video_frames(spark, tmp_path):
+    """12 frames at 30000/1001 a second: 6 flat, then 6 with a word."""
+    path = tmp_path / "v.y4m"
+    word = np.zeros((16, 24), np.uint8)
+    word[6:10, 4:20:3] = 255
+    flat = np.zeros((16, 24), np.uint8)
+    with open(path, "wb") as f:
+        f.write(b"YUV4MPEG2 W24 H16 F30000:1001 Ip C420jpeg\n")
+        for k in range(12):
+            f.write(b"FRAME\n" + (flat if k < 6 else word).tobytes() + bytes(192))
+    (m,) = media.probe(spark, [str(path)]).collect()
+    assert (m["width"], m["height"], m["codec"]) == (24, 16, "yuv4mpeg2/420jpeg") and m["duration_seconds"] == pytest.approx(0.4004)
+    rows = media.read_frames(spark, [str(path)]).orderBy("place").collect()
+    assert len(rows) == 12 and rows[11]["start_time"] == 11 * 1001 / 30000 and bytes(rows[7]["pixels"]) == word.tobytes()
+    some = media.read_frames(spark, [str(path)], rows[3]["start_time"], rows[8]["start_time"]).collect()
+    assert sorted(r["place"] for r in some) == [3, 4, 5, 6, 7]
+    assert media.read_frames(spark, [str(path)], 5.0, 6.0).count() == 0
+    states = images.dry_run(media.read_frames(spark, [str(path)]), 1000.0).orderBy("start_time").collect()
+    assert [(r["kind"], r["n"]) for r in states] == [("blank", 6), ("subtitle", 6)]
+    (tmp_path / "x.bin").write_bytes(b"other")
+    with pytest.raises(ValueError):
+        media.probed(str(tmp_path / "x.bin"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "x.bin"))
+    assert media.decoded(files, lambda: lambda raw: [(0.0, 1, len(raw), raw)]).first()["width"] == 5
+
+
+def test_straightened():
+    x = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    assert (images.straightened(x, [(1, 2), (5, 2), (5, 5), (1, 5)]) == x[2:5, 1:5]).all()
+    assert images.straightened(x, [(0, 0), (2, 0), (2, 6), (0, 6)]).shape == (2, 6)
+    assert images.straightened(np.stack([x] * 3, -1), [(0, 0), (4, 0), (4, 4), (0, 4)]).shape == (4, 4, 3)
+
+
+def test_runs_go_back(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    one = lambda x: spark.createDataFrame([(x,)], "x int")
+    assert store.latest_run(spark, path) is None and store.discard_latest_run(spark, path) is None
+    store.save_run(one(1), path, 1)
+    store.save_run(one(2), path, 2)
+    assert store.latest_run(spark, path).first()["x"] == 2 and store.discard_latest_run(spark, path).first()["x"] == 1
+
+
+def test_identity_summary(spark):
+    payload = '{"version": "caption-identity-v1", "envelope": {"id": "e", "observed_start": 1, "observed_end": 2, "representative_pts": 1.5, "observations": []}, "stop_reason": "all_observations_probed", "selection_rationale": "r", "probes": [{"pts": 1.5, "selected_text": "x"}]}'
+    row = spark.createDataFrame([({store.CONTRACT: store.IDENTITY_VERSION, store.ROLE: "envelope", store.PAYLOAD: payload},), ({},)], "detail map<string,string>")
+    said = [r[0] for r in row.select(identity.summary(store.identity_evidence(F.col("detail")))).collect()]
+    assert said[0].startswith("CoarseEnvelope 1.000–2.000s; representative 1.500s\nVerification: all_observations_probed; r") and said[0].endswith("1.500s selected: x") and said[1] is None
