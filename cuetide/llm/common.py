@@ -54,16 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, key: str, name: str, n: int | None = None, *, dealt: bool = False) -> tuple[DataFrame, str]:
     """Like :func:`written`, as a table in ``n`` buckets of ``key``: later joins on it don't shuffle it again.
 
-    Also the table's name; whoever needs it no more drops it from the catalog.
+    Also the table's name; whoever needs it no more drops it from the catalog. ``dealt``: the rows are in ``n``
+    partitions of ``key`` already.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.option("compression", "zstd").option("path", path + "/t").bucketBy(n, key).format("parquet").saveAsTable(table)
+    (df if dealt else df.repartition(n, key)).write.option("compression", "zstd").option("path", path + "/t").bucketBy(n, key).format("parquet").saveAsTable(table)
     return spark.table(table), table
 
 

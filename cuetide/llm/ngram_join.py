@@ -3,8 +3,10 @@
 A document is the set of its distinct ``size``-word shingles, as 64-bit hashes. Two link when
 their Jaccard similarity is ``percent`` per cent or more.
 
-1. Equal sets are one class, found by a digest of the set and summed before the shuffle. Classes are
-   the nodes from here on, numbered in a written table.
+1. Equal texts are one text, told by 128 bits of hashes and dropped before the shuffle where a task meets them
+   again. Texts are shuffled once, into a table bucketed by a part of the hash that starts a text's number, so
+   every later join by that number reads them in place. Equal sets are one class, found by a digest of the
+   set; a class's smallest text number is its node from here on.
 2. Seeds: classes that share one of their ``SEEDS`` smallest shingles, at about the same size, are
    compared with the first class that has it (a star, not all pairs). Verified links are
    merged into components, so large groups of near copies collapse at linear cost.
@@ -50,6 +52,8 @@ from .suffix_dedup import ODD, _from_planes, _sorted_planes, mixed
 SIZE, PERCENT, SEEDS, GROUP, CELL = 5, 80, 6, 256, 512
 #: Postings of a bucket and counted shingles of a bucket, about.
 BUCKET, COUNT_BUCKET = 300_000, 4_000_000
+#: Bytes of text in a part of the text table, about.
+PART_BYTES = 64 << 20
 #: A shingle of so many documents is frequent; the broadcast table of them has at most so many rows.
 LEAST, MAX_FREQUENT = 16, 1 << 20
 
@@ -118,44 +122,87 @@ def uncounted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def described(docs: DataFrame, size: int, bits: int, bucket_bits: int) -> DataFrame:
-    """``doc_id, text_hash, n, digest, seeds`` of each row; also rows with ``block`` and ``counts``: shingles counted.
+def distinct_texts(rows: DataFrame, n: int) -> DataFrame:
+    """``node, b, h1, h2, text`` of every different text of ``h1, h2, text``, in ``n`` parts by ``b``.
 
-    Copies that a task meets count once there.
+    ``b`` is 47 bits of ``h1``, ``node`` ``b`` and a running number among the texts that share it.
     """
-    names = ["doc_id", "text_hash", "n", "digest", "seeds", "block", "counts"]
+
+    def once(batches):
+        met = set()
+        for batch in batches:
+            keep = []
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key not in met:
+                    if len(met) > 200_000:
+                        met.clear()
+                    met.add(key)
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    def number(batches):
+        now, last, k = None, None, 0
+        for batch in batches:
+            nodes, keep = [], []
+            for place, (part, *key) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if part != now:
+                    now, k = part, 0
+                elif key == last:
+                    continue
+                else:
+                    k += 1
+                    if k >> 16:
+                        raise ValueError("too many texts share 47 bits of their hash")
+                last = key
+                nodes.append(part << 16 | k)
+                keep.append(place)
+            got = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *got.columns], names=["node", *got.schema.names])
+
+    rows = rows.select("h1", "h2", "text").mapInArrow(once, "h1 long, h2 long, text string").withColumn("b", F.shiftrightunsigned("h1", 17))
+    dealt = rows.select("b", "h1", "h2", "text").repartition(n, "b").sortWithinPartitions("b", "h1", "h2")
+    return dealt.mapInArrow(number, "node long, b long, h1 long, h2 long, text string")
+
+
+def with_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (with ``node``) and each node's ``text``: a join by ``b``, by which the texts lie in buckets already."""
+    asked = asked.withColumnRenamed("node", "asked_node").withColumn("asked_b", F.shiftrightunsigned("asked_node", 16))
+    # were the nodes' equality a key too, the texts would be shuffled by both
+    same = (F.col("b") == F.col("asked_b")) & (F.col("node") - F.col("asked_node") == 0)
+    return texts.select("b", "node", "text").join(asked.hint("shuffle_hash"), same).drop("b", "asked_b", "asked_node")
+
+
+def described(texts: DataFrame, size: int, bits: int, bucket_bits: int) -> DataFrame:
+    """``node, n, digest, seeds`` of each of ``node, text``; also rows with ``block`` and ``counts``: shingles counted."""
+    names = ["node", "n", "digest", "seeds", "block", "counts"]
 
     def run(batches):
-        sets, met, held, n_held = Shingler(size), set(), [], 0
+        sets, held, n_held = Shingler(size), [], 0
 
         def rows():
             got = list(counted(held, bits, bucket_bits))
             k = len(got)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=names)
 
         for batch in batches:
             ns, digests, seeds = [], [], []
-            for text in batch.column(2):
+            for text in batch.column(1):
                 s = sets(text.as_buffer().to_pybytes())
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 ns.append(len(s))
-                digests.append(digest)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 seeds.append(s[:SEEDS].view(np.int64).tolist())
-                if len(s) and digest not in met:
-                    if len(met) > 200_000:
-                        met.clear()
-                    met.add(digest)
+                if len(s):
                     held.append(s)
                     n_held += len(s)
                     if n_held > 4_000_000:
                         yield rows()
                         held, n_held = [], 0
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, seeds array<long>, block int, counts binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, digest binary, seeds array<long>, block int, counts binary")
 
 
 class Frequent:
@@ -518,7 +565,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     dealt = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
     hubs = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("member"))
     asked = hubs.unionAll(dealt.select("b", "a", "salt", F.lit(1)))
-    sent = texts.join(asked.hint("shuffle_hash"), "node").select("a", "salt", "member", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "node")
+    sent = with_texts(texts, asked).select("a", "salt", "member", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "node")
 
     def run(batches):
         sets, now, hub = Shingler(size), None, None
@@ -540,25 +587,23 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, least: int = LEAST, max_frequent: int = MAX_FREQUENT, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id that links reach, itself included.
 
-    The classes' texts are shuffled once, into a table bucketed by node in the shared folder that
-    the later joins read in place.
+    A hot text costs a row a task: copies go before the texts are shuffled. Only ids and hashes of all documents are
+    shuffled besides.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    about = max(1, (docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 6)  # shingles in the corpus
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    known = rows.where(F.col("doc_id").isNotNull())
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    about = max(1, n_bytes // 6)  # shingles in the corpus
     count_bits = min(40, max(16, int(np.ceil(np.log2(about)))))
     bucket_bits = min(12, max(4, count_bits - 32, int(np.ceil(np.log2(about / COUNT_BUCKET)))))
-    rows = written(described(texts.select("doc_id", "text_hash", "text"), size, count_bits, bucket_bits), "shingles")
-    every = rows.where(F.col("block").isNull()).select("doc_id", "text_hash", "n", "digest", "seeds")
-    real = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n").alias("n"), F.max("seeds").alias("seeds"))
-    classes = written(classes.select("digest", "rep.doc_id", "rep.text_hash", "n", "seeds").withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = classes.select("doc_id", "text_hash", "node")
-    chosen = texts.join(reps, ["doc_id", "text_hash"]).select("node", "text")
-    n_real, n_rows = real.select(F.count("*"), F.count_distinct("doc_id", "text_hash")).first()
-    if n_real > n_rows:  # rows that repeat as a whole
-        chosen = chosen.dropDuplicates(["node"])
-    texts, table = bucketed(chosen, "node", "texts")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+    texts, table = bucketed(distinct_texts(known, parts), "b", "texts", parts, dealt=True)
+    shingles = written(described(texts, size, count_bits, bucket_bits), "shingles")
+    every = shingles.where(F.col("block").isNull()).select("node", "n", "digest", "seeds")
+    real = every.where(F.col("n") > 0)
+    classes = written(real.groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.max("seeds").alias("seeds")), "classes")
 
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
     seeds = classes.select("node", band.alias("band"), F.explode("seeds").alias("seed"))
@@ -570,28 +615,39 @@ def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
     nodes = classes.select("node").join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total * (100 - percent) / 100 / BUCKET))))))
-    nodes = written(nodes, "nodes")
-    order = spark.sparkContext.broadcast(frequent(rows, count_bits, bucket_bits, least, max_frequent))
-    rows = written(pair_rows(send_prefixes(texts.join(nodes.hint("shuffle_hash"), "node"), order, bits, size, percent), bits, percent), "pairs")
+    order = spark.sparkContext.broadcast(frequent(shingles, count_bits, bucket_bits, least, max_frequent))
+    pairs = written(pair_rows(send_prefixes(with_texts(texts, written(nodes, "nodes")), order, bits, size, percent), bits, percent), "pairs")
     star = lambda components: components.select(F.col("component").alias("a"), F.col("id").alias("b"))
-    whole = rows.where(F.col("b").isNull()).select("a", "component", "n", "matches", "tokens", "prefix")
+    whole = pairs.where(F.col("b").isNull()).select("a", "component", "n", "matches", "tokens", "prefix")
     merged = verified(written(nearest_candidates(whole, percent, cell), "nearest"), texts, size, percent)
     found = components(merged.unionAll(star(found)))
     whole = whole.drop("component").join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    rare = rows.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    rare = pairs.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
     rare = rare.where(F.col("shared") >= F.col("needed")).select("a", "b")
-    pairs = rare.unionAll(frequent_candidates(written(whole, "frequent-documents"), percent, cell)).distinct()
-    links = verified(written(pairs, "candidates"), texts, size, percent).unionAll(star(found))
-
-    ids = real.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
-    shared = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
-    links = links.unionAll(ids.join(shared, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct())
-    last = components(links).select(F.col("id").alias("node"), "component")
+    asked = rare.unionAll(frequent_candidates(written(whole, "frequent-documents"), percent, cell)).distinct()
+    links = verified(written(asked, "candidates"), texts, size, percent).unionAll(star(found))
+
+    # each text's class, then the documents of each text
+    of = every.join(classes.select("digest", F.col("node").alias("class")), "digest", "left").select("node", "n", "class")
+    of = written(texts.select("node", "h1", "h2").join(of, "node").drop("node"), "text-classes")
+    ids = known.select("doc_id", "h1", "h2")
+    several = ids.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x < y").select("doc_id")
+    held = ids.join(several, "doc_id").join(of.where("class is not null"), ["h1", "h2"]).select("doc_id", "class").distinct()
+    hub = held.groupBy("doc_id").agg(F.min("class").alias("a"))
+    links = links.unionAll(held.join(hub, "doc_id").where("a < class").select("a", F.col("class").alias("b")))
+    last = components(links).select(F.col("id").alias("class"), "component")
     spark.sql(f"DROP TABLE {table}")
     order.unpersist()
-    of = classes.select("digest", "node", "doc_id").join(last, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
-    low = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = of.select("digest", "component").join(low, "component").select("digest", "component_id")
-    out = every.join(of, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    of = of.join(last, "class", "left").select("h1", "h2", "n", F.coalesce("component", "class").alias("component"))
+    least_ids = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
+    low = of.join(least_ids, ["h1", "h2"]).groupBy("component").agg(F.min("low").alias("component_id"))
+    of = of.join(low.where("component is not null"), "component", "left").select("h1", "h2", F.col("n").alias("n_shingles"), "component_id")
+    out = ids.join(of, ["h1", "h2"]).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    def count(batches):
+        sets = Shingler(size)
+        for batch in batches:
+            n = [len(sets(t.as_buffer().to_pybytes())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n_shingles": pa.array(n, pa.int64()), "component_id": pa.nulls(len(n), pa.int64())})
+
+    return out.unionAll(rows.where(F.col("doc_id").isNull()).select("text").mapInArrow(count, "doc_id long, n_shingles long, component_id long"))
