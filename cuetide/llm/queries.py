@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import click_dedup, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, token_output, toxicity, url_filter, vector_search
+from . import click_dedup, license_scan, mixing, ngram_join, packing, periodic_runs, pii, quality_rules, suffix_dedup, token_output, toxicity, url_filter, vector_search
 from .common import read_table
 
 ALLOW = [("org", "/"), ("com", "/fr/")]
@@ -66,13 +66,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = click_dedup.copies(read_table(spark, sf_dir, "clicks"), 12)
     return click_dedup.windows(copies, 12, horizon=72, lateness=48).withColumn("hash", F.lower(F.hex("hash")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find(read_table(spark, sf_dir, "documents"), least=12, fold=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_pii, op3_mixing, op4_ngram_join, op5_url_filter, op6_suffix_dedup, op7_token_output, op8_vector_search, op9_toxicity, op10_quality_rules, op12_click_dedup)
+    found = (op1_packing, op2_pii, op3_mixing, op4_ngram_join, op5_url_filter, op6_suffix_dedup, op7_token_output, op8_vector_search, op9_toxicity, op10_quality_rules, op11_license_scan, op12_click_dedup, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
