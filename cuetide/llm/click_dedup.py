@@ -47,6 +47,13 @@ OPEN = {"id": "<i8", "start": "<i8", "repeats": "<i8", "conflicts": "<i8", "crc"
 #: A row's fields in a packed part of a batch; ``n`` equal rows are one.
 ROW = {"id": "<i8", "hour": "<i8", "n": "<i8", "h0": "<u8", "h1": "<u8", "h2": "<u8", "h3": "<u8"}
 HASH = ("h0", "h1", "h2", "h3")
+#: How state is kept: changes are uploaded, not whole stores; small stores don't reserve disk ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 #: Rows that a task packs at once before it deals them to shards.
 PACK_ROWS = 400_000
 #: Copies that a shard is meant to hold over the whole input.
@@ -266,9 +273,8 @@ def windows(rows: DataFrame, batches: int, *, horizon: int = 72, lateness: int =
     origin, shards = told["low"] - lateness, shards or shards_for(told["n"])  # event time starts so late that every watermark is positive
     far = told["high"] + horizon + lateness + 1
     spark.range(1).select(F.lit(None).cast("long").alias("click_id"), F.lit(far).cast("long").alias("hour"), F.lit(bytes(32)).alias("hash")).write.mode("append").parquet(f"{base}/cut/batch={batches - 1}")
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
         for batch in range(batches):
