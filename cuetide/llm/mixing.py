@@ -73,7 +73,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_ep
 
     ``taken`` counts the words the mix takes from the document, repeats counted.
     """
-    held = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
+    held = [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")] if keep_rows else []
     text = F.col(text_col).cast("string")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
     source = F.col(source_col).cast("string")

@@ -48,6 +48,18 @@ def test_pii_is_linear():
     assert time.process_time() - began < 8 * small + 1
 
 
+def test_pii_has_no_length_bounds():
+    """Hosts of many labels and long local parts are proposed whole."""
+    judges = pii.fit()
+    host = " [dot] ".join("abcdefghi") + " [dot] com"
+    text = f"write to jane [at] {host} please"
+    assert (9, 9 + len(f"jane [at] {host}"), 0) in pii.candidates(text)
+    assert (9, 9 + len(f"jane [at] {host}"), "email") in pii.all_spans(text, judges)[1]
+    assert (0, 90, 0) in pii.candidates("a" * 70 + " [at] corp [dot] com")
+    many = "x [at] " + ".".join(["ab"] * 20_000)
+    assert (0, len(many), 0) in pii.candidates(many) and len(pii.candidates(many)) < 20
+
+
 @pytest.mark.parametrize("op", ["pack", "write"])
 def test_tokens_round_trip(spark, op):
     from tokenizers import Tokenizer
@@ -317,6 +329,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(k, text(k, k % 5 == 0), "ab"[k % 2], k % 5 == 0) for k in range(200)]
     rows += [(500 + k, rows[1][1] + f" z{k}", "a", False) for k in range(5)] + [(700, "call a.b@mail.example.com now " + text(0, False), "b", False), (701, None, "a", False), (702, "", None, False), (703, text(3, False), None, False), (703, text(4, False), "a", False)]
     docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "x") for i, t, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    docs = docs.withColumn("a.b", F.lit(1.5)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("row", F.lit("r"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(bad)) for i, _, _, bad in rows if i < 200], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now, kept = docs, {}
