@@ -68,6 +68,12 @@ def bucketed(df: DataFrame, key: str, name: str, n: int | None = None, *, dealt:
     return spark.table(table), table
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``df`` through ``run`` over Arrow batches of the same columns, whose names may hold dots: inside they are numbered."""
+    inner = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return inner.mapInArrow(run, inner.schema).toDF(*df.columns)
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import map_rows, text_or_empty, written
 from .labelled import MAX_ROWS, sample
 
 #: Identity terms by group; a swap takes the next one of the group (fixed values).
@@ -189,4 +189,4 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array([one(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
