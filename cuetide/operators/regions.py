@@ -103,13 +103,31 @@ def frame_rect(widget_w: Column, widget_h: Column, video_w: Column, video_h: Col
     return {"x": pick((widget_w - w) / 2, zero), "y": pick((widget_h - h) / 2, zero), "w": pick(w, F.greatest(zero, widget_w)), "h": pick(h, F.greatest(zero, widget_h))}
 
 
+def half_even(value: Column, places: int = 4) -> Column:
+    """``value`` (0 or more) to ``places`` decimals by its exact binary value, ties to even; doubles all the way.
+
+    A product with a power of ten is inexact, so near a tie the sign of the exact remainder decides: the value is
+    split into halves of 26 bits, whose products with a small integer are exact.
+    """
+    scale = 10.0**places
+
+    def rounded(v: Column) -> Column:
+        high = v * 134217729.0 - (v * 134217729.0 - v)  # 2^27 + 1
+        whole = F.floor(v * scale).cast("double")
+        over = (high * (2 * scale) - (whole * 2.0 + 1.0)) + (v - high) * (2 * scale)  # twice the distance from the tie
+        up = (over > 0) | (over == 0) & (whole % 2 == 1)
+        return (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return F.transform(F.array(value), rounded)[0]  # the value is named once, however long its expression
+
+
 def to_roi(ax: Column, ay: Column, bx: Column, by: Column, rect: dict[str, Column]) -> dict[str, Column]:
     """Two dragged points as a region in shares of the frame, clamped to it; an empty frame: the whole."""
     clamp = lambda v, start, size: F.greatest(start, F.least(start + size, v))
     x0, x1 = (clamp(f(ax, bx), rect["x"], rect["w"]) for f in (F.least, F.greatest))
     y0, y1 = (clamp(f(ay, by), rect["y"], rect["h"]) for f in (F.least, F.greatest))
     empty = (rect["w"] <= 0) | (rect["h"] <= 0)
-    share = lambda v, size, whole: F.when(empty, F.lit(whole)).otherwise(F.bround(v / size, 4))
+    share = lambda v, size, whole: F.when(empty, F.lit(whole)).otherwise(half_even(v / size))
     return {"x": share(x0 - rect["x"], rect["w"], 0.0), "y": share(y0 - rect["y"], rect["h"], 0.0), "width": share(x1 - x0, rect["w"], 1.0), "height": share(y1 - y0, rect["h"], 1.0)}
 
 

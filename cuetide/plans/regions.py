@@ -66,10 +66,18 @@ def ag17_contained(spark, d):
     return rows.groupBy("source_id").agg(F.count("*").alias("states"), F.count_if(inside).alias("contained"))
 
 
-@query("""WITH v AS (SELECT p_partkey AS id, 640.0::DOUBLE AS ww, 400.0::DOUBLE AS wh, p_size * 20.0::DOUBLE AS vw, 480.0::DOUBLE AS vh, p_partkey % 640 * 1.0::DOUBLE AS ax, p_partkey % 400 * 1.0::DOUBLE AS ay, 600.0::DOUBLE AS bx, p_size * 8.0::DOUBLE AS b_y FROM part),
+def _half_even(v: str) -> str:
+    """The SQL of ``regions.half_even`` to four decimals: DuckDB's own rounding multiplies first, so it errs near ties."""
+    high, whole = f"(({v}) * 134217729.0 - (({v}) * 134217729.0 - ({v})))", f"floor(({v}) * 10000.0)"
+    over = f"(({high} * 20000.0 - (2.0 * {whole} + 1.0)) + (({v}) - {high}) * 20000.0)"
+    return f"(({whole} + CASE WHEN {over} > 0 OR ({over} = 0 AND {whole} % 2 = 1) THEN 1.0 ELSE 0.0 END) / 10000.0)"
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, 640.0::DOUBLE AS ww, 400.0::DOUBLE AS wh, p_size * 20.0::DOUBLE AS vw, 480.0::DOUBLE AS vh, p_partkey % 640 * 1.0::DOUBLE AS ax, p_partkey % 400 * 1.0::DOUBLE AS ay, 600.0::DOUBLE AS bx, p_size * 8.0::DOUBLE AS b_y FROM part),
 r AS (SELECT *, CASE WHEN ww / wh > vw / vh THEN wh * (vw / vh) ELSE ww END AS w, CASE WHEN ww / wh > vw / vh THEN wh ELSE ww / (vw / vh) END AS h FROM v), o AS (SELECT *, (ww - w) / 2 AS x, (wh - h) / 2 AS y FROM r),
-c AS (SELECT *, greatest(x, least(x + w, least(ax, bx))) AS x0, greatest(x, least(x + w, greatest(ax, bx))) AS x1, greatest(y, least(y + h, least(ay, b_y))) AS y0, greatest(y, least(y + h, greatest(ay, b_y))) AS y1 FROM o)
-SELECT id, round_even((x0 - x) / w, 4) AS roi_x, round_even((y0 - y) / h, 4) AS roi_y, round_even((x1 - x0) / w, 4) AS roi_width, round_even((y1 - y0) / h, 4) AS roi_height, round(x + round_even((x0 - x) / w, 4) * w, 1) AS pixel_x, round(greatest(0.0, ax / 10 - 0.05), 6) AS look_from, round(ax / 10 + 0.05, 6) AS look_to FROM c""")
+c AS (SELECT *, greatest(x, least(x + w, least(ax, bx))) AS x0, greatest(x, least(x + w, greatest(ax, bx))) AS x1, greatest(y, least(y + h, least(ay, b_y))) AS y0, greatest(y, least(y + h, greatest(ay, b_y))) AS y1 FROM o),
+q AS (SELECT *, ((x0 - x) / w)::DOUBLE AS sx, ((y0 - y) / h)::DOUBLE AS sy, ((x1 - x0) / w)::DOUBLE AS sw, ((y1 - y0) / h)::DOUBLE AS sh FROM c)
+SELECT id, {_half_even('sx')} AS roi_x, {_half_even('sy')} AS roi_y, {_half_even('sw')} AS roi_width, {_half_even('sh')} AS roi_height, round(x + {_half_even('sx')} * w, 1) AS pixel_x, round(greatest(0.0, ax / 10 - 0.05), 6) AS look_from, round(ax / 10 + 0.05, 6) AS look_to FROM q""".replace("134217729.0", "134217729.0::DOUBLE").replace("10000.0", "10000.0::DOUBLE").replace("20000.0", "20000.0::DOUBLE").replace("(2.0 *", "(2.0::DOUBLE *").replace("+ 1.0)", "+ 1.0::DOUBLE)"))
 def prj2_roi(spark, d):
     """PRJ2 PRJ3: dragged points as a region of a letter-boxed video; the span of time around a position."""
     t = model.table(spark, d, "part")

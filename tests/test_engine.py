@@ -11,7 +11,7 @@ from cuetide.streaming import gate as gate_module
 from cuetide.streaming.gate import Gate
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(v):
@@ -112,7 +112,7 @@ def test_store(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["a", "c"]
 
 
-def region(k, text, top=None, bottom=None, language=None):
+def a_region(k, text, top=None, bottom=None, language=None):
     return {"id": k, "seq": k, "text": text, "top": top, "bottom": bottom, "left": float(k), "language": language}
 
 
@@ -122,14 +122,14 @@ def test_language_layers():
         return {x: [[r["id"] for r in line] for line in v] for x, v in by.items() if v}, guess
 
     assert told() == ({}, set())
-    assert told(region(0, "你好", 0, 1), region(1, "かな", 2, 3), region(2, "hello", 4, 5)) == ({"zh": [[0]], "ja": [[1]], "en": [[2]]}, set())
-    assert told(region(0, "你好", 0, 1)) == ({}, {"zh", "ja"})
-    assert told(region(0, "你好", 0, 1, "zh")) == ({"zh": [[0]]}, set())
-    assert told(region(0, "hel", 0, 2), region(1, "lo", 1, 3)) == ({"en": [[0, 1]]}, set())
-    assert told(region(0, "你好", 0, 2), region(1, "hello", 1, 3), expected=("zh", "en")) == ({"zh": [[0]], "en": [[1]]}, set())
+    assert told(a_region(0, "你好", 0, 1), a_region(1, "かな", 2, 3), a_region(2, "hello", 4, 5)) == ({"zh": [[0]], "ja": [[1]], "en": [[2]]}, set())
+    assert told(a_region(0, "你好", 0, 1)) == ({}, {"zh", "ja"})
+    assert told(a_region(0, "你好", 0, 1, "zh")) == ({"zh": [[0]]}, set())
+    assert told(a_region(0, "hel", 0, 2), a_region(1, "lo", 1, 3)) == ({"en": [[0, 1]]}, set())
+    assert told(a_region(0, "你好", 0, 2), a_region(1, "hello", 1, 3), expected=("zh", "en")) == ({"zh": [[0]], "en": [[1]]}, set())
     # Han alone may be zh or ja here, so it does not part from a line that it overlaps
-    assert told(region(0, "你好", 0, 2), region(1, "hello", 1, 3)) == ({"en": [[0, 1]]}, set())
-    assert told(region(0, "hi", 0, 1), region(1, "12", 2, 3), expected=("en",)) == ({"en": [[0], [1]]}, {"en"})
+    assert told(a_region(0, "你好", 0, 2), a_region(1, "hello", 1, 3)) == ({"en": [[0, 1]]}, set())
+    assert told(a_region(0, "hi", 0, 1), a_region(1, "12", 2, 3), expected=("en",)) == ({"en": [[0], [1]]}, {"en"})
 
 
 def test_bursts(spark):
