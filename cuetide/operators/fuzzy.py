@@ -30,6 +30,17 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(text) > 1, some).otherwise(F.array().cast("array<string>"))
 
 
+def dice_of(a: Column, b: Column) -> Column:
+    """Dice coefficient of the bigrams of two short compact texts of one row, with multiplicity; null below a bigram.
+
+    Each different bigram of ``a`` is counted in both lists, so this is for lines; whole texts go by :func:`dice`.
+    """
+    x, y = bigrams(a), bigrams(b)
+    count = lambda some, g: F.size(F.filter(some, lambda v: v == g))
+    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, g: n + F.least(count(x, g), count(y, g)))
+    return F.when((F.length(a) > 1) & (F.length(b) > 1), 2.0 * shared / (F.length(a) + F.length(b) - 2))
+
+
 def dice(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
     """``key, dice``: shared bigrams of two compact texts with multiplicity; null if one is shorter than a bigram.
 
