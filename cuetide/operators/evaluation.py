@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.text import character_error_rate
-from . import intervals
+from ..sources.shared import written
+from . import intervals, ranks
 from .frames import frame_difference, signature_distance
 
 WRONG_LAYER, COMPLETE = 0.2, 0.98
@@ -58,12 +60,12 @@ def point_recall(points: DataFrame, cues: DataFrame, *, point_id: str, cue_id: s
 def random_recall(rows: DataFrame, target: Column, share: float, *, seeds: int = 20, id_col: str = "id") -> DataFrame:
     """Mean recall of ``target`` rows in a random top share, over ``seeds`` orders by a hash.
 
-    A rank needs one order's rows in a task, so this suits evaluation sets.
+    Orders are ranked by ranges, so none needs a task of its own.
     """
     n, n_target = rows.agg(F.count("*"), F.count_if(target)).first()
     drawn = rows.select(F.col(id_col).cast("string").alias("id"), target.alias("wanted"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    order = W.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", "seed", "id")), "id")
-    top = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, round(n * share)))
+    drawn = drawn.withColumn("key", F.md5(F.concat_ws(":", "seed", "id")))
+    top = ranks.top_rows(drawn, ["key", "id"], max(1, round(n * share)), ["seed"])
     found = top.groupBy("seed").agg(F.count_if("wanted").alias("hits"))
     return found.agg((F.sum("hits") / F.lit(seeds) / F.lit(max(1, n_target))).alias("recall"))
 
@@ -128,16 +130,49 @@ def merge_violations(groups: DataFrame, states: DataFrame, *, group_id: str, sta
     return met.where(F.col("end") - F.col("start") >= 2).select(group_id, F.col("start").alias("first"), F.col("end").alias("last"))
 
 
-def state_pairs(frames: DataFrame, window: str, *, id_col: str, state: str, signature: str) -> DataFrame:
-    """Pairs of frames of one ``window`` (a few frames, as many as a calibration compares) with their distance.
+def top_recall(rows: DataFrame, score: str, target: Column, share: float) -> DataFrame:
+    """``recall``: how much of ``target`` the first ``max(1, round(n * share))`` rows by falling ``score`` hold; none wanted: 0."""
+    n, wanted = rows.agg(F.count("*"), F.count_if(target)).first()
+    top = ranks.top_rows(rows.select("id", (-F.col(score)).alias("down"), target.alias("wanted")), ["down", "id"], max(1, round(n * share)))
+    return top.agg((F.count_if("wanted") / F.lit(max(1, wanted))).alias("recall"))
 
-    ``kind`` is ``same`` for frames of a state, ``adjacent`` for neighbouring states; other pairs drop out.
+
+#: Frames in a block; a pair of blocks is one task's work.
+BLOCK = 1024
+
+
+def pair_distances(frames: DataFrame, *, id_col: str, state: str, signature: str, block: int = BLOCK) -> DataFrame:
+    """``kind, distance, n`` over all pairs of frames of one state (``same``) and of neighbouring ones (``adjacent``).
+
+    States are whole numbers, signatures arrays of booleans of one size. A state's frames are dealt by their id over
+    blocks of about ``block``; each pair of blocks is compared once, as a matrix inside a task, and only counts of
+    distances (as many as a signature has cells) leave it. So no pair becomes a row, and a hot state is many pairs of
+    blocks.
     """
-    side = lambda p: frames.select(F.col(window).alias("window"), *[F.col(c).alias(p + n) for c, n in ((id_col, "id"), (state, "state"), (signature, "sig"))])
-    pairs = side("a_").join(side("b_"), "window").where(F.col("a_id") < F.col("b_id"))
-    apart = F.abs(F.col("a_state") - F.col("b_state"))
-    kind = F.when(apart == 0, "same").when(apart == 1, "adjacent")
-    return pairs.withColumn("kind", kind).where("kind is not null").select("window", "a_id", "b_id", "kind", signature_distance(F.col("a_sig"), F.col("b_sig")).alias("distance"))
+    held = frames.where(F.col(state).isNotNull() & F.col(signature).isNotNull()).select(F.col(id_col).alias("id"), F.col(state).cast("long").alias("state"), F.col(signature).alias("sig"))
+    sizes = written(held.groupBy("state").agg((F.ceil(F.count("*") / block) - 1).cast("int").alias("last")), "state-sizes")
+    told = sizes.join(sizes.select((F.col("state") - 1).alias("state"), F.col("last").alias("above")), "state", "left").join(sizes.select((F.col("state") + 1).alias("state"), F.col("last").alias("below")), "state", "left")
+    blocks = held.join(told, "state").groupBy("state", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("block"), "last", "above", "below").agg(F.collect_list("sig").alias("sigs"))
+    cell = lambda s, t, i, j: F.struct(s.alias("s"), t.alias("t"), i.alias("i"), j.alias("j"))
+    me, b = F.col("state"), F.col("block")
+    mine = F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: cell(me, me, F.least(b, j), F.greatest(b, j)))
+    over = lambda c, f: F.when(F.col(c).isNull(), F.array().cast("array<struct<s:bigint,t:bigint,i:int,j:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col(c)), f))
+    cells = F.concat(mine, over("above", lambda j: cell(me, me + 1, b, j)), over("below", lambda j: cell(me - 1, me, j, b)))
+    dealt = blocks.select("state", "block", "sigs", F.explode(cells).alias("cell"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        c = frame["cell"].iloc[0]
+        made = {(r.state, r.block): np.asarray([list(x) for x in r.sigs], np.int32) for r in frame.itertuples()}
+        x, y = made.get((c["s"], c["i"])), made.get((c["t"], c["j"]))
+        if x is None or y is None:  # a block that got no frame
+            return pd.DataFrame({"kind": [], "distance": [], "n": []})
+        apart = x @ (1 - y).T + (1 - x) @ y.T
+        found = apart[np.triu_indices(len(x), 1)] if (c["s"], c["i"]) == (c["t"], c["j"]) else apart.ravel()
+        values, n = np.unique(found, return_counts=True)
+        return pd.DataFrame({"kind": "same" if c["s"] == c["t"] else "adjacent", "distance": values / max(1, x.shape[1]), "n": n})
+
+    counted = dealt.groupBy("cell").applyInPandas(run, "kind string, distance double, n long")
+    return counted.groupBy("kind", "distance").agg(F.sum("n").alias("n"))
 
 
 def medoids(frames: DataFrame, group: list[str], *, id_col: str, signature: str) -> DataFrame:
@@ -170,5 +205,5 @@ def assigned_state(lines: Column, geometry: tuple[Column, Column], content: tupl
 
 
 def recorded(rows: DataFrame) -> DataFrame:
-    """What a costly detector returned, kept on the executors' disks: variants replay it instead of calling again."""
-    return rows.persist(StorageLevel.DISK_ONLY)
+    """What a costly detector returned, written once to the shared folder: variants replay it, whatever executor is lost."""
+    return written(rows, "recorded")

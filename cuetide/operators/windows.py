@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def in_order(key: str = "source_id"):
     return W.partitionBy(key).orderBy("start_time", "id")
@@ -134,6 +136,7 @@ def curated(rows: DataFrame, winner: str, key: str = "source_id", also: Column |
 
 
 def top_fraction(rows: DataFrame, score: str, share: float, total: int | None = None) -> DataFrame:
-    """The first ``max(1, round(n * share))`` rows by falling score, ids breaking ties."""
+    """The first ``max(1, round(n * share))`` rows by falling score, ids breaking ties; ranks are made by ranges."""
     n = rows.count() if total is None else total
-    return rows.orderBy(F.col(score).desc(), "id").limit(max(1, round(n * share)))
+    down = rows.withColumn("__down", -F.col(score))
+    return ranks.top_rows(down, ["__down", "id"], max(1, round(n * share))).select(*rows.columns)

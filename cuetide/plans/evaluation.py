@@ -111,14 +111,27 @@ def ev17_ground_truth(spark, d):
     return rows.select("source_id", "id", parsed.alias("cue")).select("source_id", "id", "cue.start_time", "cue.end_time", "cue.language", "cue.text")
 
 
-@query("""WITH f AS (SELECT vec_id, vec_id // 20 AS w, label, list_transform(embedding, lambda x: x > 0) AS sig FROM embeddings),
-p AS (SELECT a.label - b.label AS apart, len(list_filter(list_zip(a.sig, b.sig), lambda p: p[1] <> p[2])) / 64 AS distance FROM f a JOIN f b ON a.w = b.w AND a.vec_id < b.vec_id)
-SELECT CASE WHEN apart = 0 THEN 'same' ELSE 'adjacent' END AS kind, count(*) AS n, min(distance) AS least, max(distance) AS most, round(quantile_cont(distance, 0.5), 9) AS median FROM p WHERE abs(apart) <= 1 GROUP BY apart = 0""")
+@query("""WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS sig FROM embeddings),
+p AS (SELECT a.label - b.label AS apart, len(list_filter(list_zip(a.sig, b.sig), lambda p: p[1] <> p[2])) / 64 AS distance FROM f a JOIN f b ON a.vec_id < b.vec_id AND abs(a.label - b.label) <= 1)
+SELECT CASE WHEN apart = 0 THEN 'same' ELSE 'adjacent' END AS kind, count(*) AS n, min(distance) AS least, max(distance) AS most, round(quantile_cont(distance, 0.5), 9) AS median FROM p GROUP BY apart = 0""")
 def jn14_state_pairs(spark, d):
-    """JN14 AG18: distances of pairs of frames of one state and of neighbouring ones, for the threshold between them."""
-    rows = model.table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 20).alias("w"), "label", F.transform("embedding", lambda x: x > 0).alias("sig"))
-    pairs = evaluation.state_pairs(rows, "w", id_col="vec_id", state="label", signature="sig")
-    return pairs.groupBy("kind").agg(F.count("*").alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"), F.round(F.percentile("distance", F.lit(0.5)), 9).alias("median"))
+    """JN14 AG18: distances of all pairs of frames of one state and of neighbouring ones, for the threshold between them."""
+    rows = model.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x > 0).alias("sig"))
+    pairs = evaluation.pair_distances(rows, id_col="vec_id", state="label", signature="sig").where("n > 0")
+    told = pairs.groupBy("kind").agg(F.sum("n").alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"))
+    # a distance is one of a few shares, so its counts give the median
+    below = W.partitionBy("kind").orderBy("distance")
+    placed = pairs.withColumn("upto", F.sum("n").over(below)).join(told.select("kind", F.col("n").alias("all")), "kind")
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("distance")))
+    middle = placed.groupBy("kind").agg(F.round((at(F.floor((F.col("all") - 1) / 2)) + at(F.ceil((F.col("all") - 1) / 2))) / 2, 9).alias("median"))
+    return told.join(middle, "kind").select("kind", "n", "least", "most", "median")
+
+
+@query("WITH n AS (SELECT count(*) AS n, count(*) FILTER (quality = 0) AS wanted FROM documents JOIN labels USING (doc_id)), r AS (SELECT quality, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents JOIN labels USING (doc_id)) SELECT count(*) FILTER (quality = 0) / greatest(1, any_value(wanted)) AS recall FROM r, n WHERE k <= greatest(1, round_even(n * 0.1, 0))")
+def ev5_recall(spark, d):
+    """EV5 SO5: how much of what is wanted the top tenth by a score holds."""
+    rows = model.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", "n_chars").join(model.table(spark, d, "labels"), "doc_id")
+    return evaluation.top_recall(rows, "n_chars", F.col("quality") == 0, 0.1)
 
 
 @query(f"""WITH {_SPANS}, l AS (SELECT found_id, truth_id, row_number() OVER (PARTITION BY found_id ORDER BY t.s, t.e, truth_id) AS k FROM found f LEFT JOIN truth t ON t.source_id = f.source_id AND f.s BETWEEN t.s AND t.e)

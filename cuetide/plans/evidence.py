@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bursts, evaluation, frames, fuzzy, intervals, layers, windows
+from ..operators import bursts, evaluation, frames, fuzzy, intervals, layers, ranks, windows
 from ..sources import captions, model, store
 from .queries import _CUES, _OBS, _SPANS, _cues, _obs, _spans, query
 
@@ -216,17 +216,18 @@ def src8_in_order(spark, d):
 @query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, sum(n_chars)::BIGINT AS total, round(quantile_cont(n_chars, 0.05), 6) AS p05, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(sqrt(quantile_cont(n_chars, 0.05) * quantile_cont(n_chars, 0.95)), 6) AS threshold FROM documents GROUP BY source")
 def ag18_quantiles(spark, d):
     """AG11 AG18: group means, sums, quantiles and the threshold between them."""
-    p05, p95 = (F.percentile("n_chars", F.lit(q)) for q in (0.05, 0.95))
-    return model.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.sum("n_chars").alias("total"), F.round(p05, 6).alias("p05"), F.round(p95, 6).alias("p95"), F.round(F.sqrt(p05 * p95), 6).alias("threshold"))
+    rows = model.table(spark, d, "documents").select("source", "n_chars")
+    told = rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.sum("n_chars").alias("total"))
+    found = ranks.quantiles(rows, ["source"], "n_chars", {"p05": 0.05, "p95": 0.95}).withColumnRenamed("source", "of")
+    met = told.join(found, told["source"].eqNullSafe(found["of"])).drop("of")
+    return met.withColumns({"threshold": F.round(F.sqrt(F.col("p05") * F.col("p95")), 6), "p05": F.round("p05", 6), "p95": F.round("p95", 6)})
 
 
 @query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) AS p95 FROM s WHERE k = floor(95 * (n - 1) / 100) + 1 GROUP BY event_type")
 def ev14_lower_rank(spark, d):
     """EV14: the 95th percentile as the lower nearest rank."""
-    by = W.partitionBy("event_type")
     rows = model.table(spark, d, "events").where("value is not null")
-    ranked = rows.select("event_type", "value", F.row_number().over(by.orderBy("value")).alias("k"), F.count("*").over(by).alias("n"))
-    return ranked.where(F.col("k") == F.floor(F.lit(95) * (F.col("n") - 1) / 100) + 1).groupBy("event_type").agg(F.max("value").alias("p95"))
+    return ranks.quantiles(rows, ["event_type"], "value", {"p95": 0.95}, lower=True)
 
 
 @query(f"""WITH {_SPANS}, n AS (SELECT t.source_id, truth_id, t.s, t.e, count(f.s) AS n FROM truth t LEFT JOIN found f ON f.source_id = t.source_id AND f.s BETWEEN t.s - 2 AND t.e + 2 GROUP BY ALL),

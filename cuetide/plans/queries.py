@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import review, text
 from ..operators import cues as cue_ops
-from ..operators import folds, intervals, windows
+from ..operators import folds, intervals, ranks, windows
 from ..sources import captions, model
 from ..streaming import gate
 
@@ -192,7 +192,10 @@ def ag1_vote(spark, d):
 
 @query(f"WITH {_OBS} SELECT trigger, count(*) AS n, round(avg(confidence), 9) AS mean, round(quantile_cont(confidence, 0.5), 9) AS median, round(quantile_cont(confidence, 0.95), 9) AS p95 FROM obs GROUP BY trigger")
 def ag10_trigger_counts(spark, d):
-    return _obs(spark, d).groupBy("trigger").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("mean"), F.round(F.percentile("confidence", F.lit(0.5)), 9).alias("median"), F.round(F.percentile("confidence", F.lit(0.95)), 9).alias("p95"))
+    rows = _obs(spark, d).select("trigger", "confidence")
+    told = rows.groupBy("trigger").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("mean"))
+    found = ranks.quantiles(rows, ["trigger"], "confidence", {"median": 0.5, "p95": 0.95}).withColumnRenamed("trigger", "of")
+    return told.join(found, told["trigger"].eqNullSafe(found["of"])).select("trigger", "n", "mean", F.round("median", 9).alias("median"), F.round("p95", 9).alias("p95"))
 
 
 @query(f"WITH {_CUES} SELECT source_id, id, start_time, end_time, review_state, role || ': ' || text AS label FROM cues WHERE review_state <> 'rejected'")
