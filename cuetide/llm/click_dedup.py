@@ -47,11 +47,14 @@ OPEN = {"id": "<i8", "start": "<i8", "repeats": "<i8", "conflicts": "<i8", "crc"
 #: A row's fields in a packed part of a batch; ``n`` equal rows are one.
 ROW = {"id": "<i8", "hour": "<i8", "n": "<i8", "h0": "<u8", "h1": "<u8", "h2": "<u8", "h3": "<u8"}
 HASH = ("h0", "h1", "h2", "h3")
-#: How state is kept: changes are uploaded, not whole stores; small stores don't reserve disk ahead.
+#: How state is kept: changes are uploaded, not whole stores; small stores, of which an executor may hold many, neither
+#: reserve disk ahead nor hold large buffers.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 #: Rows that a task packs at once before it deals them to shards.
