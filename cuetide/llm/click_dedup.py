@@ -58,7 +58,7 @@ STATE = {
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 #: Rows that a task packs at once before it deals them to shards.
-PACK_ROWS = 400_000
+PACK_ROWS = 100_000
 #: Copies that a shard is meant to hold over the whole input.
 SHARD_ROWS = 50_000
 
