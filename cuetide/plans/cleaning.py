@@ -94,15 +94,15 @@ def _longest(x: str, y: str) -> str:
 
 
 def _labels(spark, d):
-    """Cues of a brand's parts, half a second apart: a name, and the name with kind and size, some in two scripts."""
+    """Cues of five series of parts, half a second apart: a name, and the name with kind and size, some in two scripts."""
     t = model.table(spark, d, "part")
-    k = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    k = F.row_number().over(W.partitionBy(F.col("p_partkey") % 5).orderBy("p_partkey"))
     tail = F.concat_ws(" ", "p_type", "p_size")
     name = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("中"), F.col("p_name"))).otherwise(F.col("p_name"))
-    return t.select(F.col("p_brand").alias("source_id"), F.col("p_partkey").alias("id"), (k * 0.5).alias("start_time"), (k * 0.5 + 0.4).alias("end_time"), F.concat(name, F.lit("\n"), name, F.lit(" "), tail).alias("text"))
+    return t.select((F.col("p_partkey") % 5).alias("source_id"), F.col("p_partkey").alias("id"), (k * 0.5).alias("start_time"), (k * 0.5 + 0.4).alias("end_time"), F.concat(name, F.lit("\n"), name, F.lit(" "), tail).alias("text"))
 
 
-_LABELS = """labels AS (SELECT p_brand AS source_id, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) * 0.5 AS start_time, CASE WHEN p_size % 5 = 0 THEN '中' ELSE '' END || p_name AS name, p_type || ' ' || p_size AS tail FROM part),
+_LABELS = """labels AS (SELECT p_partkey % 5 AS source_id, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) * 0.5 AS start_time, CASE WHEN p_size % 5 = 0 THEN '中' ELSE '' END || p_name AS name, p_type || ' ' || p_size AS tail FROM part),
 places AS (SELECT source_id, id, start_time, start_time + 0.4 AS end_time, lower(name) AS key FROM labels UNION SELECT source_id, id, start_time, start_time + 0.4, lower(name || ' ' || tail) FROM labels),
 said AS (SELECT DISTINCT source_id, key, replace(key, ' ', '') AS c, contains(key, '中') AS han FROM places)"""
 _NEAR = f"""{_LABELS},
