@@ -10,9 +10,9 @@ search, and folded in rounds (all ids take their next window at once). What the
 when the shard's timer fires; the rest is written back as one blob.
 
 Time: the event time of a row is its hour. The engine's watermark (newest hour less ``lateness``) is the bound of
-late rows in the next batch, and closes windows in the batch without data that follows each batch, so a shard
-without rows closes its windows too. A row of a far hour in the last batch, which belongs to no id, moves the
-watermark past all windows at the end.
+late rows in the next batch, and closes windows at the start of that batch: by a shard's rows or, without rows, by its
+timer. So a start needs one micro-batch, not a second one without data. A row of a far hour in the last batch, which
+belongs to no id, moves the watermark past all windows; a batch without data follows that one only.
 
 Recovery: batches lie in the shared folder before the stream starts; state, offsets and the sink's log lie in its
 checkpoint there, so a start that fails is started again and repeats only what isn't committed.
@@ -57,6 +57,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
+#: Whether a start ends with a micro-batch without data; only the last one needs it.
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 #: Rows that a task packs at once before it deals them to shards.
 PACK_ROWS = 100_000
 #: Copies that a shard is meant to hold over the whole input.
@@ -160,10 +162,11 @@ def fold(held: dict[str, np.ndarray], rows: dict[str, np.ndarray], horizon: int)
 
 
 class ExpiringWindows(StatefulProcessor):
-    """One start of the stream: the batch's number, the horizon, and the hour at which event time begins."""
+    """One start of the stream: the batch's number, that of the batch fed before it, the hour at which event time
+    begins, and the far hour that ends the stream."""
 
-    def __init__(self, batch: int, origin: int, horizon: int, lateness: int):
-        self.batch, self.origin, self.horizon, self.lateness = batch, origin, horizon, lateness
+    def __init__(self, batch: int, before: int, origin: int, far: int, horizon: int, lateness: int):
+        self.batch, self.before, self.origin, self.far, self.horizon, self.lateness = batch, before, origin, far, horizon, lateness
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -182,14 +185,18 @@ class ExpiringWindows(StatefulProcessor):
         due = int(held["start"].min()) + self.horizon + self.lateness + 1  # the least newest hour that closes a window
         self.handle.registerTimer((due - self.origin + 1) * HOUR - 1)
 
-    def _out(self, windows: dict[str, np.ndarray]) -> pd.DataFrame:
+    def _out(self, windows: dict[str, np.ndarray], batch: int) -> pd.DataFrame:
         n = len(windows["id"])
         raw = np.stack([windows[k] for k in HASH], axis=1).astype(">u8").tobytes()
-        return pd.DataFrame({"click_id": windows["id"], "start_hour": windows["start"], "closed_batch": np.full(n, self.batch, np.int64), "n_repeats": windows["repeats"], "n_conflicts": windows["conflicts"], "conflict_crc": windows["crc"], "hash": [raw[k : k + 32] for k in range(0, 32 * n, 32)]})
+        return pd.DataFrame({"click_id": windows["id"], "start_hour": windows["start"], "closed_batch": np.full(n, batch, np.int64), "n_repeats": windows["repeats"], "n_conflicts": windows["conflicts"], "conflict_crc": windows["crc"], "hash": [raw[k : k + 32] for k in range(0, 32 * n, 32)]})
 
     def _state(self) -> dict[str, np.ndarray]:
         return unpack(bytes(self.windows.get()[0]) if self.windows.exists() else None, OPEN)
 
+    def _over(self, held: dict[str, np.ndarray], newest: int | None) -> np.ndarray:
+        """Windows that no row can reach after the newest hour of earlier batches."""
+        return np.zeros(len(held["id"]), bool) if newest is None else held["start"] + self.horizon < newest - self.lateness
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts = [unpack(bytes(blob), ROW) for frame in rows for blob in frame["blob"] if blob is not None]
         newest = self._newest(timerValues)
@@ -200,19 +207,23 @@ class ExpiringWindows(StatefulProcessor):
             got = take(got, got["hour"] >= newest - self.lateness)
         if not len(got["id"]):
             return
-        held, closed = fold(self._state(), summed(got), self.horizon)
+        held = self._state()
+        over = self._over(held, newest)
+        if over.any():
+            yield self._out(take(held, over), self.before)
+        held, closed = fold(take(held, ~over), summed(got), self.horizon)
         self._keep(held)
         for windows in closed:
             if len(windows["id"]):
-                yield self._out(windows)
+                yield self._out(windows, self.batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, newest = self._state(), self._newest(timerValues)
         if newest is None or not len(held["id"]):
             return
-        over = held["start"] + self.horizon < newest - self.lateness
+        over = self._over(held, newest)
         if over.any():
-            yield self._out(take(held, over))
+            yield self._out(take(held, over), self.batch if newest >= self.far else self.before)
             self._keep(take(held, ~over))
 
     def close(self) -> None:
@@ -252,12 +263,11 @@ def _packed(rows: DataFrame, shards: int) -> DataFrame:
     return rows.select("click_id", "hour", "hash").mapInArrow(run, "shard long, blob binary")
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
+def _move(spark: SparkSession, source: str, target: str) -> bool:
     jvm = spark.sparkContext._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, new)
+    return bool(fs.exists(old) and fs.rename(old, new))
 
 
 def windows(rows: DataFrame, batches: int, *, horizon: int = 72, lateness: int = 48, shards: int | None = None) -> DataFrame:
@@ -276,17 +286,21 @@ def windows(rows: DataFrame, batches: int, *, horizon: int = 72, lateness: int =
     origin, shards = told["low"] - lateness, shards or shards_for(told["n"])  # event time starts so late that every watermark is positive
     far = told["high"] + horizon + lateness + 1
     spark.range(1).select(F.lit(None).cast("long").alias("click_id"), F.lit(far).cast("long").alias("hour"), F.lit(bytes(32)).alias("hash")).write.mode("append").parquet(f"{base}/cut/batch={batches - 1}")
-    before = {k: spark.conf.get(k, None) for k in STATE}
+    before = {k: spark.conf.get(k, None) for k in (*STATE, NO_DATA)}
     for k, v in STATE.items():
         spark.conf.set(k, v)
+    fed = 0
     try:
         for batch in range(batches):
-            _move(spark, f"{base}/cut/batch={batch}", f"{base}/fed/batch={batch}")
+            if not _move(spark, f"{base}/cut/batch={batch}", f"{base}/fed/batch={batch}"):
+                continue
+            spark.conf.set(NO_DATA, str(batch == batches - 1).lower())
             stream = spark.readStream.schema("click_id long, hour long, hash binary").parquet(f"{base}/fed/batch=*")
             timed = stream.withColumn("at", F.timestamp_seconds((F.col("hour") - origin + 1) * 3600)).withWatermark("at", f"{lateness} hours")
-            out = _packed(timed, shards).groupBy("shard").transformWithStateInPandas(ExpiringWindows(batch, told["low"], horizon, lateness), OUT, "Append", "eventTime")
+            out = _packed(timed, shards).groupBy("shard").transformWithStateInPandas(ExpiringWindows(batch, fed, told["low"], far, horizon, lateness), OUT, "Append", "eventTime")
             query = out.writeStream.format("parquet").option("path", f"{base}/closed").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
+            fed = batch
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
