@@ -290,7 +290,8 @@ def im5_signature_distances(spark, d):
     """IM5, of IM13 the mass distance: signatures compared by their ink's mass and over occupied bands."""
     rows = model.table(spark, d, "embeddings")
     rows = rows.withColumn("b", F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))).where("b is not null")
-    ink, cells = (lambda c: F.transform(c, lambda x: F.abs(x))), (lambda c: F.transform(c, lambda x: x > F.lit(0.15)))
+    # components are floats and so is the bound: as a double, 0.15 lies below the float next to it
+    ink, cells = (lambda c: F.transform(c, lambda x: F.abs(x))), (lambda c: F.transform(c, lambda x: x > F.lit(0.15).cast("float")))
     return rows.select("vec_id", F.round(frames.mass_distance(ink("embedding"), ink("b")), 6).alias("mass"), F.round(frames.occupancy_distance(cells("embedding"), cells("b"), 8), 9).alias("occupancy"))
 
 
