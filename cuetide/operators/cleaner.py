@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import bursts
 from .cues import eligible, protected
-from .likeness import Likeness, Line, compacted
+from .likeness import Likeness, Line, kept_compact
 
 #: Likeness, gap and span of a cluster; rounds; how far shorter steps reach.
 ALIKE, GAP, SPAN, PASSES, CYCLES = 0.88, 0.35, 8.0, 6, 6
@@ -66,6 +66,8 @@ class Cleaner:
 
     def overlays(self, pieces: list[Piece]) -> list[dict]:
         """Lines, and their near copies, that stand on 4 cues or more over 12 seconds or more."""
+        if len(pieces) < 4 or max(p.end for p in pieces) - min(p.start for p in pieces) < 12:
+            return []
         shown: dict[str, Line] = {}
         where: dict[str, set[int]] = {}
         for k, p in enumerate(pieces):
@@ -94,7 +96,7 @@ class Cleaner:
                     y = shown[b].compact
                     if len(x) < 0.82 * len(y):
                         break
-                    if root(a) != root(b) and self.like.reaches(x, y, 0.82):
+                    if self.like.reaches(x, y, 0.82) and root(a) != root(b):
                         home[root(b)] = root(a)
         groups: dict[str, list[str]] = {}
         for key in keys:
@@ -133,7 +135,7 @@ class Cleaner:
 
     def without_edges(self, pieces: list[Piece], families: list[dict]) -> list[Piece]:
         """Long, often seen overlays go where they start or end a longer line."""
-        names = [m.strip() for f in families if f["cues"] >= 6 and f["seconds"] >= 15 for m in f["members"] if len(compacted(m)) >= 10]
+        names = [m.strip() for f in families if f["cues"] >= 6 and f["seconds"] >= 15 for m in f["members"] if len(kept_compact(m)) >= 10]
         cuts = [re.compile(form.format(re.escape(m)), re.I) for m in names for form in (r"^\s*{}\s*[:\-–—|]*\s+", r"\s+[:\-–—|]*\s*{}\s*$")]
         out = []
         for p in pieces:
@@ -176,14 +178,14 @@ class Cleaner:
 
     def scrambled(self, a: str, b: str) -> bool:
         """About the same letters in another order."""
-        x, y = compacted(a), compacted(b)
+        x, y = kept_compact(a), kept_compact(b)
         n, m = sorted((len(x), len(y)))
         return n >= 20 and n >= 0.82 * m and self.like.letters(x, y) >= 0.94
 
     def link(self, a: Piece, b: Piece) -> tuple[str | None, float]:
         """(why ``b`` goes on what ``a`` shows, their likeness)."""
         gap, alike = b.start - a.end, self.like.states(a.text, b.text)
-        fragment = lambda: self.covered_share(a.text, b.text) >= 0.72 or min(a.length, b.length) <= 0.8 and self.like.holds(compacted(a.text), compacted(b.text)) >= 0.45
+        fragment = lambda: self.covered_share(a.text, b.text) >= 0.72 or min(a.length, b.length) <= 0.8 and self.like.holds(kept_compact(a.text), kept_compact(b.text)) >= 0.45
         tests = (
             ("robust_similarity", self.gap, lambda: alike >= self.alike),
             ("fragment_or_line_coverage", 0.15, fragment),
@@ -349,7 +351,7 @@ class Cleaner:
     def without_tokens(self, pieces: list[Piece]) -> list[Piece]:
         out = []
         for p in pieces:
-            c = compacted(p.text)
+            c = kept_compact(p.text)
             if p.length <= bursts.TOKEN and 2 <= len(c) <= 4 and any(map(str.isalpha, c)) and any(map(str.isdigit, c)) and len(self.like.lines(p.text)) == 1:
                 self.note("drop_high_confidence_machine_token", p.origins)
             else:
@@ -464,6 +466,8 @@ def _grouped(cues: DataFrame, fold, schema: str, names: list[str], key: str) ->
 
     signature = F.concat_ws("\x1f", F.transform("layers", lambda x: x["language"]))
     need = eligible(cues).select(key, signature.alias("signature"), "id", "start_time", "end_time", "layers")
+    # few bytes make much work here, so tasks aren't put together by their bytes
+    need = need.repartition(int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "signature")
     return need.groupBy(key, "signature").applyInPandas(run, f"{key} {kind}, {schema}")
 
 

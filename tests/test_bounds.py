@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from cuetide.operators import cleaner, likeness
 from cuetide.plans import queries
 
 
@@ -25,3 +26,25 @@ def test_float_at_the_bound(spark, tmp_path):
     table = pa.table({"vec_id": pa.array(range(5), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([1] * 5, pa.int32())})
     pq.write_table(table, tmp_path / "embeddings.parquet")
     assert same_as_sql(spark, "im5_signature_distances", folder=tmp_path)
+
+
+def test_texts_are_compared_once_a_worker(monkeypatch):
+    calls, matcher = [], likeness.SequenceMatcher
+    monkeypatch.setattr(likeness, "SequenceMatcher", lambda *a, **k: calls.append(a) or matcher(*a, **k))
+
+    def group(source):
+        texts = ["a wide river bend", "a wide river band", "stones of the hill", "stones of the hall", "x" * 400, "x" * 399 + "y"]
+        return [{"id": f"{source}-{k}", "start_time": k * 0.3, "end_time": k * 0.3 + 0.28, "layers": [{"language": "en", "text": t, "observation_ids": [f"{source}-{k}"]}]} for k, t in enumerate(texts)]
+
+    first = cleaner.clean_group(group("a"))[0]
+    assert any(len(a[1]) < likeness.LONG for a in calls)
+    calls.clear()
+    again = cleaner.clean_group(group("b"))[0]
+    assert all(max(map(len, a[1:])) > likeness.LONG for a in calls)
+    assert [c["layers"][0]["text"] for c in again] == [c["layers"][0]["text"] for c in first]
+
+
+def test_small_groups_get_tasks_of_their_own(spark):
+    rows = spark.createDataFrame([(k, f"{k}-{j}", j * 0.3, j * 0.3 + 0.28, "pending", [("en", f"words {j // 2} of {k}", [f"{k}-{j}"])]) for k in range(40) for j in range(3)], "source_id long, id string, start_time double, end_time double, review_state string, layers array<struct<language:string,text:string,observation_ids:array<string>>>")
+    made = cleaner.actions(rows)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
