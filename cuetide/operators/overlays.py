@@ -5,12 +5,19 @@ With M matched characters of la + lb, the ratio is 2M / (la + lb). The matched b
 aren't matched, so there are at most la + lb - 2M + 1 of them, and M less their number are bigrams that both lines hold:
 3M - (la + lb) - 1 or more. So two near copies share ``shared_least`` bigrams, counted with repeats, and their lengths
 differ by s / (2 - s) at most. Ordering each line's bigrams by how rare they are, near copies share one among
-the first ones (all but ``shared_least`` less one); that is the join. Rare bigrams first keep it narrow; a whole pair of
-lines is read only when it has met, and shared characters (an upper bound of the ratio) come before the matcher.
+the first ones (all but ``shared_least`` less one); that is the join. Rare bigrams first keep it narrow. Lines that hold
+one such bigram meet in cells of ``CELL`` by ``CELL`` lines, whatever a bigram's lines are; there counts of characters and
+of bigrams, as arrays, bound the score of all pairs at once. What is left is scored once for each two texts, however
+many groups hold them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations, product
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +25,12 @@ from ..functions import text
 from ..sources.shared import written
 from . import fuzzy
 from .components import components
+from .likeness import Likeness, kept_shared
 
 #: Near copies and families of them.
 SAME, KIN, LEAST, KIN_LEAST, CUES, SECONDS = 0.82, 0.78, 5, 4, 4, 12.0
+#: Lines at a side of a cell; buckets of characters and of bigrams (shared buckets only raise a bound); pairs looked at at once.
+CELL, CHARACTERS, BIGRAMS, AT_ONCE = 1024, 80, 256, 1 << 15
 
 
 def line_places(cues: DataFrame, group: str, cue_text: Column) -> DataFrame:
@@ -36,31 +46,107 @@ def _shared_least(length: Column, bound: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((1.5 * bound - 1) * together - 1 - 1e-9))
 
 
+def _counts(texts: list[str], width: int, buckets: int) -> np.ndarray:
+    """How often each text holds the characters (``width`` 1) or bigrams (2) of each bucket."""
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    if width == 2:
+        whole = rows[:-1] == rows[1:]
+        codes, rows = (codes[:-1] * 31 + codes[1:])[whole], rows[:-1][whole]
+    counted = np.bincount(rows * buckets + codes % buckets, minlength=len(texts) * buckets).reshape(-1, buckets)
+    return counted.astype(np.uint8 if sizes.max() < 256 else np.int32)
+
+
+def _may_reach(x: list[str], y: list[str], bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``x`` and ``y`` of the pairs whose score may reach ``bound``: no pair that does is missing."""
+    n, m = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+    a, b = _counts(x, 1, CHARACTERS), _counts(y, 1, CHARACTERS)
+    shared = np.zeros((len(x), len(y)), np.promote_types(a.dtype, b.dtype))
+    for k in np.flatnonzero(a.any(axis=0) & b.any(axis=0)):
+        shared += np.minimum(a[:, k, None], b[None, :, k])
+    # a shared bigram is a shared character too, so this holds for either score
+    left, right = np.nonzero(2.0 * shared >= bound * (n[:, None] + m[None, :] - 2) - 1e-9)
+    a, b, kept = _counts(x, 2, BIGRAMS), _counts(y, 2, BIGRAMS), []
+    for at in range(0, len(left), AT_ONCE):
+        i, j = left[at : at + AT_ONCE], right[at : at + AT_ONCE]
+        both, total, chars = np.minimum(a[i], b[j]).sum(axis=1, dtype=np.int64), n[i] + m[j], 2.0 * shared[i, j]
+        by_matcher = (chars >= bound * total - 1e-9) & (both >= 1.5 * bound * total - total - 1 - 1e-9)
+        alike_long = np.minimum(n[i], m[j]) >= (bound / (2 - bound) - 1e-9) * np.maximum(n[i], m[j])
+        kept.append(alike_long & (by_matcher | (0.99 * 2 * both >= bound * (total - 2) - 1e-9)))
+    hit = np.concatenate(kept) if kept else np.zeros(0, bool)
+    return left[hit], right[hit]
+
+
+def _cell_pairs(cell: pd.DataFrame, i: int, j: int, bound: float) -> Iterator[tuple[str, str, str, str]]:
+    """``a, b, letters_a, letters_b`` of a cell's pairs (a < b) that may reach ``bound``."""
+    rows = list(zip(cell["key"], cell["letters"], cell["block"], strict=True))
+    one = [r for r in rows if r[2] == i]
+    two = one if i == j else [r for r in rows if r[2] == j]
+    if len(one) * len(two) <= 64:
+        met = combinations(one, 2) if i == j else product(one, two)
+        near = ((p, q) for p, q in met if 2 * kept_shared(p[1], q[1]) >= bound * (len(p[1]) + len(q[1]) - 2) - 1e-9)
+    else:
+        left, right = _may_reach([r[1] for r in one], [r[1] for r in two], bound)
+        near = ((one[x], two[y]) for x, y in zip(left.tolist(), right.tolist(), strict=True) if i != j or x < y)
+    for p, q in near:
+        (a, x, _), (b, y, _) = (p, q) if p[0] < q[0] else (q, p)
+        yield a, b, x, y
+
+
 def near_copies(lines: DataFrame, group: str, bound: float, least: int) -> DataFrame:
     """``group, a, b, similarity`` (a < b) of all pairs of a group's different ``key`` that reach ``bound``.
 
     ``least``: the fewest letters of a line that takes part. The lines are few characters long; a group may be any number.
     """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make much work here
     said = lines.select(group, "key").distinct().select(group, "key", text.compact(F.col("key")).alias("letters"))
     said = said.withColumn("script", F.concat(F.col("letters").rlike("[一-鿿]").cast("int"), F.col("letters").rlike("[a-z]").cast("int"))).where(F.length("letters") >= least)
-    grams = said.select(group, "key", "script", F.length("letters").alias("n"), F.explode(fuzzy.bigrams(F.col("letters"))).alias("gram"))
-    grams = grams.groupBy(group, "key", "script", "n", "gram").agg(F.count("*").alias("times"))
+    said = said.withColumn("n", F.length("letters"))
+    line = [group, "key", "letters", "script", "n"]
+    grams = said.select(*line, F.explode(fuzzy.bigrams(F.col("letters"))).alias("gram")).groupBy(*line, "gram").agg(F.count("*").alias("times"))
     grams = grams.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).drop("times")
     rarity = grams.groupBy("gram").agg(F.count("*").alias("seen"))
-    ordered = grams.join(rarity, "gram").groupBy(group, "key", "script", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "gram", "time"))).alias("all"))
+    ordered = grams.join(rarity, "gram").groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("seen", "gram", "time"))).alias("all"))
     first = F.slice("all", F.lit(1), F.greatest(F.lit(1), F.col("n") - _shared_least(F.col("n"), bound)).cast("int"))
-    prefix = ordered.select(group, "key", "script", "n", F.explode(first).alias("g")).select(group, "key", "script", "n", "g.gram", "g.time")
-    other = prefix.select(group, "script", "gram", "time", F.col("key").alias("b"), F.col("n").alias("m"))
-    ratio = bound / (2 - bound) - 1e-9
-    met = prefix.withColumnRenamed("key", "a").join(other, [group, "script", "gram", "time"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= ratio * F.greatest("n", "m")))
-    met = met.select(group, "a", "b").distinct()
-    for side in "ab":
-        met = met.join(said.select(group, F.col("key").alias(side), F.col("letters").alias(f"letters_{side}")), [group, side])
-    x, y = F.col("letters_a"), F.col("letters_b")
-    dice = 0.99 * fuzzy.dice_of(x, y)
-    near = met.withColumn("dice", F.coalesce(dice, F.lit(0.0))).where((F.col("dice") >= bound) | (text.multiset_similarity(x, y) >= bound))
-    scored = near.withColumn("similarity", F.greatest("dice", fuzzy.sequence(x, y)))
-    return scored.where(F.col("similarity") >= bound).select(group, "a", "b", "similarity", F.length(x).alias("n"), F.length(y).alias("m"))
+    prefix = written(ordered.select(group, "key", "letters", "script", F.explode(first).alias("g")).select(group, "key", "letters", "script", "g.gram", "g.time"), "prefixes")
+    token = [group, "script", "gram", "time"]
+    blocks = prefix.groupBy(*token).agg(F.count("*").alias("held")).where("held > 1").select(*token, F.ceil(F.col("held") / CELL).alias("blocks"))
+    dealt = prefix.join(blocks, token).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.select(*token, "key", "letters", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cell = [*token, "i", "j"]
+    dealt = dealt.select(*token, "key", "letters", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, held = [group, "a", "b", "letters_a", "letters_b"], None
+
+        def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for (of, _, _, _, i, j), some in rows.groupby(cell, sort=False):
+                out = [(of, *p) for p in _cell_pairs(some, i, j, bound)]
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+
+        for frame in frames:
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows[cell] == rows[cell].iloc[-1]).all(axis=1)
+            yield from found(rows[~last])
+            held = rows[last]  # its cell may go on in the next batch
+        if held is not None:
+            yield from found(held)
+
+    kind = said.schema[group].dataType.simpleString()
+    sorted_cells = dealt.repartition(tasks, *cell).sortWithinPartitions(*cell)
+    met = written(sorted_cells.mapInPandas(pairs, f"{group} {kind}, a string, b string, letters_a string, letters_b string").distinct(), "met-lines")
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([Likeness.alike(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    texts = ["letters_a", "letters_b"]
+    scores = met.select(*texts).repartition(tasks, *texts).distinct().withColumn("similarity", alike(*texts)).where(F.col("similarity") >= bound)
+    return met.join(scores, texts).select(group, "a", "b", "similarity", F.length("letters_a").alias("n"), F.length("letters_b").alias("m"))
 
 
 def families(places: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:

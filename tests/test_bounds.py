@@ -1,11 +1,15 @@
 """Values at a bound, and work that grows with its input only."""
 
+import itertools
+import random
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from cuetide.operators import cleaner, likeness
+from cuetide.operators import cleaner, likeness, overlays
+from cuetide.operators.likeness import Likeness
 from cuetide.plans import queries
 
 
@@ -48,3 +52,33 @@ def test_small_groups_get_tasks_of_their_own(spark):
     rows = spark.createDataFrame([(k, f"{k}-{j}", j * 0.3, j * 0.3 + 0.28, "pending", [("en", f"words {j // 2} of {k}", [f"{k}-{j}"])]) for k in range(40) for j in range(3)], "source_id long, id string, start_time double, end_time double, review_state string, layers array<struct<language:string,text:string,observation_ids:array<string>>>")
     made = cleaner.actions(rows)
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def near(lines, bound, least):
+    like = Likeness()
+    keys = sorted({x for x in lines if len(like.line(x).compact) >= least})
+    said = [(x, like.line(x)) for x in keys]
+    return {(a, b) for (a, x), (b, y) in itertools.combinations(said, 2) if x.script == y.script and like.alike(x.compact, y.compact) >= bound}
+
+
+def worded(n, seed):
+    rng = random.Random(seed)
+    words = ["hot", "cold", "large", "ring", "gear", "plate", "standard", "中文", "economy", "é", "x" * 300]
+    return [" ".join(rng.choice(words[: 9 + (k % 40 == 0) * 2]) for _ in range(rng.randint(1, 4))) + rng.choice(["", f" {rng.randint(1, 50)}"]) for k in range(n)]
+
+
+def test_array_bounds_lose_no_pair():
+    texts = sorted({Likeness.line(x).compact for x in worded(300, 3)})
+    for bound in (0.5, 0.78, 0.9):
+        got = {(texts[i], texts[j]) for i, j in zip(*overlays._may_reach(texts, texts, bound), strict=True)}
+        every = {(x, y) for x in texts for y in texts if min(len(x), len(y)) > 1 and Likeness.alike(x, y) >= bound}
+        assert every <= got and len(got) < 0.6 * len(texts) ** 2
+
+
+def test_cells_split_frequent_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(overlays, "CELL", 12)
+    rows = [(s, x) for s in (1, 2) for x in worded(150, 5)]
+    found = overlays.near_copies(spark.createDataFrame(rows, "source_id int, key string"), "source_id", 0.78, 4).collect()
+    want = near([x for _, x in rows], 0.78, 4)
+    assert len(found) == 2 * len(want) and {(r["source_id"], r["a"], r["b"]) for r in found} == {(s, *p) for s in (1, 2) for p in want}
+    assert all(abs(r["similarity"] - Likeness.alike(Likeness.line(r["a"]).compact, Likeness.line(r["b"]).compact)) < 1e-12 for r in found)
