@@ -78,15 +78,16 @@ def lines(text: Column) -> Column:
 
 
 def without_repeated_lines(text: Column) -> Column:
-    """Each line once, where its normalised form is first seen.
+    """Each line once, where its normalised form is first seen; null: empty.
 
-    Lines are cut before they are normalised, as one column, so nothing is called for each line.
+    Lines are sorted by their forms, so equal ones are neighbours, and the first ones back by place. The sorted array is
+    bound to a variable: an expression inside a function of elements would be worked out for each of them.
     """
-    shown = lines(text)
-    keys = F.transform(shown, lambda x: F.regexp_replace(F.translate(F.lower(x), "—–", "--"), r"(?U)\s+", " "))
-    # the first place of a key among all keys tells whether a line is its first
-    firsts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))), lambda k: F.when(F.array_position(keys, F.get(keys, k - 1)) == k, F.get(shown, k - 1))), lambda x: x.isNotNull())
-    return F.array_join(firsts, "\n")
+    key = lambda x: F.regexp_replace(F.translate(F.lower(x), "—–", "--"), r"(?U)\s+", " ")
+    held = F.sort_array(F.transform(lines(text), lambda x, k: F.struct(key(x).alias("key"), k.alias("k"), x.alias("line"))))
+    firsts = F.get(F.transform(F.array(held), lambda t: F.filter(t, lambda x, i: (i == 0) | (x["key"] != F.get(t, i - 1)["key"]))), F.lit(0))
+    shown = F.sort_array(F.transform(firsts, lambda x: F.struct(x["k"].alias("k"), x["line"].alias("line"))))
+    return F.coalesce(F.array_join(F.transform(shown, lambda x: x["line"]), "\n"), F.lit(""))
 
 
 def dominant_script(text: Column) -> Column:

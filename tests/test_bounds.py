@@ -2,12 +2,15 @@
 
 import itertools
 import random
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from cuetide.functions import text
 from cuetide.operators import cleaner, likeness, overlays
 from cuetide.operators.likeness import Likeness
 from cuetide.plans import queries
@@ -82,3 +85,16 @@ def test_cells_split_frequent_bigrams(spark, monkeypatch):
     want = near([x for _, x in rows], 0.78, 4)
     assert len(found) == 2 * len(want) and {(r["source_id"], r["a"], r["b"]) for r in found} == {(s, *p) for s in (1, 2) for p in want}
     assert all(abs(r["similarity"] - Likeness.alike(Likeness.line(r["a"]).compact, Likeness.line(r["b"]).compact)) < 1e-12 for r in found)
+
+
+def test_repeated_lines_of_a_long_text(spark):
+    rng = random.Random(6)
+    said = [rng.choice(["A line", "a  LINE", "other — one", "other - one", ""]) if rng.random() < 0.1 else f"line {rng.randrange(20000)}" for _ in range(40000)]
+    first = {}
+    for x in said:
+        if x:
+            first.setdefault(" ".join(x.lower().replace("—", "-").split()), x)
+    rows = spark.createDataFrame([(1, "\n".join(said)), (2, ""), (3, None), (4, "b\na\nB")], "id int, text string")
+    began = time.monotonic()
+    got = {r["id"]: r["t"] for r in rows.select("id", text.without_repeated_lines(F.col("text")).alias("t")).collect()}
+    assert got == {1: "\n".join(first.values()), 2: "", 3: "", 4: "b\na"} and time.monotonic() - began < 20
