@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames, windows
+from .likeness import remembered
 
 SWITCHES = ("first_frame", "change_detected")
 
@@ -37,7 +38,9 @@ def distance(a: str, b: str) -> int:
     return int(row[-1])
 
 
+@remembered
 def similarity(a: str, b: str) -> float:
+    """1 - edit distance / longer length; readings repeat within and across sources, so a worker keeps the latest."""
     return 1 - distance(a, b) / longest if (longest := max(len(a), len(b))) else 1.0
 
 

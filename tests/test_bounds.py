@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cuetide.functions import text
-from cuetide.operators import cleaner, likeness, overlays
+from cuetide.operators import cleaner, folds, likeness, overlays
 from cuetide.operators.likeness import Likeness
 from cuetide.plans import queries
 
@@ -98,3 +98,11 @@ def test_repeated_lines_of_a_long_text(spark):
     began = time.monotonic()
     got = {r["id"]: r["t"] for r in rows.select("id", text.without_repeated_lines(F.col("text")).alias("t")).collect()}
     assert got == {1: "\n".join(first.values()), 2: "", 3: "", 4: "b\na"} and time.monotonic() - began < 20
+
+
+def test_readings_are_compared_once_a_worker(monkeypatch):
+    calls, distance = [], folds.distance
+    monkeypatch.setattr(folds, "distance", lambda a, b: calls.append((a, b)) or distance(a, b))
+    rows = [{"id": k, "text": f"reading {k % 3} of a sign", "trigger": "first_frame", "start_time": float(k)} for k in range(300)]
+    first = list(folds.state_runs(rows))
+    assert 0 < len(calls) == len(set(calls)) <= 9 and list(folds.state_runs(rows)) == first and len(calls) <= 9
