@@ -198,6 +198,18 @@ def test_suffix_dedup_empty_and_repeated(spark):
     assert all(r[2] >= len(line) for r in got if r[0])
 
 
+def test_pii_learns_from_every_candidate(spark):
+    many = [(k, f"call +49 30 {k:07d} now") for k in range(9000)]
+    rows = pii.corpus_rows(frame(spark, many))
+    assert {(r["kind"], r["label"]): r["n"] for r in rows.where("kind = 3").groupBy("kind", "label").sum("n").toDF("kind", "label", "n").collect()} == {(3, 1): 9000}
+    assert rows.count() < 50  # equal rows of features are one
+    # too many different rows: fewer digits, and still every candidate
+    mixed = [(k, "id " + "7" * (k % 9) + f" +1 {k:0{9 + k % 4}d} or {'a' * (k % 37 + 1)} at corp dot com x") for k in range(300)]
+    whole, few = (pii.corpus_rows(frame(spark, mixed), most=n) for n in (10**6, 8))
+    assert few.count() < whole.count() and few.agg({"n": "sum"}).first()[0] == whole.agg({"n": "sum"}).first()[0] > 0
+    assert {v for r in few.collect() for v in r["x"][16:18]} <= {0.0, 1.0}
+
+
 def test_pii(spark):
     text = "x a.b@mail.example.com, 10.0.0.1 1.2.3.999 4111 1111 1111 1111 +1 (702) 555-0742 @@ a@b 1.2.3.4.5.6.7.8 é+44 20 7946 0958"
     got = pii.base_spans(text)
