@@ -1,17 +1,58 @@
-"""Fuzzy scores of pairs of texts, as columns and aggregations; only the sequence matcher runs in Arrow batches."""
+"""Fuzzy scores of pairs of texts, as columns; the sequence matcher and counts of bigrams run in Arrow batches."""
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, containment_ratio, lines
+from ..functions.text import compact, containment_ratio, lines, nfkc
 
 #: The weights of the combined scores and the longest line that weighs more than a shorter one.
 BIGRAMS, WHOLE, LINES, HELD, LONGEST_WEIGHT = 0.99, 0.55, 0.45, 0.98, 40
+#: Cells of the largest table of runs, of two bytes.
+MOST_CELLS = 1 << 22
+
+
+def matched(a: str, b: str) -> float:
+    """``SequenceMatcher(None, a, b, autojunk=False).ratio()``; both empty 1, one empty 0.
+
+    A table of the runs of equal characters from each two places on makes each longest block a maximum over a part of
+    it, the first one by ``a``, then by ``b``, as the matcher takes it; texts of too large a table go to the matcher.
+    """
+    if not a or not b or a == b:
+        return float(a == b)
+    if len(a) * len(b) > MOST_CELLS:
+        return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    same, run = (x[:, None] == y).astype(np.int16), np.zeros((len(a) + 1, len(b) + 1), np.int16)
+    for i in range(len(a) - 1, -1, -1):
+        np.multiply(run[i + 1, 1:] + 1, same[i], out=run[i, :-1])
+    down = np.minimum(np.arange(max(len(a), len(b)), 0, -1), 1 << 14).astype(np.int16)  # no run is longer than the shorter text
+    size, parts = 0, [(0, len(a), 0, len(b))]
+    while parts:
+        a0, a1, b0, b1 = parts.pop()
+        # a run ends where its part does
+        held = np.minimum(np.minimum(run[a0:a1, b0:b1], down[len(down) - (b1 - b0) :]), down[len(down) - (a1 - a0) :, None])
+        i, j = divmod(int(held.argmax()), b1 - b0)
+        k = int(held[i, j])
+        if k:
+            size += k
+            parts += [p for p in ((a0, a0 + i, b0, b0 + j), (a0 + i + k, a1, b0 + j + k, b1)) if p[0] < p[1] and p[2] < p[3]]
+    return 2.0 * size / (len(a) + len(b))
+
+
+def shared_bigrams(a: str, b: str) -> float | None:
+    """Dice coefficient of the bigrams of two texts, with multiplicity; None if one is shorter than a bigram."""
+    if len(a) < 2 or len(b) < 2:
+        return None
+    x, y = (Counter(zip(s, s[1:], strict=False)) for s in (a, b))
+    return 2.0 * sum(min(n, y[g]) for g, n in x.items() if g in y) / (len(a) + len(b) - 2)
 
 
 def sequence(a: Column, b: Column) -> Column:
@@ -19,8 +60,7 @@ def sequence(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        score = lambda p, q: SequenceMatcher(None, p, q, autojunk=False).ratio() if p and q else float(p == q)
-        return pd.Series([None if p is None or q is None else score(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([None if p is None or q is None else matched(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
 
@@ -44,40 +84,60 @@ def dice_of(a: Column, b: Column) -> Column:
 def dice(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
     """``key, dice``: shared bigrams of two compact texts with multiplicity; null if one is shorter than a bigram.
 
-    Counted by one aggregation over exploded bigrams, so long texts cost no more than their length.
+    Counted row by row, so nothing is shuffled and a row costs no more than its texts' length.
     """
-    side = lambda c, x, y: pairs.select(key, F.explode(bigrams(F.col(c))).alias("g"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    counted = side(a, 1, 0).unionAll(side(b, 0, 1)).groupBy(key, "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    shared = counted.groupBy(key).agg(F.sum(F.least("x", "y")).alias("shared"), F.sum(F.col("x") + F.col("y")).alias("total"))
-    score = F.when((F.length(a) > 1) & (F.length(b) > 1), 2.0 * F.coalesce("shared", F.lit(0)) / F.col("total"))
-    return pairs.join(shared, key, "left").select(key, score.alias("dice"))
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else shared_bigrams(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return pairs.select(key, run(F.col(a), F.col(b)).alias("dice"))
 
 
-def robust(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
-    """``key, sequence, dice, robust`` of pairs of compact texts; a missing Dice counts as the matcher's ratio."""
-    both = pairs.select(key, sequence(F.col(a), F.col(b)).alias("sequence")).join(dice(pairs, key, a, b), key)
-    both = both.withColumn("dice", F.coalesce("dice", "sequence"))
-    return both.withColumn("robust", F.greatest("sequence", BIGRAMS * F.col("dice")))
+def _compact_lines(text: Column) -> Column:
+    """The compact forms of a text's lines; they go through NFKC as one text, as it keeps line feeds."""
+    some = lines(text)
+    shown = F.transform(F.split(nfkc(F.array_join(some, "\n")), "\n"), lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""))
+    return F.when(F.size(some) > 0, shown).otherwise(F.array().cast("array<string>"))
+
+
+def _robust(a: str, b: str) -> float:
+    ratio, grams = matched(a, b), shared_bigrams(a, b)
+    return max(ratio, BIGRAMS * (ratio if grams is None else grams))
+
+
+def _by_lines(x, y) -> float | None:
+    """Both ways' mean of each line's best match, weighted by its length up to ``LONGEST_WEIGHT``."""
+    if x is None or y is None or not len(x) or not len(y):
+        return None
+    met = {p: _robust(*p) for p in set(product(x, y))}
+
+    def one_way(some, others, at):
+        weights = [max(1, min(LONGEST_WEIGHT, len(p))) for p in some]
+        return sum(w * max(met[(p, q) if at else (q, p)] for q in others) for w, p in zip(weights, some, strict=True)) / sum(weights)
+
+    return (one_way(x, y, True) + one_way(y, x, False)) / 2
 
 
 def state_scores(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """``key, sequence, dice, robust, lines, containment, state`` of pairs of texts.
 
-    ``lines`` averages both ways the best match of each line, weighted by its length up to ``LONGEST_WEIGHT``: one
-    aggregation over pairs of lines of one pair of texts.
+    ``lines`` averages both ways the best match of each line, weighted by its length up to ``LONGEST_WEIGHT``. Each row
+    is scored where it lies, each two texts and each two different lines once.
     """
-    whole = pairs.select(key, compact(F.col(a)).alias("a"), compact(F.col(b)).alias("b"))
-    scores = robust(whole, key).join(whole.select(key, containment_ratio(F.col("a"), F.col("b")).alias("containment")), key)
-    cut = lambda c, i, x: pairs.select(key, F.posexplode(lines(F.col(c))).alias(i, "line")).select(key, i, compact(F.col("line")).alias(x))
-    met = cut(a, "i", "a").join(cut(b, "j", "b"), key).withColumn("pair", F.concat_ws(":", F.col(key), "i", "j"))
-    met = met.join(robust(met.select("pair", "a", "b"), "pair").select("pair", "robust"), "pair")
-
-    def one_way(place: str, text: str, name: str) -> DataFrame:
-        best = met.groupBy(key, place).agg(F.max("robust").alias("best"), F.greatest(F.lit(1), F.least(F.lit(LONGEST_WEIGHT), F.max(F.length(text)))).alias("weight"))
-        return best.groupBy(key).agg((F.sum(F.col("best") * F.col("weight")) / F.sum("weight")).alias(name))
-
-    both = one_way("i", "a", "there").join(one_way("j", "b", "back"), key)
-    out = scores.join(both, key, "left").withColumn("lines", F.coalesce((F.col("there") + F.col("back")) / 2, "robust"))
+
+    @F.pandas_udf("sequence double, dice double, lines double")
+    def run(p: pd.Series, q: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, t, some, others in zip(p, q, x, y, strict=True):
+            known = s is not None and t is not None
+            rows.append((matched(s, t) if known else None, shared_bigrams(s, t) if known else None, _by_lines(some, others) if known else None))
+        return pd.DataFrame(rows, columns=["sequence", "dice", "lines"], dtype="float64")
+
+    whole = pairs.select(key, compact(F.col(a)).alias("a"), compact(F.col(b)).alias("b"), _compact_lines(F.col(a)).alias("x"), _compact_lines(F.col(b)).alias("y"))
+    scores = whole.select(key, run("a", "b", "x", "y").alias("of"), containment_ratio(F.col("a"), F.col("b")).alias("containment"))
+    scores = scores.select(key, "containment", "of.sequence", F.coalesce("of.dice", "of.sequence").alias("dice"), "of.lines")
+    out = scores.withColumn("robust", F.greatest("sequence", BIGRAMS * F.col("dice"))).withColumn("lines", F.coalesce("lines", "robust"))
     return out.select(key, "sequence", "dice", "robust", "lines", "containment", F.greatest("robust", WHOLE * F.col("robust") + LINES * F.col("lines"), HELD * F.col("containment")).alias("state"))
 
 

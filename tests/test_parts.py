@@ -1,5 +1,7 @@
 """Images, files, stores, jobs and review parts by cases."""
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,23 @@ def test_fuzzy_columns(spark):
     assert words[0]["w"] == pytest.approx(2 / 3) and [r["e"] for r in words] == [1.0, 1.0, 0.0, 1.0, 1.0]
 
 
+def test_fuzzy_scores_stay_in_their_rows(spark, capsys):
+    rows = spark.createDataFrame([("1", "One two\u2028ﬁve\n\nOne two", "five\x85two one"), ("2", None, "b"), ("3", "\n", "x"), ("4", "— \nab", "ab")], "id string, a string, b string")
+    for found in (fuzzy.state_scores(rows, "id", "a", "b"), fuzzy.dice(rows, "id")):
+        found.explain()
+        assert "Exchange" not in capsys.readouterr().out
+    got = {r["id"]: r for r in fuzzy.state_scores(rows, "id", "a", "b").collect()}
+    assert got["1"]["lines"] == pytest.approx((12 * 0.99 * 0.8 + 4) / 16 / 2 + (6 * 0.99 * 0.8 + 4) / 10 / 2)
+    assert got["2"]["sequence"] is None and got["2"]["lines"] is None and got["2"]["state"] == 0
+    assert got["3"]["lines"] == 0 and got["4"]["lines"] == pytest.approx((2 / 3 + 1) / 2)
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice(list("abé𝒳"[: rng.integers(1, 5)]), rng.integers(1, 30))) for _ in range(2))
+        assert fuzzy.matched(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+    long = "ab" * 40_000
+    assert fuzzy.matched(long, "b") == 2 / 80_001
+
+
 def ink(text_rows):
     return np.asarray([[255 if c == "#" else 0 for c in r] for r in text_rows], np.uint8)
 
