@@ -18,10 +18,11 @@ WRONG_LAYER, COMPLETE = 0.2, 0.98
 
 def precision_recall(truth: DataFrame, found: DataFrame, *, truth_id: str, found_id: str) -> DataFrame:
     """Shares of found spans that meet a true one and of true spans that a found one meets; without spans 0."""
-    right = found.select(found_id).join(intervals.overlapping(found, truth, id_col=found_id).select(found_id, F.lit(1).alias("hit")), found_id, "left")
-    met = truth.select(truth_id).join(intervals.overlapping(truth, found, id_col=truth_id).select(truth_id, F.lit(1).alias("hit")), truth_id, "left")
-    share = lambda rows, name: rows.agg(F.coalesce(F.try_divide(F.count("hit"), F.count("*")), F.lit(0.0)).alias(name))
-    return share(right, "precision").withColumn("recall", share(met, "recall").scalar())
+    def share(rows: DataFrame, others: DataFrame, of: str, name: str) -> DataFrame:
+        met = intervals.count_meeting(rows, others, id_col=of)
+        return rows.agg(F.count("*").alias("n")).select(F.coalesce(F.try_divide(met.scalar(), F.col("n")), F.lit(0.0)).alias(name))
+
+    return share(found, truth, found_id, "precision").withColumn("recall", share(truth, found, truth_id, "recall").scalar())
 
 
 def timing_error(truth: DataFrame, found: DataFrame, *, truth_id: str, found_id: str) -> DataFrame:
@@ -52,8 +53,8 @@ def completion(state: Column, coverage: Column) -> Column:
 
 def point_recall(points: DataFrame, cues: DataFrame, *, point_id: str, cue_id: str, key: str = "source_id") -> DataFrame:
     """``key, points, matched, recall``: verified instants (``at``) that a cue covers, by source."""
-    hit = intervals.covering(points, cues, point_id=point_id, span_id=cue_id).select(F.col(f"p_{point_id}").alias(point_id), F.lit(1).alias("hit"))
-    rows = points.join(hit, point_id, "left").groupBy(key).agg(F.count("*").alias("points"), F.count("hit").alias("matched"))
+    held = intervals.told(points, cues, {"hit": F.count("s_start_time") > 0}, point_id=point_id, key=key)
+    rows = held.groupBy(key).agg(F.count("*").alias("points"), F.count_if("hit").alias("matched"))
     return rows.withColumn("recall", F.col("matched") / F.col("points"))
 
 
@@ -87,10 +88,11 @@ def held_candidates(points: DataFrame, states: DataFrame, *, point_id: str, marg
 
 def interval_label(points: DataFrame, states: DataFrame, transitions: DataFrame, *, point_id: str, state_id: str) -> DataFrame:
     """Each point with the first state that covers it; inside a transition, or in no state, null."""
-    held = intervals.covering(points, states, point_id=point_id, span_id=state_id).select(F.col(f"p_{point_id}").alias(point_id), F.col(f"s_{state_id}").alias("label"))
-    veto = intervals.covering(points, transitions, point_id=point_id, span_id=state_id).select(F.col(f"p_{point_id}").alias(point_id), F.lit(True).alias("veto"))
-    rows = points.join(held, point_id, "left").join(veto, point_id, "left")
-    return rows.select(point_id, F.when(F.col("veto").isNull(), F.col("label")).alias("label"))
+    span = lambda rows, veto: rows.select("source_id", "start_time", "end_time", F.col(state_id).alias("id"), F.lit(veto).alias("veto"))
+    first = F.min(F.when(~F.col("s_veto"), F.struct("s_start_time", "s_end_time", "s_id")))
+    found = {"first": first, "veto": F.coalesce(F.bool_or("s_veto"), F.lit(False))}
+    rows = intervals.told(points, span(states, False).unionAll(span(transitions, True)), found, point_id=point_id)
+    return rows.select(point_id, F.when(~F.col("veto"), F.col("first.s_id")).alias("label"))
 
 
 def bracketed(states: DataFrame, points: DataFrame, *, state_id: str, tolerance: float, key: str = "source_id") -> DataFrame:
@@ -122,11 +124,14 @@ def merge_violations(groups: DataFrame, states: DataFrame, *, group_id: str, sta
     wide = states.withColumn("place", F.row_number().over(order)).select(key, "place", (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))
     spans = intervals.binned(wide, key)
 
-    def at(end: str, pick):
-        ends = groups.select(F.col(key).alias("join_key"), group_id, F.col(f"{end}_time").alias("at")).withColumn("bin", F.floor(F.col("at") / intervals.WIDTH))
-        return ends.join(spans, ["join_key", "bin"]).where(F.col("at").between(F.col("s_start_time"), F.col("s_end_time"))).groupBy(group_id).agg(pick("s_place").alias(end))
-
-    met = at("start", F.min).join(at("end", F.max), group_id)
+    bins = {end: F.floor(F.col(f"{end}_time") / intervals.WIDTH) for end in ("start", "end")}
+    ends = groups.select(F.col(key).alias("join_key"), group_id, "start_time", "end_time", (bins["start"] == bins["end"]).alias("alone"), F.explode(F.array_distinct(F.array(*bins.values()))).alias("bin"))
+    covers = lambda end: F.col(f"{end}_time").between(F.col("s_start_time"), F.col("s_end_time"))
+    place = lambda end, pick: pick(F.when(covers(end), F.col("s_place"))).alias(end)
+    met = ends.join(spans, ["join_key", "bin"]).where(covers("start") | covers("end"))
+    # where both ends lie in one bin the join has all that counts; only other groups are shuffled once more
+    met = met.groupBy("join_key", "bin", group_id, "alone").agg(place("start", F.min), place("end", F.max))
+    met = met.where(~F.col("alone") | (F.col("end") - F.col("start") >= 2)).groupBy(group_id).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return met.where(F.col("end") - F.col("start") >= 2).select(group_id, F.col("start").alias("first"), F.col("end").alias("last"))
 
 

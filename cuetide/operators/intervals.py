@@ -7,7 +7,7 @@ shares several bins is kept in the first common one only, so nothing is made dis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,10 +58,39 @@ def covering(points: DataFrame, spans: DataFrame, *, point_id: str, span_id: str
     left = _named(points, key, "p_").withColumn("bin", F.floor(F.col(f"p_{at}") / width))
     right = _bins(_named(spans, key, "s_"), "s_", width)
     pairs = left.join(right, ["join_key", "bin"]).where(F.col(f"p_{at}").between(F.col("s_start_time"), F.col("s_end_time")))
-    order = W.partitionBy(f"p_{point_id}").orderBy("s_start_time", "s_end_time", f"s_{span_id}")
+    # a point lies in one bin, where the join has its pairs already: the window moves none of them
+    order = W.partitionBy("join_key", "bin", f"p_{point_id}").orderBy("s_start_time", "s_end_time", f"s_{span_id}")
     return pairs.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k", "bin", "join_key", "s_first")
 
 
+def told(points: DataFrame, spans: DataFrame, found: dict[str, Column], *, point_id: str, at: str = "at", key: str = "source_id", width: float = WIDTH) -> DataFrame:
+    """Every point as ``key, point_id`` with aggregates over the spans that cover it, both ends included (columns ``s_*``).
+
+    One join and no shuffle after it, as a point lies in one bin; repeated points stay as many.
+    """
+    left = points.select(F.col(key).alias("join_key"), F.col(point_id), F.col(at).alias("p_at"), F.floor(F.col(at) / width).alias("bin"), F.monotonically_increasing_id().alias("row"))
+    right = binned(spans, key, width)
+    meets = (left["join_key"] == right["join_key"]) & (left["bin"] == right["bin"]) & left["p_at"].between(right["s_start_time"], right["s_end_time"])
+    rows = left.join(right.drop(f"s_{key}"), meets, "left").groupBy(left["join_key"], left["bin"], "row", point_id)
+    return rows.agg(*[c.alias(name) for name, c in found.items()]).withColumnRenamed("join_key", key).drop("bin", "row")
+
+
+def count_meeting(a: DataFrame, b: DataFrame, *, key: str = "source_id", id_col: str, width: float = WIDTH) -> DataFrame:
+    """``n``: how many rows of ``a`` overlap some row of ``b``.
+
+    A row of one bin counts where it is met; only the ids of rows in several bins are shuffled once more, as each
+    must count once.
+    """
+    alone = F.floor(F.col("start_time") / width) == F.floor(F.col("end_time") / width)
+    few = a.select(key, "start_time", "end_time", F.when(~alone, F.col(id_col)).alias("id"), (~alone).alias("many"))
+    left, right = _bins(_named(few, key, "a_"), "a_", width), _bins(_named(b.select(key, "start_time", "end_time"), key, "b_"), "b_", width)
+    meets = (left["join_key"] == right["join_key"]) & (left["bin"] == right["bin"]) & (F.col("a_start_time") < F.col("b_end_time")) & (F.col("a_end_time") > F.col("b_start_time"))
+    hit = left.join(right, meets, "left_semi").groupBy("join_key", "bin", "a_many", "a_id").agg(F.count("*").alias("n"))
+    # a row met in several bins is in each of them as often as it repeats
+    hit = hit.groupBy("a_many", F.when(F.col("a_many"), F.col("join_key")).alias("of"), "a_id").agg(F.when(F.col("a_many"), F.max("n")).otherwise(F.sum("n")).alias("n"))
+    return hit.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def reached(spans: DataFrame, points: DataFrame, *, span_id: str, at: str = "at", tolerance: float = 0.0, key: str = "source_id", width: float = WIDTH) -> DataFrame:
     """``span_id, n``: how many points lie in each span widened by ``tolerance``, ends included; none: 0."""
     wide = spans.select(key, span_id, (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cuetide.functions import text
-from cuetide.operators import cleaner, folds, likeness, overlays
+from cuetide.operators import cleaner, evaluation, folds, intervals, likeness, overlays
 from cuetide.operators.likeness import Likeness
 from cuetide.plans import queries
 
@@ -106,3 +106,31 @@ def test_readings_are_compared_once_a_worker(monkeypatch):
     rows = [{"id": k, "text": f"reading {k % 3} of a sign", "trigger": "first_frame", "start_time": float(k)} for k in range(300)]
     first = list(folds.state_runs(rows))
     assert 0 < len(calls) == len(set(calls)) <= 9 and list(folds.state_runs(rows)) == first and len(calls) <= 9
+
+
+def test_interval_joins_move_points_once(spark, capsys):
+    """Ends in one bin, in several and on its edge; no shuffle of points or of spans in one bin after the join."""
+    truth = spark.createDataFrame([(1, 1, 0.0, 30.0), (1, 2, 30.0, 40.0), (1, 3, 50.0, 130.0), (2, 4, 59.0, 61.0), (3, 5, 0.0, 1.0)], "source_id long, truth_id long, start_time double, end_time double")
+    found = spark.createDataFrame([(1, "a", 10.0, 55.0), (1, "b", 29.0, 125.0), (1, "c", 60.0, 60.5), (2, "d", 58.0, 62.0), (4, "e", 0.0, 1.0), (3, "f", 1.0, 2.0)], "source_id long, found_id string, start_time double, end_time double")
+    points = found.select("source_id", "found_id", F.col("start_time").alias("at"))
+    figures = evaluation.precision_recall(truth, found, truth_id="truth_id", found_id="found_id").first()
+    assert (figures["precision"], figures["recall"]) == (4 / 6, 4 / 5)
+    assert tuple(evaluation.precision_recall(truth.limit(0), found, truth_id="truth_id", found_id="found_id").first()) == (0.0, 0.0)
+    assert {tuple(r) for r in evaluation.merge_violations(found, truth, group_id="found_id", state_id="truth_id", tolerance=2.0).collect()} == {("a", 1, 3), ("b", 1, 3)}
+    near = truth.select("source_id", "truth_id", (F.col("end_time") - 1).alias("start_time"), (F.col("end_time") + 1).alias("end_time"))
+    labels = evaluation.interval_label(points, truth, near, point_id="found_id", state_id="truth_id")
+    assert dict(map(tuple, labels.collect())) == {"a": 1, "b": None, "c": 3, "d": None, "e": None, "f": None}
+    assert evaluation.interval_label(points.unionAll(points), truth, near, point_id="found_id", state_id="truth_id").count() == 12  # repeats stay
+    twice = evaluation.precision_recall(truth, found.unionAll(found), truth_id="truth_id", found_id="found_id").first()
+    assert (twice["precision"], twice["recall"]) == (4 / 6, 4 / 5)
+    recall = evaluation.point_recall(points, truth, point_id="found_id", cue_id="truth_id")
+    assert {tuple(r)[:3] for r in recall.collect()} == {(1, 3, 3), (2, 1, 0), (4, 1, 0), (3, 1, 1)}
+    assert {tuple(r) for r in intervals.covering(points, truth, point_id="found_id", span_id="truth_id").select("p_found_id", "s_truth_id").collect()} == {("a", 1), ("b", 1), ("c", 3), ("f", 5)}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (labels, intervals.covering(points, truth, point_id="found_id", span_id="truth_id")):
+            rows.select("*").explain()
+            assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
