@@ -6,14 +6,15 @@ as long as one recording.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames, windows
+from .grouped import folded
 from .likeness import remembered
 
 SWITCHES = ("first_frame", "change_detected")
@@ -29,13 +30,22 @@ def distance(a: str, b: str) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return len(a) + len(b)
-    row = np.arange(len(b) + 1)
-    letters = np.fromiter(map(ord, b), np.int64, len(b))
-    steps = np.arange(len(b) + 1)
-    for x in a:  # a row at once: the chain of insertions is a running minimum
-        new = np.minimum(row[1:] + 1, row[:-1] + (letters != ord(x)))
-        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], new]) - steps) + steps
-    return int(row[-1])
+    a, b = sorted((a, b), key=len)
+    at: dict[str, int] = {}
+    for k, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << k
+    # a row at once, as bits: where its cells are one more or one less than the cell before (Myers, Hyyrö)
+    whole, last, far = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    more, less = whole, 0
+    for x in a:
+        same = at.get(x, 0)
+        down = same | less
+        along = ((same & more) + more ^ more) | same
+        up, back = less | whole ^ (along | more) & whole, more & along
+        far += bool(up & last) - bool(back & last)
+        up, back = up << 1 | 1, back << 1
+        more, less = (back | ~(down | up)) & whole, up & down & whole
+    return far
 
 
 @remembered
@@ -44,6 +54,15 @@ def similarity(a: str, b: str) -> float:
     return 1 - distance(a, b) / longest if (longest := max(len(a), len(b))) else 1.0
 
 
+def reaches(a: str, b: str, threshold: float) -> bool:
+    """Whether :func:`similarity` is ``threshold`` or more; lengths and letters in common decide many pairs of long texts."""
+    longest = max(len(a), len(b))
+    for most in (lambda: min(len(a), len(b)), lambda: (Counter(a) & Counter(b)).total()):
+        if longest and 1 - (longest - most()) / longest < threshold:
+            return False
+    return similarity(a, b) >= threshold
+
+
 def state_runs(readings: list[dict], threshold: float = 0.5) -> Iterator[tuple[list[dict], float | None, set]]:
     """(members, where the next state begins, members without a vote) of each visual state.
 
@@ -71,7 +90,7 @@ def state_runs(readings: list[dict], threshold: float = 0.5) -> Iterator[tuple[l
             continue
         anchor = run[0]["text"]
         if blanks:
-            if similarity(anchor, text) >= threshold:
+            if reaches(anchor, text, threshold):
                 run += blanks
                 blanks = []
             else:
@@ -82,12 +101,12 @@ def state_runs(readings: list[dict], threshold: float = 0.5) -> Iterator[tuple[l
             if following[k] is None:
                 run.append(r)
                 mute.add(r["id"])
-            elif similarity(text, following[k]) >= threshold:
+            elif reaches(text, following[k], threshold):
                 yield run, r["start_time"], mute
                 run, mute = [r], set()
             else:
                 run.append(r)
-        elif similarity(anchor, text) >= threshold:
+        elif reaches(anchor, text, threshold):
             run.append(r)
         else:
             yield run, r["start_time"], mute
@@ -168,7 +187,6 @@ def voted(members: list[dict], field: str) -> tuple[str | None, int, int]:
     return value, votes[value][0], len(votes)
 
 
-_CUE = ["id", "start_time", "end_time", "text", "language", "observation_ids", "n_members", "n_votes", "n_distinct", "confidence"]
 _CUE_DDL = "id string, start_time double, end_time double, text string, language string, observation_ids array<string>, n_members int, n_votes int, n_distinct int, confidence double"
 
 
@@ -180,22 +198,19 @@ def consensus(rows: DataFrame, threshold: float = 0.5, key: str = "source_id", p
     """
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_time", "id"], kind="stable")
-        out = []
-        for members, boundary, mute in state_runs(frame.to_dict("records"), threshold):
+    def run(held: list[dict]) -> Iterator[tuple]:
+        for members, boundary, mute in state_runs(held, threshold):
             counted = [r for r in members if r["text"] and r["id"] not in mute]
             text, votes, n_distinct = voted(counted, "text")
             language = voted([r for r in counted if isinstance(r["language"], str) and r["language"]], "language")[0] or "und"
             last = members[-1]["end_time"] if processing_end is None else processing_end
             sure = [r["confidence"] for r in members if r["text"] and not pd.isna(r["confidence"])]
             ids = [str(i) for r in members for i in r["member_ids"]]
-            out.append((frame[key].iloc[0], f"cue-{members[0]['id']}", members[0]["start_time"], float(last if boundary is None else boundary), text, language, ids, len(members), votes, n_distinct, sum(sure) / len(sure) if sure else None))
-        return pd.DataFrame(out, columns=[key, *_CUE])
+            yield held[0][key], f"cue-{members[0]['id']}", members[0]["start_time"], float(last if boundary is None else boundary), text, language, ids, len(members), votes, n_distinct, sum(sure) / len(sure) if sure else None
 
     held = F.col("member_ids") if "member_ids" in rows.columns else F.array("id")
     need = rows.select(key, "id", "start_time", "end_time", "text", "confidence", "trigger", "language", F.transform(held, lambda x: x.cast("string")).alias("member_ids"))
-    return need.groupBy(key).applyInPandas(run, f"{key} {kind}, {_CUE_DDL}")
+    return folded(need, [key], ["start_time", "id"], run, f"{key} {kind}, {_CUE_DDL}")
 
 
 def reconstructed(rows: DataFrame, threshold: float = 0.5, key: str = "source_id", processing_end: float | None = None) -> DataFrame:
@@ -213,10 +228,8 @@ def rolling(rows: DataFrame, key: str = "source_id") -> DataFrame:
     """Whole cues of rolling captions (``id, seq, start_time, end_time, text``); ``seq`` is the place in the file."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = captions(frame.sort_values(["start_time", "seq"], kind="stable").to_dict("records"))
-        cells = [(frame[key].iloc[0], c["id"], c["start_time"], c["end_time"], c["text"], [str(i) for i in c["ids"]], sorted(c["flags"])) for c in found]
-        return pd.DataFrame(cells, columns=[key, "id", "start_time", "end_time", "text", "observation_ids", "flags"])
+    def run(held: list[dict]) -> list[tuple]:
+        return [(held[0][key], c["id"], c["start_time"], c["end_time"], c["text"], [str(i) for i in c["ids"]], sorted(c["flags"])) for c in captions(held)]
 
     need = rows.select(key, "id", "seq", "start_time", "end_time", "text")
-    return need.groupBy(key).applyInPandas(run, f"{key} {kind}, id string, start_time double, end_time double, text string, observation_ids array<string>, flags array<string>")
+    return folded(need, [key], ["start_time", "seq"], run, f"{key} {kind}, id string, start_time double, end_time double, text string, observation_ids array<string>, flags array<string>")

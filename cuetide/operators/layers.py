@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import folds
+from .grouped import folded
 
 #: The languages that a script may stand for.
 LANGUAGES_OF = {"kana": {"ja"}, "han": {"zh", "ja"}, "latin": {"en"}}
@@ -105,15 +106,12 @@ def assigned(regions: DataFrame, expected: list[str], key: str = "source_id") ->
     """
     kind, id_kind = (regions.schema[c].dataType.simpleString() for c in (key, "id"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        rows = rows.astype(object).where(rows.notna(), None)
-        by, guess = assign(rows.to_dict("records"), expected)
-        out = [(rows[key].iloc[0], rows["frame"].iloc[0], x, "\n".join("".join(r["text"] for r in line) for line in by[x]), len(by[x]), x in guess, [r["id"] for line in by[x] for r in line]) for x in expected]
-        return pd.DataFrame(out, columns=[key, "frame", "language", "text", "n_lines", "ambiguous", "ids"])
+    def run(held: list[dict]) -> list[tuple]:
+        by, guess = assign(held, expected)
+        return [(held[0][key], held[0]["frame"], x, "\n".join("".join(r["text"] for r in line) for line in by[x]), len(by[x]), x in guess, [r["id"] for line in by[x] for r in line]) for x in expected]
 
     need = regions.select(key, "frame", "id", "seq", "text", "language", "top", "bottom", "left")
-    return need.groupBy(key, "frame").applyInPandas(run, f"{key} {kind}, frame string, language string, text string, n_lines int, ambiguous boolean, ids array<{id_kind}>")
+    return folded(need, [key, "frame"], ["seq"], run, f"{key} {kind}, frame string, language string, text string, n_lines int, ambiguous boolean, ids array<{id_kind}>")
 
 
 def _frames(regions: list[dict]) -> list[list[dict]]:
@@ -166,9 +164,7 @@ def reconstructed(regions: DataFrame, expected: list[str], threshold: float = 0.
         return cues.select(key, "id", "start_time", "end_time", F.array(layer).alias("layers"), none.alias("missing"), none.alias("ambiguous"))
     kind = regions.schema[key].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_time", "seq"], kind="stable").astype(object)
-        held = rows.where(rows.notna(), None).to_dict("records")
+    def run(held: list[dict]) -> Iterator[tuple]:
         readings = []
         for frame in _frames(held):
             ordered = canonical(frame, expected)
@@ -180,14 +176,12 @@ def reconstructed(regions: DataFrame, expected: list[str], threshold: float = 0.
             first = ordered[0]
             readings.append({"id": first["id"], "text": "".join(parts), "start_time": first["start_time"], "end_time": first["end_time"], "trigger": first["trigger"], "members": ordered})
         readings.sort(key=lambda r: r["start_time"])
-        out = []
         for members, boundary, mute in folds.state_runs(readings, threshold):
             said = [r for m in members if m["text"] and m["id"] not in mute for r in m["members"] if r["text"]]
             by, guess = merged_lines(said, expected)
             layers = [{"language": x, "text": "\n".join(folds.voted(line, "text")[0] for line in by[x]), "observation_ids": [str(r["id"]) for line in by[x] for r in line]} for x in expected]
             last = members[-1]["end_time"] if processing_end is None else processing_end
-            out.append((rows[key].iloc[0], f"cue-{members[0]['id']}", members[0]["start_time"], float(last if boundary is None else boundary), layers, [x for x in expected if not by[x]], [x for x in expected if x in guess]))
-        return pd.DataFrame(out, columns=[key, "id", "start_time", "end_time", "layers", "missing", "ambiguous"])
+            yield held[0][key], f"cue-{members[0]['id']}", members[0]["start_time"], float(last if boundary is None else boundary), layers, [x for x in expected if not by[x]], [x for x in expected if x in guess]
 
     need = regions.select(key, "frame", "id", "seq", "text", "language", "confidence", "trigger", "start_time", "end_time", "top", "bottom", "left")
-    return need.groupBy(key).applyInPandas(run, f"{key} {kind}, id string, start_time double, end_time double, layers {_LAYER_DDL}, missing array<string>, ambiguous array<string>")
+    return folded(need, [key], ["start_time", "seq"], run, f"{key} {kind}, id string, start_time double, end_time double, layers {_LAYER_DDL}, missing array<string>, ambiguous array<string>")
