@@ -8,10 +8,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from cuetide.functions import text
-from cuetide.operators import cleaner, evaluation, folds, intervals, likeness, overlays
+from cuetide.operators import cleaner, evaluation, folds, identity, intervals, layers, likeness, overlays
 from cuetide.operators.likeness import Likeness
 from cuetide.plans import queries
 
@@ -134,3 +135,51 @@ def test_interval_joins_move_points_once(spark, capsys):
             assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_small_groups_share_batches(spark, capsys):
+    """Folds of small groups walk over batches: no frame of pandas a group; missing keys and values count as before."""
+    n = 3000
+    kind = "source_id long, id string, seq int, frame string, text string, language string, confidence double, trigger string, start_time double, end_time double, top double, bottom double, left double"
+    rows = [(k if k else None, f"{k}-{j}", j, f"{k}/{j // 2}" if k > 1 else None, ("你好", "hello", "same words", "")[(k + j) % 4], "en", None if j else float("nan"), "periodic_confirmation", float(j), j + 0.5, float("nan") if j == 2 else float(j % 2), j % 2 + 0.5, 0.0) for k in range(n) for j in range(4)]
+    df = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), kind)
+    of = {}
+    for r in rows:
+        of.setdefault((r[0], r[3]), []).append(dict(zip(df.columns, r, strict=True)) | ({"top": None} if r[10] != r[10] else {}))
+    want = {}
+    for (key, frame), held in of.items():
+        by, guess = layers.assign(held, ["zh", "en"])
+        want |= {(key, frame, x): ("\n".join("".join(r["text"] for r in line) for line in by[x]), x in guess, [r["id"] for line in by[x] for r in line]) for x in by}
+    found = layers.assigned(df, ["zh", "en"])
+    assert {(r["source_id"], r["frame"], r["language"]): (r["text"], r["ambiguous"], r["ids"]) for r in found.collect()} == want
+    calls = spark.sparkContext.accumulator(0)
+
+    def recogniser():
+        calls.add(1)
+        return lambda r: [identity.Region(r["id"], r["text"], (0.0, 0.0, 1.0, 1.0))]
+
+    cues = layers.reconstructed(df, ["zh", "en"])
+    probes = identity.verified(df.select("source_id", "start_time", "id", "text").unionAll(df.select("source_id", "start_time", F.concat("id", F.lit("x")), "text")), recogniser=recogniser)
+    told = {r["source_id"]: [p["ids"] for p in r["probes"]] for r in probes.collect()}
+    assert told == {k or None: [[f"{k}-{j}"] for j in (0, 2, 3)] for k in range(n)}
+    assert 0 < calls.value <= 8  # once a task
+    assert {r["source_id"] for r in cues.collect()} == {k or None for k in range(n)}
+    for each in (found, cues, probes, folds.consensus(df), folds.rolling(df)):
+        each.explain()
+    assert "InPandas" not in capsys.readouterr().out
+
+
+def test_long_texts_that_share_no_letters_are_not_aligned(monkeypatch):
+    monkeypatch.setattr(folds, "distance", lambda a, b: pytest.fail("compared"))
+    assert not folds.reaches("ab" * 500, "cd" * 500, 0.5) and not folds.reaches("a" * 900, "a" * 300, 0.5)
+    monkeypatch.undo()
+    draw = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(draw.choices("abc你", k=draw.randrange(40))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            was, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                was, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, was + (x != y))
+        assert folds.distance(a, b) == row[-1]
+        assert all(folds.reaches(a, b, t) == (folds.similarity(a, b) >= t) for t in (0.0, 0.3, 0.5, 1.0))
