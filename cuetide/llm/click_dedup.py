@@ -48,13 +48,18 @@ OPEN = {"id": "<i8", "start": "<i8", "repeats": "<i8", "conflicts": "<i8", "crc"
 ROW = {"id": "<i8", "hour": "<i8", "n": "<i8", "h0": "<u8", "h1": "<u8", "h2": "<u8", "h3": "<u8"}
 HASH = ("h0", "h1", "h2", "h3")
 #: How state is kept: changes are uploaded, not whole stores; small stores, of which an executor may hold many, neither
-#: reserve disk ahead nor hold large buffers.
+#: reserve disk ahead nor hold large buffers, and share one bound of memory. Each start opens stores of its own, and
+#: those of the start before stay open till the next maintenance, so that comes often (an executor keeps the interval of
+#: its first stateful query).
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 #: Whether a start ends with a micro-batch without data; only the last one needs it.

@@ -179,3 +179,10 @@ def test_runs_of_documents(spark):
         assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in want).encode()).hexdigest()
         assert r["collapsed_sha256"] == hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in gone).encode()).hexdigest()
     assert periodic_runs.find(df.limit(0)).count() == 0
+
+
+def test_stores_of_earlier_starts_close_soon():
+    from cuetide.llm.click_dedup import STATE
+
+    kept = {k.removeprefix("spark.sql.streaming.stateStore."): v for k, v in STATE.items()}
+    assert int(kept["maintenanceInterval"].removesuffix("s")) <= 10 and kept["rocksdb.boundedMemoryUsage"] == "true"
