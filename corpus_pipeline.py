@@ -14,11 +14,11 @@ row; further columns of ``documents`` pass through to the mix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetide.llm import mixing, ngram_join, packing, pii, toxicity
-from cuetide.llm.common import new_folder, read_table, written
+from cuetide.llm.common import named, new_folder, quoted, read_table, written
 from cuetide.llm.queries import tokenizer
 
 
@@ -27,20 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays.
-
-    Rows that share an id are one document: the one whose text comes first stays. Rows without an id stay.
-    """
-    found = written(ngram_join.join_components(docs), "components")
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*_named(docs.columns))
-    repeated = written(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if repeated.limit(1).count():
-        one = kept.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.struct(*_named(docs.columns)).alias("row"))
-        # a row's text, then all of it as text: any column type has an order there
-        one = one.groupBy("__id").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row"))
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*_named(docs.columns)).unionAll(one.select(*[F.col(f"row.{_quoted(c)}").alias(c) for c in docs.columns]))
-    return kept
+    return ngram_join.keep_first(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,23 +39,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, keep_rows=True).where(F.col("taken") > 0)
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = mixed.select("row", whole.alias("whole"), rest.alias("rest"), F.explode(F.sequence(F.lit(1).cast("long"), whole + (rest > 0).cast("long"))).alias("copy"))
-    out = copies.select(*[F.col(f"row.{_quoted(c)}").alias(c) for c in docs.columns if c != "text"], F.when(F.col("copy") > F.col("whole"), mixing.first_words(F.col("row.text"), F.col("rest"))).otherwise(F.col("row.text")).alias("text"))
-    return _counted(out.select(*_named(docs.columns)))
+    out = copies.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c != "text"], F.when(F.col("copy") > F.col("whole"), mixing.first_words(F.col("row.text"), F.col("rest"))).otherwise(F.col("row.text")).alias("text"))
+    return _counted(out.select(*named(docs.columns)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), length=2048)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _named(names: list[str]) -> list[Column]:
-    """Columns whose names may hold dots."""
-    return [F.col(_quoted(c)) for c in names]
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words everywhere in this subpackage.
@@ -74,6 +74,15 @@ def map_rows(df: DataFrame, run) -> DataFrame:
     return inner.mapInArrow(run, inner.schema).toDF(*df.columns)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(names: list[str]) -> list[Column]:
+    """Columns whose names may hold dots."""
+    return [F.col(quoted(c)) for c in names]
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, text_or_empty, written
+from .common import WORD, bucketed, named, quoted, text_or_empty, written
 from .components import components
 from .suffix_dedup import ODD, _from_planes, _sorted_planes, mixed
 
@@ -172,6 +172,13 @@ def with_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.select("b", "node", "text").join(asked.hint("shuffle_hash"), same).drop("b", "asked_b", "asked_node")
 
 
+def with_texts_of(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``h1``, ``h2``) and the ``text`` of these hashes, by ``b`` as :func:`with_texts`."""
+    asked = rows.withColumnsRenamed({"h1": "asked_h1", "h2": "asked_h2"}).withColumn("asked_b", F.shiftrightunsigned("asked_h1", 17))
+    same = (F.col("b") == F.col("asked_b")) & (F.col("h1").bitwiseXOR(F.col("asked_h1")) == 0) & (F.col("h2").bitwiseXOR(F.col("asked_h2")) == 0)
+    return texts.select("b", "h1", "h2", "text").join(asked.hint("shuffle_hash"), same).drop("b", "h1", "h2", "asked_b", "asked_h1", "asked_h2")
+
+
 def described(texts: DataFrame, size: int, bits: int, bucket_bits: int) -> DataFrame:
     """``node, n, digest, seeds`` of each of ``node, text``; also rows with ``block`` and ``counts``: shingles counted."""
     names = ["node", "n", "digest", "seeds", "block", "counts"]
@@ -473,7 +480,7 @@ def frequent_candidates(whole: DataFrame, percent: int, cell: int) -> DataFrame:
     several = several.where("x < y").select("token", F.ceil(F.col("m") / cell).cast("int").alias("groups"))
     rows = whole.withColumn("token", F.explode("tokens")).join(F.broadcast(several), "token")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("doc"), "component", "n", "matches", "prefix", "tokens")
+    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("a").alias("doc"), "component", "n", "matches", "prefix", F.filter("tokens", lambda t: t < F.col("token")).alias("earlier"))
 
     def meet(batches):
         now, held = None, []
@@ -493,8 +500,7 @@ def frequent_candidates(whole: DataFrame, percent: int, cell: int) -> DataFrame:
                 fine &= mine[k] != mine[None]
             x, y = np.nonzero(fine)
             if len(x):
-                own = [np.asarray(r["tokens"], np.int64) for r in held]
-                earlier = [t[t < now[0]] for t in own]
+                earlier = [np.asarray(r["earlier"], np.int64) for r in held]
                 some = np.unique(x)
                 first = shared_counts(earlier, rows[some])[np.searchsorted(some, x), y] == 0
                 x, y = rows[x[first]], y[first]
@@ -520,7 +526,7 @@ def nearest_candidates(whole: DataFrame, percent: int, cell: int, each: int = 4)
     They meet once, under their smallest frequent shingle, in groups of about ``cell``. Verified, they merge what is alike
     into few components before every remaining pair of different components is looked at.
     """
-    rows = whole.withColumn("token", F.array_min("tokens"))
+    rows = whole.withColumn("token", F.array_min("tokens")).drop("tokens")
     groups = rows.groupBy("token").agg(F.ceil(F.count("*") / cell).cast("int").alias("groups"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").drop("x", "y")
     # one row for each frequent shingle at most, so the table fits a broadcast
     rows = rows.join(F.broadcast(groups), "token").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int"))
@@ -590,9 +596,56 @@ def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
     A hot text costs a row a task: copies go before the texts are shuffled. Only ids and hashes of all documents are
     shuffled besides.
     """
+    out, _, table = _joined(docs, size, percent, least, max_frequent, cell, id_col, text_col)
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    return out
+
+
+def keep_first(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, least: int = LEAST, max_frequent: int = MAX_FREQUENT, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with only the document of the smallest id of each component.
+
+    Rows that share an id are one document: the one whose text comes first stays. Rows without an id stay.
+    Texts are not shuffled again: of a row with words all but the text goes to its text's bucket and takes it from
+    there. By then a text has one row at most (or one for each id that it shares with others). The text table stays in
+    the catalog, as the result reads it.
+    """
+    found, texts, _ = _joined(docs, size, percent, least, max_frequent, cell, id_col, text_col)
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("low"), (F.count("*") > 1).alias("repeated"))
+    ids = written(ids.where("low = doc_id").drop("low"), "kept-ids")
+
+    text, names, others = text_or_empty(quoted(text_col)), docs.columns, [c for c in docs.columns if c != text_col]
+    known, worded, doc_id = F.col(quoted(id_col)).isNotNull(), text.rlike(WORD), F.col(quoted(id_col)).cast("long").alias("doc_id")
+    # inner joins: a semi or anti join would be moved below the hashes, and the texts shuffled
+    plain = docs.where(known & ~worded).select(doc_id, F.struct(*named(names)).alias("row")).join(ids, "doc_id")
+    rows = docs.where(known & worded).select(doc_id, *_hashes(text), F.struct(*named(others)).alias("rest")).join(ids, "doc_id")
+
+    def row_of(text):
+        return F.struct(*[text.cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"rest.{quoted(c)}").alias(c) for c in names])
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return with_texts_of(texts, rows.select("doc_id", "h1", "h2", "rest")).select("doc_id", row_of(F.col("text")).alias("row"))
+
+    if not ids.where("repeated").limit(1).count():
+        kept = plain.select("doc_id", "row").unionAll(whole(rows))
+    else:
+        # a row's text, then all of it as text: any column type has an order there
+        once = rows.where("repeated").groupBy("doc_id", "h1", "h2").agg(F.min_by("rest", F.to_json(row_of(F.lit("")))).alias("rest"))
+        one = plain.where("repeated").select("doc_id", "row").unionAll(whole(once))
+        one = one.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col(f"row.{quoted(text_col)}"), F.to_json("row"))).alias("row"))
+        kept = plain.where("not repeated").select("doc_id", "row").unionAll(whole(rows.where("not repeated"))).unionAll(one)
+    no_id = docs.where(~known)
+    return no_id.unionAll(kept.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns]))
+
+
+def _hashes(text):
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+
+
+def _joined(docs: DataFrame, size: int, percent: int, least: int, max_frequent: int, cell: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """The components, the text table that they come from (:func:`distinct_texts`) and its name."""
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("*", *_hashes(F.col("text")))
     known = rows.where(F.col("doc_id").isNotNull())
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     about = max(1, n_bytes // 6)  # shingles in the corpus
@@ -636,7 +689,6 @@ def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
     hub = held.groupBy("doc_id").agg(F.min("class").alias("a"))
     links = links.unionAll(held.join(hub, "doc_id").where("a < class").select("a", F.col("class").alias("b")))
     last = components(links).select(F.col("id").alias("class"), "component")
-    spark.sql(f"DROP TABLE {table}")
     order.unpersist()
     of = of.join(last, "class", "left").select("h1", "h2", "n", F.coalesce("component", "class").alias("component"))
     least_ids = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
@@ -650,4 +702,5 @@ def join_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT
             n = [len(sets(t.as_buffer().to_pybytes())) for t in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n_shingles": pa.array(n, pa.int64()), "component_id": pa.nulls(len(n), pa.int64())})
 
-    return out.unionAll(rows.where(F.col("doc_id").isNull()).select("text").mapInArrow(count, "doc_id long, n_shingles long, component_id long"))
+    out = out.unionAll(rows.where(F.col("doc_id").isNull()).select("text").mapInArrow(count, "doc_id long, n_shingles long, component_id long"))
+    return out, texts, table

@@ -1,6 +1,8 @@
 """The operators against brute force, on null, empty, repeated and clashing input."""
 
+import contextlib
 import hashlib
+import io
 import random
 import re
 import time
@@ -157,6 +159,50 @@ def test_ngram_join_empty_and_long(spark):
     assert got == {5: 5, 6: 5, 7: 7}
 
 
+def shuffled(df):
+    """The columns of each row shuffle of a plan."""
+    held = io.StringIO()
+    with contextlib.redirect_stdout(held):
+        df.explain("formatted")
+    return [m[1] for m in re.finditer(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", held.getvalue())]
+
+
+def test_keep_first(spark, tmp_path):
+    """Like the components by brute force, null and repeated ids too; no text is shuffled where nothing is small enough to be broadcast."""
+    rows = prose(5, 60) + [e for e in EDGES if e[0] is not None]
+    low = components(rows)
+    docs = frame(spark, rows + [(None, rows[0][1]), (None, None)]).withColumn("a.b", F.lit(1)).withColumn("h1", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs.write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_first(docs)
+        got = kept.collect()
+        lists = shuffled(kept)
+        assert lists and not [x for x in lists if "text#" in x]
+        texts = Counter((i, t) for i, t in rows if low[i][1] == i)
+        assert Counter((r["doc_id"], r["text"]) for r in got) == texts + Counter({(None, rows[0][1]): 1, (None, None): 1})
+        assert kept.dtypes == docs.dtypes and all(r["a.b"] == 1 and r["h1"] == {"k": r["doc_id"]} and r["start"] == "x" for r in got if r["doc_id"] is not None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keep_first_repeated_ids(spark):
+    """3: its first text stays, once; 9 is one document with a text like 2's, so its empty one goes too."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    again = [(2, a), (3, c), (3, b), (3, b), (5, b + " z"), (6, c + " z"), (9, None), (9, a + " z"), (10, None), (10, d), (11, " "), (11, " "), (12, "alone")]
+    got = ngram_join.keep_first(frame(spark, again)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(2, a), (3, b), (10, None), (11, " "), (12, "alone")])
+
+
+def test_frequent_documents_go_light(spark):
+    """To the groups where they meet once, documents of frequent shingles bring no list of them; to a cell only what precedes its own."""
+    whole = spark.createDataFrame([(k, k, 9, 1, [5, 7], b"abcdefgh") for k in range(6)], "a long, component long, n long, matches long, tokens array<long>, prefix binary")
+    for found in (ngram_join.nearest_candidates(whole, 80, 4), ngram_join.frequent_candidates(whole, 80, 4)):
+        assert not [x for x in shuffled(found) if "prefix#" in x and "tokens#" in x]
+        assert {(r["a"], r["b"]) for r in found.collect()} <= {(a, b) for a in range(6) for b in range(a + 1, 6)}
+
+
 @pytest.mark.parametrize("hot", [0, 1024])
 def test_suffix_dedup(spark, hot):
     rows = prose(3) + EDGES + [(700, "a" * 300), (701, "a" * 200)]
