@@ -10,8 +10,10 @@ approximation file, blocks of the vectors' cells: the components' leading bits,
 3. Exact vectors are fetched for each query's first ``FIRST`` of them; then, for queries whose k-th exact score an
    unread upper bound could still reach, for those. The result is certain then.
 
-Neither side is broadcast, so a growing query set makes more tasks, not larger ones. Blocks of cells hold
-``BLOCK_ROWS`` vectors, or fewer while that would leave tasks idle; inside a task they are scanned ``TILE`` at a time.
+No join broadcasts a side, whatever the files' size lets Spark expect: a block of queries goes to every block of
+cells, so a broadcast would hold the queries many times. Blocks of cells hold ``BLOCK_ROWS`` vectors, or fewer where
+that would leave tasks idle and a task would score over ``PAIRS`` pairs; each block has the queries shuffled and
+bounds kept once more. Inside a task they are scanned ``TILE`` at a time.
 
 Edge cases: a null vector, or one with a null or non-finite component, takes no part; vectors of
 unlike lengths are compared as if padded with zeros; repeated rows are candidates each; a
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK_ROWS, QUERY_ROWS, TILE, FIRST = 65_536, 4096, 4096, 16
+BLOCK_ROWS, QUERY_ROWS, TILE, FIRST, PAIRS = 65_536, 4096, 4096, 16, 1 << 27
 
 
 def integers(vector: Column) -> Column:
@@ -114,7 +116,7 @@ def _best_bounds(i: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np
 def _scores(pairs: DataFrame, big: bool) -> DataFrame:
     """``own, query_id, vec_id, score`` of ``own, query_id, vec_id, q, v``."""
     if not big:
-        return pairs.select("own", "query_id", "vec_id", F.aggregate(F.zip_with(F.col("q"), F.col("v"), lambda x, y: F.coalesce(x * y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+        return pairs.select("own", "query_id", "vec_id", F.aggregate(F.zip_with(F.col("q"), F.col("v"), lambda x, y: F.coalesce(x.cast("long") * y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
 
     def run(batches):  # sums may leave the long range: exact integers, then its ends
         for batch in batches:
@@ -136,12 +138,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, bits: int = 8, bl
     most, dim = int(most or 0), int(dim or 0)
     shift = max(0, most.bit_length() + 1 - bits)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    c_blocks = max(1, -(-n // block_rows), min(tasks, -(-n // TILE)))
+    c_blocks = max(1, -(-n // block_rows), min(tasks, -(-n // TILE), -(-n * asks // PAIRS)))
     small, big = most < 1 << 15, most * most * max(1, dim) >= 1 << 62
     cells = _blocks(rows.drop("asks"), c_blocks, "cells", True, shift, dim, small)
     queries = _blocks(rows.where("asks").drop("asks"), max(1, -(-asks // QUERY_ROWS)), "queries", False, shift, dim, small)
     queries = queries.select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("block"))
-    met = queries.repartition(max(2, c_blocks), "block").join(cells, "block")
+    met = queries.repartition(max(2, c_blocks), "block").join(cells.hint("merge"), "block")
 
     def run(batches):
         kind = np.int16 if small else np.int64
@@ -158,15 +160,16 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, bits: int = 8, bl
     bounds = written(met.mapInArrow(run, "own long, row long, low double, high double"), "bounds")
     by_low, by_high = W.partitionBy("own").orderBy(F.col("low").desc()), W.partitionBy("own").orderBy(F.col("high").desc(), "row")
     floor = bounds.withColumn("place", F.row_number().over(by_low)).where(F.col("place") <= k).groupBy("own").agg(F.when(F.count("*") == k, F.min("low")).otherwise(float("-inf")).alias("floor"))
-    left = bounds.join(floor, "own").where("high >= floor").withColumn("place", F.row_number().over(by_high)).select("own", "row", "high", "place")
+    left = bounds.join(floor.hint("merge"), "own").where("high >= floor").withColumn("place", F.row_number().over(by_high)).select("own", "row", "high", "place")
     left = written(left, "candidates")
-    exact = rows.select("row", F.col("id").alias("vec_id"), "v")
-    asked = rows.where("asks").select(F.col("row").alias("own"), F.col("id").alias("query_id"), F.col("v").alias("q"))
-    fetch = lambda some: _scores(some.select("own", "row").join(exact, "row").join(asked, "own"), big)
+    v = F.col("v").cast("array<short>" if small else "array<long>")  # these are shuffled
+    exact = rows.select("row", F.col("id").alias("vec_id"), v.alias("v"))
+    asked = rows.where("asks").select(F.col("row").alias("own"), F.col("id").alias("query_id"), v.alias("q"))
+    fetch = lambda some: _scores(some.select("own", "row").join(exact.hint("merge"), "row").join(asked.hint("merge"), "own"), big)
     by_score = W.partitionBy("own").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     best = lambda scored: scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     got = written(best(fetch(left.where(F.col("place") <= max(first, k)))), "first-scores")
     reached = got.groupBy("own").agg(F.min("score").cast("double").alias("kth"))  # of k, as k were read
-    rest = left.where(F.col("place") > max(first, k)).join(reached, "own").where(F.col("high") >= F.col("kth") - F.abs("kth") * 2.0**-50)
+    rest = left.where(F.col("place") > max(first, k)).join(reached.hint("merge"), "own").where(F.col("high") >= F.col("kth") - F.abs("kth") * 2.0**-50)
     every = got.drop("rank").unionAll(fetch(rest))
     return best(every).select("query_id", "rank", "vec_id", "score")

@@ -314,6 +314,16 @@ def test_vector_search(spark):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_vector_search_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+    kept = vector_search.written
+    monkeypatch.setattr(vector_search, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(120)], "vec_id long, embedding array<double>")
+    got = vector_search.top_k(df, F.col("vec_id") % 50 == 0, block_rows=16)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 15 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
