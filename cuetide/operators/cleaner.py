@@ -8,23 +8,29 @@ one recording; cues that a person has decided on are never touched. Text is chos
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bursts
 from .cues import eligible, protected
-from .likeness import Likeness, Line, kept_compact
+from .grouped import folded
+from .likeness import Kin, Likeness, Line, alikes, kept_compact, remembered, states_bound
 
 #: Likeness, gap and span of a cluster; rounds; how far shorter steps reach.
 ALIKE, GAP, SPAN, PASSES, CYCLES = 0.88, 0.35, 8.0, 6, 6
 MICRO, MICRO_GAP, COVER = 0.50, 0.10, 4
 
 
+#: Near copies of overlays; a worker keeps them over its sources.
+COPIES = Kin(0.82)
+
+
 @dataclass(frozen=True)
 class Piece:
     """A cue under way: its ``origins`` are places in the group's input, ``donor`` the one whose text it shows."""
@@ -40,6 +46,70 @@ class Piece:
         return self.end - self.start
 
 
+def shows(p: Piece, text: str) -> Piece:
+    return p if text == p.text else replace(p, text=text)
+
+
+def _once(text: str) -> tuple[str, bool]:
+    """A text with each line once, as first shown, and whether any came again."""
+    lines = Likeness.lines(text)
+    first = {x.key: x.shown for x in reversed(lines)}
+    return "\n".join(dict.fromkeys(first[x.key] for x in lines)), len(first) < len(lines)
+
+
+def _shares_anchor(a: str, b: str) -> bool:
+    """A long line stands, nearly unchanged, in both."""
+    x, y = ([s.compact for s in Likeness.lines(t) if len(s.compact) >= 6] for t in (a, b))
+    return any(Likeness.reaches(s, t, 0.97) for s in x for t in y)
+
+
+def _scrambled(a: str, b: str) -> bool:
+    """About the same letters in another order."""
+    x, y = kept_compact(a), kept_compact(b)
+    n, m = sorted((len(x), len(y)))
+    return n >= 20 and n >= 0.82 * m and Likeness.letters(x, y) >= 0.94
+
+
+def _facts(a: str, b: str, alike: float) -> tuple[bool, ...]:
+    """What links two texts: alike as a whole, lines covered, one a part of the other, scrambled, a long line shared."""
+    mine, others = Likeness.lines(a), Likeness.lines(b)
+    there, back = alikes(mine, others), alikes(others, mine)
+
+    def covered(some, rows):
+        """The share of characters in lines that the other text has too."""
+        weights = [max(1, len(s.compact)) for s in some]
+        return sum(w for w, row in zip(weights, rows, strict=True) if max(row) >= 0.90) / sum(weights)
+
+    whole = 1.0 >= alike if a == b else states_bound(a, b, there, back) >= alike and Likeness.states(a, b) >= alike
+    shared = bool(mine and others) and max(covered(mine, there), covered(others, back)) >= 0.72
+    part = Likeness.holds(kept_compact(a), kept_compact(b)) >= 0.45
+    anchor = any(v >= 0.97 and len(s.compact) >= 6 and len(t.compact) >= 6 for s, row in zip(mine, there, strict=True) for t, v in zip(others, row, strict=True))
+    return whole, shared, part, _scrambled(a, b), anchor
+
+
+def _explained(fragment: str, text: str) -> bool:
+    """Every line of the fragment stands in the text, whole or as a meaningful part."""
+    parts, lines = Likeness.lines(fragment), Likeness.lines(text)
+
+    def met(x: Line, y: Line) -> bool:
+        if Likeness.reaches(x.compact, y.compact, 0.88):
+            return True
+        if not x.compact or not y.compact:
+            return False
+        if x.compact in y.compact and (x.han and len(x.compact) >= 2 or x.latin and len(x.compact) >= 4):
+            return True
+        return y.compact in x.compact and len(y.compact) >= 0.45 * len(x.compact)
+
+    return bool(parts and lines) and all(any(met(x, y) for y in lines) for x in parts)
+
+
+def _pruned(text: str) -> str:
+    return bursts.without_short_extras(text)
+
+
+kept_once, kept_anchor, kept_scrambled, kept_facts, kept_explained, kept_pruned = map(remembered, (_once, _shares_anchor, _scrambled, _facts, _explained, _pruned))
+
+
 class Family:
     """Variants of one line within a cluster; its support is the number of cues that have one."""
 
@@ -58,6 +128,7 @@ class Cleaner:
         self.alike, self.gap, self.span = alike, gap, span
         self.like = Likeness()
         self.actions: list[dict] = []
+        self.last: tuple | None = None
 
     def note(self, action: str, piece_origins, **more) -> None:
         self.actions.append({"action": action, "origins": list(piece_origins), "reasons": [], "size": 1, "loses": False, "selected": []} | more)
@@ -72,9 +143,10 @@ class Cleaner:
         where: dict[str, set[int]] = {}
         for k, p in enumerate(pieces):
             for line in self.like.lines(p.text):
-                if line.key:
-                    shown.setdefault(line.key, line)
-                    where.setdefault(line.key, set()).add(k)
+                if line.key in shown:
+                    where[line.key].add(k)
+                elif line.key:
+                    shown[line.key], where[line.key] = line, {k}
         keys = list(shown)
         home = {key: key for key in keys}
 
@@ -90,22 +162,24 @@ class Cleaner:
                 blocks.setdefault(shown[key].script, []).append(key)
         for block in blocks.values():
             block.sort(key=lambda key: len(shown[key].compact))
-            for i, a in enumerate(block):
-                x = shown[a].compact
-                for b in block[i + 1 :]:
-                    y = shown[b].compact
-                    if len(x) < 0.82 * len(y):
-                        break
-                    if self.like.reaches(x, y, 0.82) and root(a) != root(b):
-                        home[root(b)] = root(a)
+            texts = [shown[key].compact for key in block]
+            sizes = list(map(len, texts))
+            named: dict[str, list[str]] = {}
+            for key, x in zip(block, texts, strict=True):
+                named.setdefault(x, []).append(key)
+            for i, (a, x) in enumerate(zip(block, texts, strict=True)):
+                end = bisect_right(sizes, sizes[i], i, key=lambda n: 0.82 * n)
+                for y in COPIES.of(x, set(texts[i + 1 : end])):
+                    for b in named[y]:
+                        if root(a) != root(b):
+                            home[root(b)] = root(a)
         groups: dict[str, list[str]] = {}
         for key in keys:
             groups.setdefault(root(key), []).append(key)
         out = []
         for members in groups.values():
             cues = set().union(*(where[m] for m in members))
-            lasts = max(pieces[k].end for k in cues) - min(pieces[k].start for k in cues)
-            if len(cues) >= 4 and lasts >= 12:
+            if len(cues) >= 4 and (lasts := max(pieces[k].end for k in cues) - min(pieces[k].start for k in cues)) >= 12:
                 out.append({"members": members, "cues": len(cues), "seconds": lasts})
         taken = {m for f in out for m in f["members"]}
         for key in keys:
@@ -119,26 +193,25 @@ class Cleaner:
         gone, out = {m for f in families for m in f["members"]}, []
         for p in pieces:
             lines = self.like.lines(p.text)
-            kept = [x.shown for x in lines if x.key not in gone]
+            kept = [x.shown for x in lines if x.key not in gone] if gone else [x.shown for x in lines]
             if len(kept) < len(lines):
                 self.note("remove_persistent_overlay_line", p.origins)
             if kept:
-                out.append(replace(p, text="\n".join(kept)))
+                out.append(shows(p, "\n".join(kept)))
         return out
 
     def without_repeats(self, p: Piece) -> Piece:
-        lines = self.like.lines(p.text)
-        first = {x.key: x.shown for x in reversed(lines)}
-        if len(first) < len(lines):
+        text, repeats = kept_once(p.text)
+        if repeats:
             self.note("dedupe_exact_lines", p.origins)
-        return replace(p, text="\n".join(dict.fromkeys(first[x.key] for x in lines)))
+        return shows(p, text)
 
     def without_edges(self, pieces: list[Piece], families: list[dict]) -> list[Piece]:
         """Long, often seen overlays go where they start or end a longer line."""
         names = [m.strip() for f in families if f["cues"] >= 6 and f["seconds"] >= 15 for m in f["members"] if len(kept_compact(m)) >= 10]
         cuts = [re.compile(form.format(re.escape(m)), re.I) for m in names for form in (r"^\s*{}\s*[:\-–—|]*\s+", r"\s+[:\-–—|]*\s*{}\s*$")]
         out = []
-        for p in pieces:
+        for p in pieces if cuts else ():
             lines = []
             for line in self.like.lines(p.text):
                 text, k = line.shown, 0
@@ -151,48 +224,27 @@ class Cleaner:
                         k += 1
                 lines.append(text)
             new = "\n".join(lines)
-            if cuts and new != "\n".join(x.shown for x in self.like.lines(p.text)):
+            if new != "\n".join(x.shown for x in self.like.lines(p.text)):
                 self.note("strip_persistent_overlay_edge", p.origins)
                 p = replace(p, text=new)
             out.append(p)
-        return out
+        return out if cuts else pieces
 
     # ---- clusters
 
-    def shares_anchor(self, a: str, b: str) -> bool:
-        """A long line stands, nearly unchanged, in both."""
-        x, y = ([s.compact for s in self.like.lines(t) if len(s.compact) >= 6] for t in (a, b))
-        return any(self.like.reaches(s, t, 0.97) for s in x for t in y)
-
-    def covered_share(self, a: str, b: str) -> float:
-        """The share of one text's characters in lines that the other has too; the better way round."""
-        x, y = self.like.lines(a), self.like.lines(b)
-        if not x or not y:
-            return 0.0
-
-        def share(some, into):
-            weights = [max(1, len(s.compact)) for s in some]
-            return sum(w for w, s in zip(weights, some, strict=True) if any(self.like.reaches(s.compact, t.compact, 0.90) for t in into)) / sum(weights)
-
-        return max(share(x, y), share(y, x))
-
-    def scrambled(self, a: str, b: str) -> bool:
-        """About the same letters in another order."""
-        x, y = kept_compact(a), kept_compact(b)
-        n, m = sorted((len(x), len(y)))
-        return n >= 20 and n >= 0.82 * m and self.like.letters(x, y) >= 0.94
-
-    def link(self, a: Piece, b: Piece) -> tuple[str | None, float]:
-        """(why ``b`` goes on what ``a`` shows, their likeness)."""
-        gap, alike = b.start - a.end, self.like.states(a.text, b.text)
-        fragment = lambda: self.covered_share(a.text, b.text) >= 0.72 or min(a.length, b.length) <= 0.8 and self.like.holds(kept_compact(a.text), kept_compact(b.text)) >= 0.45
-        tests = (
-            ("robust_similarity", self.gap, lambda: alike >= self.alike),
-            ("fragment_or_line_coverage", 0.15, fragment),
-            ("character_order_scramble", 0.35, lambda: self.scrambled(a.text, b.text)),
-            ("shared_stable_line", 0.20, lambda: self.shares_anchor(a.text, b.text)),
-        )
-        return next((name for name, most, test in tests if gap <= most and test()), None), alike
+    def link(self, a: Piece, b: Piece) -> str | None:
+        """Why ``b`` goes on what ``a`` shows."""
+        gap = b.start - a.end
+        if gap > max(self.gap, 0.35):
+            return None
+        alike, covered, part, scramble, anchor = kept_facts(a.text, b.text, self.alike)
+        if alike and gap <= self.gap:
+            return "robust_similarity"
+        if gap <= 0.15 and (covered or part and min(a.length, b.length) <= 0.8):
+            return "fragment_or_line_coverage"
+        if scramble and gap <= 0.35:
+            return "character_order_scramble"
+        return "shared_stable_line" if anchor and gap <= 0.20 else None
 
     def clusters(self, pieces: list[Piece]) -> list[tuple[list[Piece], set[str]]]:
         out: list[tuple[list[Piece], set[str]]] = []
@@ -200,12 +252,12 @@ class Cleaner:
             reason = None
             if out:
                 held, reasons = out[-1]
-                reason, alike = self.link(held[-1], p)
+                reason = self.link(held[-1], p)
                 if reason and p.end - held[0].start > self.span:
                     reason = None
-                if reason and len(held) >= 3 and alike < self.alike + 0.04:
+                if reason and len(held) >= 3 and not self.like.states_reach(held[-1].text, p.text, self.alike + 0.04):
                     shown = self.representative(held).text
-                    if self.like.states(shown, p.text) < self.alike - 0.08 and not self.shares_anchor(shown, p.text) and not self.scrambled(shown, p.text):
+                    if not self.like.states_reach(shown, p.text, self.alike - 0.08) and not kept_anchor(shown, p.text) and not kept_scrambled(shown, p.text):
                         reason = None
             if reason:
                 held.append(p)
@@ -284,6 +336,17 @@ class Cleaner:
         return "\n".join(kept) if kept else shown.text
 
     def one_pass(self, pieces: list[Piece]) -> tuple[list[Piece], list[dict]]:
+        """A pass over the pieces of the last one repeats its result and its notes."""
+        if self.last and self.last[0] == pieces:
+            _, out, families, notes = self.last
+            self.actions += notes
+            return out, families
+        n = len(self.actions)
+        out, families = self.passed(pieces)
+        self.last = pieces, out, families, self.actions[n:]
+        return out, families
+
+    def passed(self, pieces: list[Piece]) -> tuple[list[Piece], list[dict]]:
         families = self.overlays(pieces)
         ready = [self.without_repeats(p) for p in self.without_overlays(pieces, families)]
         out = []
@@ -306,21 +369,6 @@ class Cleaner:
 
     # ---- after the passes
 
-    def explained(self, fragment: str, text: str) -> bool:
-        """Every line of the fragment stands in the text, whole or as a meaningful part."""
-        parts, lines = self.like.lines(fragment), self.like.lines(text)
-
-        def met(x: Line, y: Line) -> bool:
-            if self.like.reaches(x.compact, y.compact, 0.88):
-                return True
-            if not x.compact or not y.compact:
-                return False
-            if x.compact in y.compact and (x.han and len(x.compact) >= 2 or x.latin and len(x.compact) >= 4):
-                return True
-            return y.compact in x.compact and len(y.compact) >= 0.45 * len(x.compact)
-
-        return bool(parts and lines) and all(any(met(x, y) for y in lines) for x in parts)
-
     def absorbed(self, pieces: list[Piece]) -> list[Piece]:
         """Very short cues that a neighbour explains become part of its span; until none is left."""
         todo, changed = list(pieces), True
@@ -328,10 +376,12 @@ class Cleaner:
             changed, out = False, []
             for k, p in enumerate(todo):
                 sides = []
-                if p.length <= MICRO:
-                    before, after = (out[-1] if out else None), (todo[k + 1] if k + 1 < len(todo) else None)
-                    for side, q, gap in (("previous", before, before and p.start - before.end), ("next", after, after and after.start - p.end)):
-                        if q is not None and gap <= MICRO_GAP and self.explained(p.text, q.text):
+                if p.end - p.start <= MICRO:
+                    for side, q in (("previous", out[-1] if out else None), ("next", todo[k + 1] if k + 1 < len(todo) else None)):
+                        if q is None:
+                            continue
+                        gap = p.start - q.end if side == "previous" else q.start - p.end
+                        if gap <= MICRO_GAP and kept_explained(p.text, q.text):
                             sides.append((self.like.states(p.text, q.text) - max(0.0, gap), side))
                 if not sides:
                     out.append(p)
@@ -361,38 +411,37 @@ class Cleaner:
     def without_extras(self, pieces: list[Piece]) -> list[Piece]:
         out = []
         for p in pieces:
-            text = bursts.without_short_extras(p.text, self.like)
+            text = kept_pruned(p.text)
             if text != p.text:
                 self.note("prune_short_latin_extra_line", p.origins)
-            out.append(replace(p, text=text))
+            out.append(shows(p, text))
         return out
 
     @staticmethod
     def signature(pieces: list[Piece]) -> list[tuple]:
         return [(round(p.start, 6), round(p.end, 6), p.text) for p in pieces]
 
-    def cycle(self, pieces: list[Piece]) -> list[Piece]:
-        families: list[dict] | None = None
-        for _ in range(PASSES):
-            before = self.signature(pieces)
-            pieces, found = self.one_pass(pieces)
-            families = found if families is None else families
-            if self.signature(pieces) == before:
-                break
-        for _ in range(PASSES):
-            before = self.signature(pieces)
-            pieces = self.without_tokens(self.absorbed(self.without_extras(self.without_edges(pieces, families or []))))
-            if self.signature(pieces) == before:
+    def settled(self, pieces: list[Piece], step, most: int) -> list[Piece]:
+        """``step`` again and again until nothing changes, ``most`` times at most."""
+        for _ in range(most):
+            before, pieces = pieces, step(pieces)
+            if pieces == before or len(pieces) == len(before) and self.signature(pieces) == self.signature(before):
                 break
         return pieces
 
+    def cycle(self, pieces: list[Piece]) -> list[Piece]:
+        families: list[list[dict]] = []
+
+        def one_pass(some):
+            some, found = self.one_pass(some)
+            families.append(found)
+            return some
+
+        pieces = self.settled(pieces, one_pass, PASSES)
+        return self.settled(pieces, lambda some: self.without_tokens(self.absorbed(self.without_extras(self.without_edges(some, families[0])))), PASSES)
+
     def clean(self, pieces: list[Piece]) -> list[Piece]:
-        for _ in range(CYCLES):
-            before = self.signature(pieces)
-            pieces = self.cycle(pieces)
-            if self.signature(pieces) == before:
-                break
-        return pieces
+        return self.settled(pieces, self.cycle, CYCLES)
 
 
 # ---- layers
@@ -455,20 +504,20 @@ def clean_group(cues: list[dict]) -> tuple[list[dict], list[dict]]:
 _LAYERS = "array<struct<language:string,text:string,observation_ids:array<string>>>"
 
 
-def _grouped(cues: DataFrame, fold, schema: str, names: list[str], key: str) -> DataFrame:
+def _grouped(cues: DataFrame, fold, schema: str, key: str) -> DataFrame:
     kind = cues.schema[key].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame[["id", "start_time", "end_time"]].to_dict("records")
-        for r, layers in zip(rows, frame["layers"], strict=True):
-            r["layers"] = [{"language": x["language"], "text": x["text"], "observation_ids": list(x["observation_ids"])} for x in layers]
-        return pd.DataFrame([(frame[key].iloc[0], *x) for x in fold(rows)], columns=[key, *names])
+    def run(rows: list[dict]) -> list[tuple]:
+        for r in rows:
+            r["start_time"], r["end_time"] = (math.nan if r[c] is None else r[c] for c in ("start_time", "end_time"))
+        return [(rows[0][key], *x) for x in fold(rows)]
 
     signature = F.concat_ws("\x1f", F.transform("layers", lambda x: x["language"]))
-    need = eligible(cues).select(key, signature.alias("signature"), "id", "start_time", "end_time", "layers")
+    layers = F.transform("layers", lambda x: F.struct(x["language"].alias("language"), x["text"].alias("text"), x["observation_ids"].alias("observation_ids")))
+    need = eligible(cues).select(key, signature.alias("signature"), "id", "start_time", "end_time", layers.alias("layers"))
     # few bytes make much work here, so tasks aren't put together by their bytes
-    need = need.repartition(int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "signature")
-    return need.groupBy(key, "signature").applyInPandas(run, f"{key} {kind}, {schema}")
+    tasks = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return folded(need, [key, "signature"], [], run, f"{key} {kind}, {schema}", tasks)
 
 
 def cleaned(cues: DataFrame, key: str = "source_id") -> DataFrame:
@@ -477,8 +526,7 @@ def cleaned(cues: DataFrame, key: str = "source_id") -> DataFrame:
     def fold(rows):
         return [(c["id"], c["start_time"], c["end_time"], c["review_state"], c["layers"], c["origins"]) for c in clean_group(rows)[0]]
 
-    names = ["id", "start_time", "end_time", "review_state", "layers", "origins"]
-    made = _grouped(cues, fold, f"id string, start_time double, end_time double, review_state string, layers {_LAYERS}, origins array<int>", names, key)
+    made = _grouped(cues, fold, f"id string, start_time double, end_time double, review_state string, layers {_LAYERS}, origins array<int>", key)
     text = F.concat_ws("\n", F.transform("layers", lambda x: x["text"]))
     languages = F.concat_ws("\x1f", F.transform("layers", lambda x: x["language"]))
     made = bursts.collapse_bursts(made.withColumn("text", text).withColumn("signature", languages), [key, "signature"]).drop("text", "signature", "origins")
@@ -491,8 +539,7 @@ def actions(cues: DataFrame, key: str = "source_id") -> DataFrame:
     def fold(rows):
         return [(a["action"], a["origins"], a["reasons"], a["size"], a["loses"], a["selected"]) for a in clean_group(rows)[1]]
 
-    names = ["action", "origins", "reasons", "size", "loses", "selected"]
-    return _grouped(cues, fold, "action string, origins array<int>, reasons array<string>, size int, loses boolean, selected array<int>", names, key)
+    return _grouped(cues, fold, "action string, origins array<int>, reasons array<string>, size int, loses boolean, selected array<int>", key)
 
 
 def report(cues: DataFrame, made: DataFrame, key: str = "source_id") -> DataFrame:

@@ -7,6 +7,7 @@ rows by key, and a task walks over them as plain values: it holds one group and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,22 +20,37 @@ from pyspark.sql.types import StructType
 BATCH = 2000
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[list[dict]], Iterable[tuple]], ddl: str) -> DataFrame:
+def values(column: pa.Array) -> list:
+    """``to_pylist``, but lists and structs by their columns, which takes a tenth of its time."""
+    kind = column.type
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        inner = iter(values(column.flatten()))
+        return [None if n is None else list(islice(inner, n)) for n in pc.list_value_length(column).to_pylist()]
+    if pa.types.is_struct(kind) and kind.num_fields:
+        names = [f.name for f in kind]
+        found = [dict(zip(names, r, strict=True)) for r in zip(*map(values, column.flatten()), strict=True)]
+        return [x if there else None for x, there in zip(found, column.is_valid().to_pylist(), strict=True)] if column.null_count else found
+    return column.to_pylist()
+
+
+def _known(column: pa.Array) -> list:
+    return values(pc.if_else(pc.is_nan(column), None, column) if pa.types.is_floating(column.type) else column)
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[list[dict]], Iterable[tuple]], ddl: str, tasks: int | None = None) -> DataFrame:
     """``run`` of each group's rows in ``order`` (missing values last), which gives tuples of ``ddl``.
 
-    A missing value is None, also where it is NaN; rows without a key are one group.
+    A missing value is None, also where it is NaN; rows without a key are one group. With a number of ``tasks`` there
+    are so many, however few their bytes.
     """
     schema = StructType.fromDDL(ddl)
     arrow, names, places = to_arrow_schema(schema), rows.columns, [rows.columns.index(k) for k in keys]
 
-    def values(column: pa.Array) -> list:
-        return (pc.if_else(pc.is_nan(column), None, column) if pa.types.is_floating(column.type) else column).to_pylist()
-
     def deal(batches):
         now, held, out = None, [], []
-        batch_of = lambda: pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         for batch in batches:
-            columns = [values(c) for c in batch.columns]
+            columns = [_known(c) for c in batch.columns]
             for key, row in zip(zip(*[columns[k] for k in places], strict=True), zip(*columns, strict=True), strict=True):
                 if held and key != now:
                     out += run(held)
@@ -49,4 +65,4 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[li
         if out:
             yield batch_of()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order]).mapInArrow(deal, schema)
+    return rows.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order]).mapInArrow(deal, schema)

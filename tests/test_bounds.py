@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuetide.functions import text
-from cuetide.operators import cleaner, evaluation, folds, identity, intervals, layers, likeness, overlays
+from cuetide.operators import cleaner, evaluation, folds, grouped, identity, intervals, layers, likeness, overlays
 from cuetide.operators.likeness import Likeness
 from cuetide.plans import queries
 
@@ -183,3 +183,51 @@ def test_long_texts_that_share_no_letters_are_not_aligned(monkeypatch):
                 was, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, was + (x != y))
         assert folds.distance(a, b) == row[-1]
         assert all(folds.reaches(a, b, t) == (folds.similarity(a, b) >= t) for t in (0.0, 0.3, 0.5, 1.0))
+
+
+CUE_KIND = "source_id long, id string, start_time double, end_time double, review_state string, layers array<struct<language:string,text:string,observation_ids:array<string>>>"
+
+
+def test_small_sources_are_cleaned_in_batches(spark):
+    rows = [(k // 5 if k < 35 else None, f"{k}", (k % 5) * 0.3, (k % 5) * 0.3 + 0.28, "pending", [("en", f"a wide river {k // 10}", [f"o{k}"])]) for k in range(40)]
+    df = spark.createDataFrame(rows, CUE_KIND)
+    assert "InPandas" not in cleaner.actions(df)._jdf.queryExecution().executedPlan().toString()
+    got = {r["source_id"]: r for r in cleaner.cleaned(df).collect()}
+    assert len(got) == 8 and got[None]["layers"][0]["observation_ids"] == [f"o{k}" for k in range(35, 40)] and got[0]["end_time"] == 4 * 0.3 + 0.28
+
+
+def test_unlike_texts_are_not_matched_whole(monkeypatch):
+    calls, matcher = [], likeness.SequenceMatcher
+    monkeypatch.setattr(likeness, "SequenceMatcher", lambda *a, **k: calls.append(a[1:]) or matcher(*a, **k))
+    texts = ["old violet lamps\nSHUTTER", "seven quick horns\nGRAVEL", "my brown folder\nPICKET"]
+    cues = [{"id": str(k), "start_time": k * 0.3, "end_time": k * 0.3 + 0.28, "layers": [{"language": "en", "text": t, "observation_ids": []}]} for k, t in enumerate(texts)]
+    assert [c["id"] for c in cleaner.clean_group(cues)[0]] == ["0", "1", "2"]
+    assert not {x for pair in calls for x in pair} & {likeness.compacted(t) for t in texts}
+
+
+def test_bounds_and_facts_hide_no_link():
+    rng, said = random.Random(7), worded(200, 5)
+    for _ in range(1500):
+        a, b = ("\n".join(rng.choice(said) for _ in range(rng.randint(0, 3))) for _ in "ab")
+        least = rng.choice([0.5, 0.8, 0.88, 0.92])
+        assert Likeness.states_reach(a, b, least) == (Likeness.states(a, b) >= least)
+        x, y = Likeness.lines(a), Likeness.lines(b)
+        assert likeness.states_bound(a, b, likeness.alikes(x, y), likeness.alikes(y, x)) >= likeness._states(a, b) or not (a and b)
+        assert cleaner._facts(a, b, least)[0] == (Likeness.states(a, b) >= least)
+        texts = {Likeness.line(t).compact for t in rng.sample(said, 9)}
+        assert all(likeness.Kin(0.82).of(t, texts) == {u for u in texts if Likeness.reaches(t, u, 0.82)} for t in texts)
+
+
+def test_a_worker_keeps_so_many_pairs_of_kin(monkeypatch):
+    monkeypatch.setattr(likeness, "KEPT", 50)
+    kin, texts = likeness.Kin(0.82), {Likeness.line(t).compact for t in worded(40, 6)}
+    for t in sorted(texts):
+        assert kin.of(t, texts) == {u for u in texts if Likeness.reaches(t, u, 0.82)}
+        assert kin.size == sum(len(seen) for seen, _ in kin.met.values()) <= max(50, len(texts))
+
+
+def test_nested_columns_as_values():
+    kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.list_(pa.float64()))]))
+    column = pa.array([[{"a": "x", "b": [1.0, None]}, None], None, [], [{"a": None, "b": None}], [{"a": "y", "b": []}]], kind)
+    for part in (column, column.slice(1), column.slice(1, 3), column.slice(5), column.flatten()):
+        assert grouped.values(part) == part.to_pylist()
