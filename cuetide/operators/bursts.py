@@ -47,9 +47,10 @@ def collapse_bursts(cues: DataFrame, key: str = "source_id") -> DataFrame:
     if "layers" in cues.columns:  # the three rest on observations of their own
         ids = [F.flatten(F.transform(F.col(p + "layers"), lambda x: x["observation_ids"])) for p in ("", "b.", "c.")]
         held = F.forall(F.array(*map(F.size, ids)), lambda n: n > 0) & (F.size(F.array_distinct(F.concat(*ids))) == F.size(F.array_distinct(ids[0])) + F.size(F.array_distinct(ids[1])) + F.size(F.array_distinct(ids[2])))
-    # worked out for every row ahead of the windows, as it holds a function in Arrow batches
-    rows = rows.withColumn("garbled", edge_corrupted(F.col("b.text"), F.col("text")))
-    burst = F.coalesce(first & same & pending & near & F.col("garbled") & follows & held, F.lit(False))
+    rows = rows.withColumn("likely", F.coalesce(first & same & pending & near & follows & held, F.lit(False)))
+    # ahead of the windows, as it holds a function in Arrow batches, which get texts only where it matters
+    rows = rows.withColumn("garbled", edge_corrupted(F.when(F.col("likely"), F.col("b.text")), F.when(F.col("likely"), F.col("text"))))
+    burst = F.coalesce(F.col("likely") & F.col("garbled"), F.lit(False))
     # a burst two cues after one shares its last cue; one cue after can't be, for texts alternate
     rows = rows.withColumn("burst", burst).withColumn("k", F.row_number().over(order))
     before = F.lag("burst", 2).over(order)

@@ -159,3 +159,13 @@ def test_stream_gate(spark, tmp_path):
     running.awaitTermination(120)
     want = gate_module.triggers(spark.createDataFrame(rows, names)).collect()
     assert sorted(map(tuple, spark.table("gate_rows").collect())) == sorted(map(tuple, want))
+
+
+def test_bursts_read_only_likely_texts(spark, monkeypatch):
+    seen, kept = [], bursts.edge_corrupted
+    monkeypatch.setattr(bursts, "edge_corrupted", lambda a, b: seen.append((a, b)) or kept(a, b))
+    kind = "source_id long, id string, start_time double, end_time double, text string, review_state string, origins array<int>"
+    rows = [(1, f"c{k}", k * 1.0, k + 0.95, f"line {k}", "pending", [k]) for k in range(4)] + [(2, "a", 0.0, 1.0, "hello", "pending", [0]), (2, "b", 1.0, 1.3, "ello", "pending", [1]), (2, "c", 1.35, 2.0, "hello", "pending", [2]), (3, "n", 0.0, 1.0, None, "pending", None)]
+    got = bursts.collapse_bursts(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(r["id"] for r in got) == ["a", "b", "c0", "c1", "c2", "c3", "n"]
+    assert all("WHEN likely" in str(c) for pair in seen for c in pair)
